@@ -9,26 +9,37 @@ from pyspark.sql import functions as F
 
 from terrapanel.refdata import MISSING_AT_OR_BELOW, MM_PER_INCH
 
-_NUMERIC_TEXT = "0123456789+-.eE \t\r\n"
+# Letters only the cast's extra notations use: suffixed ('1d', '2f') and hex floats.
+_NOT_DECIMAL = "[dDfFxX]"
 
 
-def to_number(text: Column) -> Column:
-    """Text to double; anything that is not plain decimal notation becomes null.
+def _is_reading(value: Column, threshold: float = MISSING_AT_OR_BELOW) -> Column:
+    # NaN orders above infinity, so this leaves finite readings only.
+    return (value > threshold) & (value < float("inf"))
 
-    The cast alone would also take suffixes and hex floats ('1d', '0x1p3'), NaN and
-    infinities, so only texts made of decimal characters reach it.
-    """
-    number = F.when(F.translate(text, _NUMERIC_TEXT, "") == "", text.try_cast("double"))
+
+def to_number(text: Column) -> Column:
+    """Text to a finite double; anything that is not plain decimal notation becomes null."""
+    number = F.when(~text.rlike(_NOT_DECIMAL), text.try_cast("double"))
     return F.when(F.abs(number) < float("inf"), number)
 
 
 def drop_missing(value: Column, threshold: float = MISSING_AT_OR_BELOW) -> Column:
-    """Null for NaN, nulls and missing-data markers."""
-    return F.when(~F.isnan(value) & (value > threshold), value)
+    """Null for NaN, infinities, nulls and missing-data markers."""
+    return F.when(_is_reading(value, threshold), value)
+
 
+def readings_of(texts: list[Column]) -> Column:
+    """The readings among some text columns as an array.
 
-def reading(text: Column) -> Column:
-    return drop_missing(to_number(text))
+    The same rules as to_number and drop_missing, but the notation is checked once
+    for the whole row and cell by cell only where that finds something.
+    """
+    cells = F.array(*texts)
+    plain = F.when(~F.concat_ws(" ", *texts).rlike(_NOT_DECIMAL), cells).otherwise(
+        F.filter(cells, lambda cell: ~cell.rlike(_NOT_DECIMAL))
+    )
+    return F.filter(plain.try_cast("array<double>"), lambda value: _is_reading(value))
 
 
 def celsius_to_fahrenheit(value: Column) -> Column:

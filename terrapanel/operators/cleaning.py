@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.functions.values import celsius_to_fahrenheit, mm_to_inches, pad_key, reading
+from terrapanel.functions.values import celsius_to_fahrenheit, mm_to_inches, pad_key, readings_of
 from terrapanel.refdata import MEASURES, SUMMED
 from terrapanel.schemas import DAY_COLUMNS, STATE, Grain
 
@@ -15,7 +15,7 @@ def fold_days(grid: DataFrame, day_columns: list[str] = DAY_COLUMNS) -> DataFram
 
     Stays within the row, so no shuffle; a row without any reading keeps count 0.
     """
-    readings = F.array_compact(F.array(*[reading(F.col(day)) for day in day_columns]))
+    readings = readings_of([F.col(day) for day in day_columns])
     others = [name for name in grid.columns if name not in day_columns]
     return grid.select(*others, readings.alias("readings")).select(
         *others,

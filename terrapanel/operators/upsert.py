@@ -42,14 +42,16 @@ def patch_rows(existing: DataFrame, batch: DataFrame, keys: list[str], updates:
 def replace_unless_better(
     existing: DataFrame, batch: DataFrame, keys: list[str], rank: str = "status_rank"
 ) -> DataFrame:
-    """As replace_rows, but a row never gives way to one of a larger rank."""
-    old = existing.select(*keys, F.col(rank).alias("_old_rank"))
-    accepted = (
-        batch.join(old, keys, "left")
-        .where(F.col("_old_rank").isNull() | (F.col(rank) <= F.col("_old_rank")))
-        .drop("_old_rank")
-    )
-    return replace_rows(existing, accepted, keys)
+    """As replace_rows, but a row never gives way to one of a larger rank.
+
+    One aggregate over both sides: a single exchange, and copies of a key meet
+    already reduced.
+    """
+    values = [name for name in existing.columns if name not in (*keys, rank)]
+    both = existing.withColumn("_age", F.lit(1)).unionByName(batch.withColumn("_age", F.lit(0)))
+    best = F.min(F.struct(rank, "_age", *values)).alias("best")
+    kept = both.groupBy(*keys).agg(best).select(*keys, "best.*").drop("_age")
+    return kept.select(*existing.columns)
 
 
 def require_unique(batch: DataFrame, keys: list[str]) -> DataFrame:

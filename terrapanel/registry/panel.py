@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.functions import values
 from terrapanel.operators import cleaning, series
-from terrapanel.plans import marts
+from terrapanel.plans import marts, queries
 from terrapanel.registry import models
 from terrapanel.registry.base import (
     ANNUAL_VALUES,
@@ -22,7 +22,8 @@ from terrapanel.registry.base import (
     sql_pad,
     sql_r8,
 )
-from terrapanel.schemas import COUNTY, STATE
+from terrapanel.schemas import ANNUAL_COLUMNS, COUNTY, MONTHLY_COLUMNS, STATE
+from terrapanel.session import staged as at_rest
 from terrapanel.sources import sample_tables as sample
 from terrapanel.sources.regions import county_dimension, crosswalk
 
@@ -67,12 +68,12 @@ def numeric_coerce(spark, sf):
 )
 def sentinel_mask(spark, sf):
     present = values.drop_missing(F.col("reading"))
-    counts = sample.readings(spark, sf, COUNTY).groupBy("region_number", "variable").agg(
+    counts = sample.readings(spark, sf, COUNTY).groupBy("region_number", "variable_number").agg(
         F.count("*").alias("readings"),
         F.count(present).alias("present_readings"),
         F.sum(present).alias("present_total"),
     )
-    return sample.with_code(counts, COUNTY).withColumnRenamed("region_code", "fips_code")
+    return sample.named(counts, COUNTY).withColumnRenamed("region_code", "fips_code")
 
 
 @register(
@@ -148,7 +149,9 @@ def anomaly_by_region(spark, sf):
 
 @register("baseline_join", sql(f"{_ANOMALY} FROM anom", "anom"))
 def baseline_join(spark, sf):
-    joined = marts.anomaly_by_region_join(models.staged(spark, sf), BASE_START, BASE_END)
+    """The join form reads its panel twice, so it runs on a stored one."""
+    panel = at_rest(models.staged(spark, sf), "panel")
+    joined = marts.anomaly_by_region_join(panel, BASE_START, BASE_END)
     return rounded(joined, *_ANOMALY_VALUES)
 
 
@@ -214,8 +217,6 @@ def mart_monthly(spark, sf):
 
 @register("monthly_projection", sql(f"SELECT {SQL_MONTHLY} FROM monthly", "monthly"))
 def monthly_projection(spark, sf):
-    from terrapanel.schemas import MONTHLY_COLUMNS
-
     return rounded(models.monthly(spark, sf).select(*MONTHLY_COLUMNS), *ANNUAL_VALUES)
 
 
@@ -249,8 +250,6 @@ def annual_rollup(spark, sf):
 
 @register("annual_projection", sql(f"SELECT {SQL_ANNUAL} FROM annual", "annual"))
 def annual_projection(spark, sf):
-    from terrapanel.schemas import ANNUAL_COLUMNS
-
     return rounded(models.annual(spark, sf).select(*ANNUAL_COLUMNS), *ANNUAL_VALUES)
 
 
@@ -459,7 +458,5 @@ def seasonal_moving_average(spark, sf):
     ),
 )
 def flagship_trend(spark, sf):
-    from terrapanel.plans.queries import flagship_trend as trend
-
     derived = ["tavg_smooth_f", "anomaly_smooth_f", "tavg_pct_from_start"]
-    return rounded(trend(models.annual(spark, sf)), *ANNUAL_VALUES, *derived)
+    return rounded(queries.flagship_trend(models.annual(spark, sf)), *ANNUAL_VALUES, *derived)

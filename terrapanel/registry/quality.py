@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators import cleaning
 from terrapanel.operators import quality as q
+from terrapanel.plans import marts
+from terrapanel.plans.overlays import mart_overlay, overlay_branch, population_overlay
 from terrapanel.registry import models
 from terrapanel.registry.base import register, sql
 from terrapanel.schemas import KEYS, STATE
+from terrapanel.session import staged
 from terrapanel.sources import sample_tables as sample
 from terrapanel.sources.regions import crosswalk, state_lookup
 
@@ -38,7 +41,7 @@ def unmatched_codes(spark, sf):
 )
 def code_difference(spark, sf):
     numbers = sample.readings(spark, sf).select("region_number").distinct()
-    return sample.with_code(numbers, STATE).subtract(crosswalk(spark).select("region_code"))
+    return sample.named(numbers, STATE).subtract(crosswalk(spark).select("region_code"))
 
 
 @register(
@@ -66,6 +69,15 @@ _POPULATION_REQUIRED = ["state_fips", "period_year", "population"]
 _OVERLAY_REQUIRED = ["value"]
 
 
+def _stored_marts(spark, sf):
+    """The marts at rest, as the checks find them: the raw table is read once for all."""
+    monthly = staged(models.monthly(spark, sf), "mart_monthly")
+    annual = marts.mart_annual(monthly)
+    people = staged(models.population(spark, sf), "population")
+    climate = overlay_branch(annual, "climate_tavg", F.col("tavg_f"))
+    return monthly, annual, people, mart_overlay(population_overlay(people), climate)
+
+
 @register(
     "not_null",
     sql(
@@ -81,10 +93,11 @@ _OVERLAY_REQUIRED = ["value"]
 )
 def not_null(spark, sf):
     """Temperature and rain are allowed to be null; here they show that nulls are counted."""
-    monthly = q.not_null(models.monthly(spark, sf), "monthly", _MONTHLY_REQUIRED)
-    people = q.not_null(models.population(spark, sf), "population", _POPULATION_REQUIRED)
-    return monthly.unionByName(people).unionByName(
-        q.not_null(models.overlay(spark, sf), "overlay", _OVERLAY_REQUIRED)
+    monthly, _, people, overlay = _stored_marts(spark, sf)
+    return (
+        q.not_null(monthly, "monthly", _MONTHLY_REQUIRED)
+        .unionByName(q.not_null(people, "population", _POPULATION_REQUIRED))
+        .unionByName(q.not_null(overlay, "overlay", _OVERLAY_REQUIRED))
     )
 
 
@@ -115,17 +128,13 @@ _COARSE = ["state_fips", "period_year"]
 )
 def unique_key(spark, sf):
     """The second report uses too few columns on purpose, so that it finds clashes."""
-    monthly = models.monthly(spark, sf)
-    reports = [
-        q.unique_key(monthly, "mart_monthly", KEYS["mart_monthly"]),
-        q.unique_key(monthly, "coarse_monthly", _COARSE),
-        q.unique_key(models.annual(spark, sf), "mart_annual", KEYS["mart_annual"]),
-        q.unique_key(models.overlay(spark, sf), "mart_overlay", KEYS["mart_overlay"]),
-    ]
-    first, *rest = reports
-    for report in rest:
-        first = first.unionByName(report)
-    return first
+    monthly, annual, _, overlay = _stored_marts(spark, sf)
+    return (
+        q.unique_key(monthly, "mart_monthly", KEYS["mart_monthly"])
+        .unionByName(q.unique_key(monthly, "coarse_monthly", _COARSE))
+        .unionByName(q.unique_key(annual, "mart_annual", KEYS["mart_annual"]))
+        .unionByName(q.unique_key(overlay, "mart_overlay", KEYS["mart_overlay"]))
+    )
 
 
 @register(

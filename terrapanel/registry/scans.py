@@ -82,12 +82,14 @@ def status_preference(spark, sf):
 )
 def latest_by_rank(spark, sf):
     """The best status per region, variable and month: one minimum of ranked structs."""
-    long = sample.monthly_long(spark, sf, COUNTY, "status").withColumn("rank", grid.status_rank(F.col("status")))
-    best = F.min(F.struct("rank", "status", "day_total", "day_count")).alias("best")
-    chosen = long.groupBy("region_code", "variable", *MONTH).agg(best)
-    return chosen.select(
-        F.col("region_code").alias("fips_code"), "variable", *MONTH, "best.status", "best.day_total", "best.day_count"
+    keys = ["region_number", "variable_number", *MONTH]
+    present = sample.drop_missing(F.col("reading"))
+    by_status = sample.readings(spark, sf, COUNTY).groupBy(*keys, "status_rank").agg(
+        F.sum(present).alias("day_total"), F.count(present).alias("day_count")
     )
+    best = F.min(F.struct("status_rank", "day_total", "day_count")).alias("best")
+    chosen = by_status.groupBy(*keys).agg(best).select(*keys, "best.*")
+    return sample.named(chosen, COUNTY).drop("status_rank").withColumnRenamed("region_code", "fips_code")
 
 
 @register(

@@ -28,8 +28,7 @@ from terrapanel.schemas import (
     STATE,
     conform,
 )
-from terrapanel.session import fresh_path
-from terrapanel.sources import daily_grid as grid
+from terrapanel.session import fresh_path, staged
 from terrapanel.sources import sample_tables as sample
 from terrapanel.sources.regions import state_lookup
 from terrapanel.streaming import refresh as refreshing
@@ -60,9 +59,9 @@ def _upsert_climate(spark, sf, panel, grain):
     """A preliminary panel on storage, then the final values of the two newest years on top."""
     table = fresh_path(spark, f"{grain.key}-monthly")
     keys = [grain.key, *MONTH]
-    first = panel(spark, sf, statuses=("prelim",)).withColumn("source_file", F.lit("preliminary"))
+    first = panel(spark, sf, status="prelim").withColumn("source_file", F.lit("preliminary"))
     upsert.upsert_table(table, first, keys)
-    batch = panel(spark, sf, statuses=("scaled",), since=2000).withColumn("source_file", F.lit("final"))
+    batch = panel(spark, sf, status="scaled", since=2000).withColumn("source_file", F.lit("final"))
     upsert.upsert_table(table, batch, keys)
     stored = spark.read.parquet(table).select(*first.columns)
     return rounded(stored, *MEASURE_COLUMNS)
@@ -140,13 +139,13 @@ def raw_schema(spark, sf):
     """Extremes per month in the raw table's layout; the column not given becomes a typed null."""
     present = sample.drop_missing(F.col("reading"))
 
-    def of(variable):
-        return F.when(F.col("variable") == variable, present)
+    def of(number):
+        return F.when(F.col("variable_number") == number, present)
 
     extremes = sample.readings(spark, sf).groupBy("region_number", *MONTH).agg(
-        F.max(of("tmax")).alias("tmax_f"), F.min(of("tmin")).alias("tmin_f"), F.max(of("prcp")).alias("prcp_in")
+        F.max(of(0)).alias("tmax_f"), F.min(of(1)).alias("tmin_f"), F.max(of(3)).alias("prcp_in")
     )
-    known = sample.with_code(extremes, STATE).join(F.broadcast(sample.crosswalk(spark)), "region_code")
+    known = sample.named(extremes, STATE).join(F.broadcast(sample.crosswalk(spark)), "region_code")
     raw = known.withColumns({"source_file": F.lit("lineitem"), "ingested_at": F.lit("2002-01-01")})
     table = conform(raw, RAW_STATE_MONTHLY)
     return table.withColumns({m: F.col(m).cast("double") for m in MEASURE_COLUMNS})
@@ -205,11 +204,9 @@ def arrival_stream(spark, sf):
 def prelim_to_scaled_revision(spark, sf):
     """Final values replace preliminary ones; preliminary ones coming again change nothing."""
     keys = ["fips_code", "variable", *MONTH]
-    ranked = (
-        sample.monthly_long(spark, sf, COUNTY, "status")
-        .withColumn("status_rank", grid.status_rank(F.col("status")))
-        .withColumnRenamed("region_code", "fips_code")
-    )
+    ranked = sample.monthly_long(spark, sf, COUNTY, "status_rank").withColumnRenamed("region_code", "fips_code")
+    # Both merges read it, so it is computed once.
+    ranked = staged(ranked, "ranked")
     preliminary, final = ranked.where("status = 'prelim'"), ranked.where("status = 'scaled'")
     revised = upsert.replace_unless_better(preliminary, final, keys)
     return upsert.replace_unless_better(revised, preliminary, keys).drop("status_rank")

@@ -74,7 +74,7 @@ def prefer_status(files: DataFrame) -> DataFrame:
 
 def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Scan only the listed files. Collects their paths (file metadata, not rows)."""
-    paths = [row.path for row in files.select("path").toLocalIterator()]
+    paths = [row.path for row in files.select("path").collect()]
     if not paths:
         grid = spark.createDataFrame([], GRID_SCHEMA).withColumn("path", F.lit(""))
     else:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.functions.values import celsius_to_fahrenheit, drop_missing, mm_to_inches, pad_key
-from terrapanel.refdata import MEASURES, SUMMED
+from terrapanel.refdata import MEASURES, STATUSES, SUMMED
 from terrapanel.schemas import COUNTY, DAY_COLUMNS, STATE, Grain
 from terrapanel.session import fresh_path
 from terrapanel.sources.daily_grid import file_name
@@ -36,78 +36,96 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _variable() -> Column:
+def _variable_number() -> Column:
     branches = F
-    for name, (first, last) in _LINES.items():
-        branches = branches.when(F.col("l_linenumber").between(first, last), F.lit(name))
+    for number, (first, last) in enumerate(_LINES.values()):
+        branches = branches.when(F.col("l_linenumber").between(first, last), F.lit(number))
     return branches
 
 
 def region_number(grain: Grain) -> Column:
-    """The region as a number; grouping by it is cheaper than by its text."""
     return F.col("l_suppkey") % SOURCE_REGIONS + 1 if grain == STATE else F.col("l_suppkey")
 
 
 def readings(spark: SparkSession, sf: str, grain: Grain = STATE) -> DataFrame:
-    """One row per reading, marker values still in."""
+    """One row per reading, marker values still in.
+
+    Region, variable and status are numbers, which are cheaper to group by than
+    their names; named() puts the names in after the aggregate.
+    """
     day = F.col("l_shipdate")
     year, month = F.year(day), F.month(day)
     published = year * 100 + month < PRELIMINARY_SINCE
     return table(spark, sf, "lineitem").select(
         region_number(grain).alias("region_number"),
-        _variable().alias("variable"),
+        _variable_number().alias("variable_number"),
         year.alias("period_year"),
         month.alias("period_month"),
         F.dayofmonth(day).alias("period_day"),
-        F.when(published & (F.col("l_linestatus") == "F"), "scaled").otherwise("prelim").alias("status"),
+        F.when(published & (F.col("l_linestatus") == "F"), 0).otherwise(1).alias("status_rank"),
         F.when(F.col("l_tax") == 0, F.lit(MISSING_MARK)).otherwise(F.col("l_quantity")).alias("reading"),
     )
 
 
-def with_code(df: DataFrame, grain: Grain) -> DataFrame:
-    code = pad_key(F.col("region_number"), grain.code_width)
-    return df.withColumn("region_code", code).drop("region_number")
+def _pick(names, number: Column) -> Column:
+    return F.get(F.array(*[F.lit(name) for name in names]), number)
+
+
+def named(df: DataFrame, grain: Grain) -> DataFrame:
+    """Replace the numbers of readings() by codes and names, where present."""
+    df = df.withColumn("region_code", pad_key(F.col("region_number"), grain.code_width)).drop("region_number")
+    if "variable_number" in df.columns:
+        df = df.withColumn("variable", _pick(_LINES, F.col("variable_number"))).drop("variable_number")
+    if "status_rank" in df.columns:
+        df = df.withColumn("status", _pick(STATUSES, F.col("status_rank")))
+    return df
 
 
 def monthly_long(spark: SparkSession, sf: str, grain: Grain, *extra: str) -> DataFrame:
     """Total and count of the readings present per region, variable and month."""
     present = drop_missing(F.col("reading"))
-    keys = ["region_number", "variable", "period_year", "period_month", *extra]
+    keys = ["region_number", "variable_number", "period_year", "period_month", *extra]
     totals = readings(spark, sf, grain).groupBy(*keys).agg(
         F.sum(present).alias("day_total"), F.count(present).alias("day_count")
     )
-    return with_code(totals, grain)
+    return named(totals, grain)
 
 
-def monthly_codes(
-    spark: SparkSession, sf: str, grain: Grain, statuses: tuple[str, ...] = (), since: int | None = None
+def _monthly(
+    spark: SparkSession, sf: str, grain: Grain, status: str | None = None, since: int | None = None
 ) -> DataFrame:
-    """The monthly panel by source code: every reading of a month, or only those of some statuses."""
+    """The monthly panel by region number: every reading of a month, or only those of one status."""
     rows = readings(spark, sf, grain)
-    if statuses:
-        rows = rows.where(F.col("status").isin(*statuses))
+    if status is not None:
+        rows = rows.where(F.col("status_rank") == STATUSES.index(status))
     if since is not None:
         rows = rows.where(F.col("period_year") >= since)
     present = drop_missing(F.col("reading"))
 
-    def measure(variable: str) -> Column:
-        mine = F.when(F.col("variable") == variable, present)
+    def measure(number: int, variable: str) -> Column:
+        mine = F.when(F.col("variable_number") == number, present)
         return mm_to_inches(F.sum(mine)) if variable in SUMMED else celsius_to_fahrenheit(F.avg(mine))
 
-    panel = rows.groupBy("region_number", "period_year", "period_month").agg(
-        *[measure(variable).alias(column) for variable, column in MEASURES.items()]
+    return rows.groupBy("region_number", "period_year", "period_month").agg(
+        *[measure(number, variable).alias(MEASURES[variable]) for number, variable in enumerate(_LINES)]
     )
-    return with_code(panel, grain)
+
+
+def monthly_codes(spark: SparkSession, sf: str, grain: Grain) -> DataFrame:
+    return named(_monthly(spark, sf, grain), grain)
 
 
 def state_panel(spark: SparkSession, sf: str, **chosen) -> DataFrame:
-    panel = monthly_codes(spark, sf, STATE, **chosen)
-    # 48-row table
-    return panel.join(F.broadcast(crosswalk(spark)), "region_code").drop("region_code")
+    # Joined on the number: on the text, Spark would test it for null in every raw row.
+    states = crosswalk(spark).select(
+        F.col("region_code").cast("long").alias("region_number"), "state_fips", "state_abbr"
+    )
+    return _monthly(spark, sf, STATE, **chosen).join(F.broadcast(states), "region_number").drop("region_number")
 
 
 def county_panel(spark: SparkSession, sf: str, **chosen) -> DataFrame:
-    return monthly_codes(spark, sf, COUNTY, **chosen).withColumnRenamed("region_code", "fips_code")
+    panel = named(_monthly(spark, sf, COUNTY, **chosen), COUNTY)
+    return panel.withColumnRenamed("region_code", "fips_code")
 
 
 def grid_rows(spark: SparkSession, sf: str, grain: Grain) -> DataFrame:
@@ -116,8 +134,8 @@ def grid_rows(spark: SparkSession, sf: str, grain: Grain) -> DataFrame:
         F.max(F.when(F.col("period_day") == number, F.col("reading"))).alias(name)
         for number, name in enumerate(DAY_COLUMNS, 1)
     ]
-    keys = ["region_number", "variable", "period_year", "period_month", "status"]
-    wide = with_code(readings(spark, sf, grain).groupBy(*keys).agg(*days), grain)
+    keys = ["region_number", "variable_number", "period_year", "period_month", "status_rank"]
+    wide = named(readings(spark, sf, grain).groupBy(*keys).agg(*days), grain)
     scale = F.lit(grain.scale)
     return wide.select(
         file_name(F.col("variable"), F.col("period_year"), F.col("period_month"), scale, F.col("status")).alias("file"),
@@ -206,7 +224,7 @@ def landed_wide_csv(spark: SparkSession, sf: str) -> str:
             rows = counts.groupBy(F.lit("40").alias("SUMLEV"), F.col("region").cast("string").alias("STATE"))
             total = counts.groupBy(F.lit("10").alias("SUMLEV"), F.lit("0").alias("STATE"))
             both = rows.agg(*columns).unionByName(total.agg(*columns))
-            both.coalesce(1).write.option("header", "true").csv(f"{path}/{vintage}")
+            both.write.option("header", "true").csv(f"{path}/{vintage}")
 
     return _land(spark, "new-population", sf, write)
 
