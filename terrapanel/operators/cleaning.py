@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.values import celsius_to_fahrenheit, mm_to_inches, pad_key, readings_of
-from terrapanel.refdata import MEASURES, SUMMED
+from terrapanel.refdata import MEASURES, STATUSES, SUMMED
 from terrapanel.schemas import DAY_COLUMNS, STATE, Grain
 
 
@@ -84,6 +84,30 @@ def pivot_variables(long: DataFrame, keys: list[str], value: str = "value") -> D
     )
 
 
+def totals_of_best_status(
+    readings: DataFrame, keys: list[str], value: Column, rank: str = "status_rank", ranks: int = len(STATUSES)
+) -> DataFrame:
+    """Per key the total and count of the best-ranked status that has rows, measured or not.
+
+    Every status is totalled beside the others and one is picked at the end: a single
+    exchange of partial totals, however many rows one key has.
+    """
+
+    def of(number: int) -> Column:
+        return F.when(F.col(rank) == number, value)
+
+    totals = [F.sum(of(number)).alias(f"_total_{number}") for number in range(ranks)]
+    counts = [F.count(of(number)).alias(f"_count_{number}") for number in range(ranks)]
+    grouped = readings.groupBy(*keys).agg(F.min(rank).alias(rank), *totals, *counts)
+
+    def picked(prefix: str) -> Column:
+        return F.get(F.array(*[F.col(f"{prefix}_{number}") for number in range(ranks)]), F.col(rank))
+
+    return grouped.select(
+        *keys, rank, picked("_total").alias("day_total"), picked("_count").alias("day_count")
+    )
+
+
 def merge_variables(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
     """The same result as chained full outer joins, one per variable (four exchanges)."""
     merged = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.operators.quality import duplicate_keys
@@ -22,36 +22,33 @@ def replace_rows(existing: DataFrame, batch: DataFrame, keys: list[str]) -> Data
     return existing.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
 
 
-def patch_rows(existing: DataFrame, batch: DataFrame, keys: list[str], updates: list[str]) -> DataFrame:
-    """Insert, or overwrite only the given columns of an existing key."""
-    old = existing.withColumn("_in_old", F.lit(True)).alias("old")
-    new = batch.withColumn("_in_new", F.lit(True)).alias("new")
+def _merge(existing: DataFrame, batch: DataFrame, keys: list[str], from_batch) -> DataFrame:
+    """Full outer join on the keys; from_batch says per column when the batch's value is taken."""
+    old = existing.withColumn("_present", F.lit(True)).alias("old")
+    new = batch.withColumn("_present", F.lit(True)).alias("new")
     joined = old.join(new, keys, "full_outer")
 
-    def column(name: str):
+    def column(name: str) -> Column:
         if name in keys:
             return F.col(name)
-        from_new = F.col("new._in_new").isNotNull()
-        if name not in updates:
-            from_new &= F.col("old._in_old").isNull()
-        return F.when(from_new, F.col(f"new.{name}")).otherwise(F.col(f"old.{name}")).alias(name)
+        return F.when(from_batch(name), F.col(f"new.{name}")).otherwise(F.col(f"old.{name}")).alias(name)
 
     return joined.select(*[column(name) for name in existing.columns])
 
 
+def patch_rows(existing: DataFrame, batch: DataFrame, keys: list[str], updates: list[str]) -> DataFrame:
+    """Insert, or overwrite only the given columns of an existing key."""
+    known, offered = F.col("old._present").isNotNull(), F.col("new._present").isNotNull()
+    return _merge(existing, batch, keys, lambda name: offered if name in updates else ~known)
+
+
 def replace_unless_better(
     existing: DataFrame, batch: DataFrame, keys: list[str], rank: str = "status_rank"
 ) -> DataFrame:
-    """As replace_rows, but a row never gives way to one of a larger rank.
-
-    One aggregate over both sides: a single exchange, and copies of a key meet
-    already reduced.
-    """
-    values = [name for name in existing.columns if name not in (*keys, rank)]
-    both = existing.withColumn("_age", F.lit(1)).unionByName(batch.withColumn("_age", F.lit(0)))
-    best = F.min(F.struct(rank, "_age", *values)).alias("best")
-    kept = both.groupBy(*keys).agg(best).select(*keys, "best.*").drop("_age")
-    return kept.select(*existing.columns)
+    """As replace_rows, but a row never gives way to one of a larger rank."""
+    new_key = F.col("old._present").isNull()
+    as_good = F.col(f"new.{rank}") <= F.col(f"old.{rank}")
+    return _merge(existing, batch, keys, lambda _: new_key | F.coalesce(as_good, F.lit(False)))
 
 
 def require_unique(batch: DataFrame, keys: list[str]) -> DataFrame:

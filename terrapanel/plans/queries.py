@@ -68,8 +68,11 @@ def latest_year(monthly: DataFrame) -> DataFrame:
 def latest_month(monthly: DataFrame, year: int | None = None) -> DataFrame:
     """The compared year (newest if not given) and the last month it has; one pass."""
     rows = monthly if year is None else monthly.where(F.col("period_year") == year)
-    last = F.max(F.struct("period_year", "period_month"))
-    return rows.agg(last.alias("last")).select("last.period_year", "last.period_month")
+    last = rows.agg(F.max(F.col("period_year") * 100 + F.col("period_month")).alias("last"))
+    return last.select(
+        F.floor(F.col("last") / 100).cast("int").alias("period_year"),
+        (F.col("last") % 100).cast("int").alias("period_month"),
+    )
 
 
 def year_anomalies(monthly: DataFrame, start: int, end: int | None = None) -> DataFrame:

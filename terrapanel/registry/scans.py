@@ -81,14 +81,10 @@ def status_preference(spark, sf):
     ),
 )
 def latest_by_rank(spark, sf):
-    """The best status per region, variable and month: one minimum of ranked structs."""
+    """Final readings per region, variable and month, preliminary ones where there are none."""
     keys = ["region_number", "variable_number", *MONTH]
     present = sample.drop_missing(F.col("reading"))
-    by_status = sample.readings(spark, sf, COUNTY).groupBy(*keys, "status_rank").agg(
-        F.sum(present).alias("day_total"), F.count(present).alias("day_count")
-    )
-    best = F.min(F.struct("status_rank", "day_total", "day_count")).alias("best")
-    chosen = by_status.groupBy(*keys).agg(best).select(*keys, "best.*")
+    chosen = cleaning.totals_of_best_status(sample.readings(spark, sf, COUNTY), keys, present)
     return sample.named(chosen, COUNTY).drop("status_rank").withColumnRenamed("region_code", "fips_code")
 
 

@@ -147,6 +147,16 @@ def test_profile(spark, landing):
     assert (row.row_count, row.min_columns, row.max_columns, row.codes, row.unmapped_codes) == (2, 34, 34, 2, 1)
 
 
+def test_best_status_totals(spark):
+    readings = spark.createDataFrame(
+        [("a", 0, 1.0), ("a", 0, 2.0), ("a", 1, 50.0), ("b", 1, 7.0), ("c", 0, None), ("c", 1, 9.0)],
+        "k string, status_rank int, v double",
+    )
+    best = cleaning.totals_of_best_status(readings, ["k"], F.col("v"))
+    assert exchanges(best) == 1
+    assert rows(best, "k") == [("a", 0, 3.0, 2), ("b", 1, 7.0, 1), ("c", 0, None, 0)]
+
+
 def test_fold_needs_no_shuffle(spark, landing):
     scanned = grid.scan_grid(spark, str(landing), "ste")
     assert exchanges(cleaning.fold_month(scanned)) == 0
