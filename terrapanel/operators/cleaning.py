@@ -49,14 +49,15 @@ def fold_month(grid: DataFrame) -> DataFrame:
 def map_codes(df: DataFrame, crosswalk: DataFrame, code: str = "region_code") -> DataFrame:
     """Grid codes to real region keys; rows of unknown codes are dropped.
 
-    The crosswalk is the fixed 48-row table, hence the broadcast.
+    The 48-row crosswalk is a literal table of known size, so Spark broadcasts it by
+    its own size check; a larger one supplied instead is joined by shuffle.
     """
-    return df.join(F.broadcast(crosswalk.withColumnRenamed("region_code", code)), code).drop(code)
+    return df.join(crosswalk.withColumnRenamed("region_code", code), code).drop(code)
 
 
 def unmapped(df: DataFrame, crosswalk: DataFrame, code: str = "region_code") -> DataFrame:
     """Rows whose code the crosswalk does not know."""
-    return df.join(F.broadcast(crosswalk.select(F.col("region_code").alias(code))), code, "left_anti")
+    return df.join(crosswalk.select(F.col("region_code").alias(code)), code, "left_anti")
 
 
 def distinct_codes(df: DataFrame, code: str = "region_code") -> DataFrame:

@@ -26,12 +26,12 @@ def keep_last(stacked: DataFrame, keys: list[str], rank: str = "source_rank") ->
 
 
 def in_scope(df: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Only the listed states (fixed 48-row table)."""
-    return df.join(F.broadcast(lookup.select("state_fips")), "state_fips", "left_semi")
+    """Only the listed states."""
+    return df.join(lookup.select("state_fips"), "state_fips", "left_semi")
 
 
 def add_abbreviation(df: DataFrame, lookup: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(lookup), "state_fips")
+    return df.join(lookup, "state_fips")
 
 
 def population_long(old: DataFrame, new: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def nested_by_request(rows: DataFrame, states: str | Iterable[str], fields: list
     listed = rows.sparkSession.range(1).select(
         F.posexplode(F.array(*[F.lit(w) for w in wanted])).alias("position", "state_abbr")
     )
-    return nest_series(rows, listed, "state_abbr", fields)
+    return nest_series(in_regions(rows, wanted), listed, "state_abbr", fields)
 
 
 def month_drilldown(monthly: DataFrame, state: str, month: int) -> DataFrame:

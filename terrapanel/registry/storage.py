@@ -30,7 +30,7 @@ from terrapanel.schemas import (
 )
 from terrapanel.session import fresh_path, staged
 from terrapanel.sources import sample_tables as sample
-from terrapanel.sources.regions import state_lookup
+from terrapanel.sources.regions import crosswalk, state_lookup
 from terrapanel.streaming import refresh as refreshing
 
 MONTH = ["period_year", "period_month"]
@@ -145,7 +145,7 @@ def raw_schema(spark, sf):
     extremes = sample.readings(spark, sf).groupBy("region_number", *MONTH).agg(
         F.max(of(0)).alias("tmax_f"), F.min(of(1)).alias("tmin_f"), F.max(of(3)).alias("prcp_in")
     )
-    known = sample.named(extremes, STATE).join(F.broadcast(sample.crosswalk(spark)), "region_code")
+    known = sample.named(extremes, STATE).join(crosswalk(spark), "region_code")
     raw = known.withColumns({"source_file": F.lit("lineitem"), "ingested_at": F.lit("2002-01-01")})
     table = conform(raw, RAW_STATE_MONTHLY)
     return table.withColumns({m: F.col(m).cast("double") for m in MEASURE_COLUMNS})

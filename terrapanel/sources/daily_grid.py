@@ -28,27 +28,25 @@ def file_name(variable: Column, year: Column, month: Column, scale: Column, stat
 
 
 def with_file_tags(df: DataFrame, path: str = "path") -> DataFrame:
-    """Add what the file name says; rows from other files are dropped."""
-    name = F.regexp_extract(F.col(path), FILE_NAME, 1)
-    part = F.split(F.regexp_replace(F.col("file_name"), r"\.csv$", ""), "-")
-    return (
-        df.withColumn("file_name", name)
-        .where(F.col("file_name") != "")
-        .withColumns(
-            {
-                "variable": part[0],
-                "period_year": F.substring(part[1], 1, 4).cast("int"),
-                "period_month": F.substring(part[1], 5, 2).cast("int"),
-                "scale": part[2],
-                "status": part[3],
-                "status_rank": status_rank(part[3]),
-            }
-        )
+    """Add what the file name in path says."""
+    others = [name for name in df.columns if name != path]
+    named = df.select(*others, path, F.regexp_extract(path, FILE_NAME, 1).alias("file_name"))
+    # The parts get a column of their own, so that the name is split once per row.
+    split = named.select(*named.columns, F.split("file_name", "[-.]").alias("_parts"))
+    part = F.col("_parts")
+    return split.select(
+        *named.columns,
+        F.get(part, F.lit(0)).alias("variable"),
+        F.substring(F.get(part, F.lit(1)), 1, 4).try_cast("int").alias("period_year"),
+        F.substring(F.get(part, F.lit(1)), 5, 2).try_cast("int").alias("period_month"),
+        F.get(part, F.lit(2)).alias("scale"),
+        F.get(part, F.lit(3)).alias("status"),
+        status_rank(F.get(part, F.lit(3))).alias("status_rank"),
     )
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """One row per file below root, with its tags. File contents are not opened."""
+    """One row per grid file below root, with its tags. File contents are not opened."""
     listing = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -56,7 +54,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         .load(root)
         .select("path", "length")
     )
-    return with_file_tags(listing)
+    return with_file_tags(listing).where(F.col("file_name") != "")
 
 
 def prefer_status(files: DataFrame) -> DataFrame:
@@ -126,7 +124,7 @@ def profile_source(lines: DataFrame, crosswalk: DataFrame) -> DataFrame:
         F.size(cells).alias("columns"),
         F.size(F.filter(cells, lambda c: F.trim(c) == "")).alias("blanks"),
         F.trim(cells[1]).alias("region_code"),
-    ).join(F.broadcast(crosswalk.select("region_code", F.lit(True).alias("known"))), "region_code", "left")
+    ).join(crosswalk.select("region_code", F.lit(True).alias("known")), "region_code", "left")
     # Per code first: the distinct count below then sees one row per code.
     per_code = shaped.groupBy("region_code", "known").agg(
         F.count("*").alias("rows"),

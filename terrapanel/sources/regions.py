@@ -9,7 +9,7 @@ from terrapanel.schemas import COUNTY_REFERENCE, conform
 
 
 def crosswalk(spark: SparkSession) -> DataFrame:
-    """Grid code, FIPS, postal: always 48 rows, so callers may broadcast it."""
+    """Grid code, FIPS, postal: 48 rows as a literal table, whose size Spark knows."""
     rows = ", ".join(str(row) for row in state_rows())
     return spark.sql(f"SELECT * FROM VALUES {rows} AS states(region_code, state_fips, state_abbr)")
 

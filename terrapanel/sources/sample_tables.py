@@ -120,7 +120,7 @@ def state_panel(spark: SparkSession, sf: str, **chosen) -> DataFrame:
     states = crosswalk(spark).select(
         F.col("region_code").cast("long").alias("region_number"), "state_fips", "state_abbr"
     )
-    return _monthly(spark, sf, STATE, **chosen).join(F.broadcast(states), "region_number").drop("region_number")
+    return _monthly(spark, sf, STATE, **chosen).join(states, "region_number").drop("region_number")
 
 
 def county_panel(spark: SparkSession, sf: str, **chosen) -> DataFrame:
@@ -231,14 +231,13 @@ def landed_wide_csv(spark: SparkSession, sf: str) -> str:
 
 def counties(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as the county list."""
-    by_code = F.broadcast(crosswalk(spark))
     suppliers = table(spark, sf, "supplier").select(
         pad_key(F.col("s_suppkey"), 5).alias("fips_code"),
         F.col("s_name").alias("county_name"),
         F.abs("s_acctbal").cast("decimal(10,2)").alias("land_sq_mi"),
         pad_key(F.col("s_nationkey") + 1, 2).alias("region_code"),
     )
-    return suppliers.join(by_code, "region_code")
+    return suppliers.join(crosswalk(spark), "region_code")
 
 
 def coded_events(spark: SparkSession, sf: str) -> DataFrame:

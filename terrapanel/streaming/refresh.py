@@ -66,7 +66,8 @@ def stream_arrivals(
     def bring_up_to_date(batch: DataFrame, _batch_id: int) -> None:
         # One number per calendar month. The load itself runs on the outer session,
         # which unlike the stream's keeps adaptive execution.
-        months = [row[0] for row in with_file_tags(batch).select(period).distinct().collect()]
+        arrived = with_file_tags(batch).select(period).distinct().collect()
+        months = [row[0] for row in arrived if row[0] is not None]
         load_files(list_files(spark, landing).where(period.isin(months)), table, grain, loaded_on)
 
     return (

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import exchanges, rows
+from helpers import exchanges, plan_of, rows
 from terrapanel.operators import cleaning
 from terrapanel.schemas import COUNTY, STATE
 from terrapanel.sources import daily_grid as grid
@@ -160,4 +160,17 @@ def test_best_status_totals(spark):
 def test_fold_needs_no_shuffle(spark, landing):
     scanned = grid.scan_grid(spark, str(landing), "ste")
     assert exchanges(cleaning.fold_month(scanned)) == 0
-    assert exchanges(cleaning.monthly_from_grid(scanned, STATE, crosswalk(spark))) == 1
+    panel = cleaning.monthly_from_grid(scanned, STATE, crosswalk(spark))
+    assert exchanges(panel) == 1 and "BroadcastHashJoin" in plan_of(panel)
+
+
+def test_a_large_crosswalk_is_not_broadcast(spark, landing):
+    """No hint forces it: beyond Spark's threshold the join falls back to a shuffle."""
+    scanned = grid.scan_grid(spark, str(landing), "ste")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100")
+    try:
+        panel = cleaning.monthly_from_grid(scanned, STATE, crosswalk(spark))
+        assert "BroadcastHashJoin" not in plan_of(panel) and panel.count() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
