@@ -137,6 +137,20 @@ def source_profile(spark, sf):
     return grid.profile_source(lines, crosswalk(spark))
 
 
+@register(
+    "source_probe",
+    sql(
+        f"""SELECT DISTINCT {_FILE_COLUMNS.format('ste')} FROM chosen
+            WHERE variable = 'tavg' AND period_year = 2001 AND period_month = 9""",
+        "chosen",
+    ),
+)
+def source_probe(spark, sf):
+    """In November the newest mean-temperature file looked for is that of September."""
+    probed = grid.probe_files(_listing(spark, sf, STATE), F.lit("2001-11-30").cast("date"))
+    return probed.select(*grid.FILE_TAGS).distinct()
+
+
 def _folded(spark, sf, grain):
     return cleaning.fold_month(_scan(spark, sf, grain))
 

@@ -172,6 +172,21 @@ def refresh_scope(spark, sf):
     return _stored_panel(spark, table)
 
 
+@register(
+    "refresh_population",
+    sql("SELECT *, DATE '2001-11-30' AS ingested_at FROM pop", "pop"),
+)
+def refresh_population(spark, sf):
+    """The population sources are always loaded in full; loading them twice changes nothing."""
+    table = fresh_path(spark, "population")
+    loaded_on = F.lit("2001-11-30").cast("date")
+    for _ in range(2):
+        refreshing.refresh_population(
+            models.old_population(spark, sf), models.new_population(spark, sf), table, loaded_on
+        )
+    return spark.read.parquet(table)
+
+
 @register("arrival_stream", sql(_LOADED, "state_grid", "xwalk", "chosen"))
 def arrival_stream(spark, sf):
     """All landed files picked up by a file stream that ends when none is left."""

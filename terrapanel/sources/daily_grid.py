@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from terrapanel.functions.values import probe_month
 from terrapanel.refdata import MEASURES, STATUSES
 from terrapanel.schemas import GRID_SCHEMA
 
@@ -117,6 +118,17 @@ def in_refresh_scope(files: DataFrame, as_of: Column) -> DataFrame:
     return files.where(F.col("period_year").between(F.year(as_of) - 1, F.year(as_of)))
 
 
+def probe_files(files: DataFrame, as_of: Column, variable: str = "tavg") -> DataFrame:
+    """The best files of one variable for the newest month expected to be out."""
+    month = probe_month(as_of)
+    probed = files.where(
+        (F.col("variable") == variable)
+        & (F.col("period_year") == F.year(month))
+        & (F.col("period_month") == F.month(month))
+    )
+    return prefer_status(probed)
+
+
 def profile_source(lines: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """Shape of headerless text lines: rows, fewest and most columns, blank cells, codes not in the crosswalk."""
     cells = F.split("value", ",")

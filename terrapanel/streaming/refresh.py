@@ -8,7 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from terrapanel.operators.cleaning import monthly_from_grid
 from terrapanel.operators.upsert import upsert_table
-from terrapanel.schemas import STATE, Grain
+from terrapanel.plans.population import population_long
+from terrapanel.schemas import KEYS, POPULATION_ANNUAL, STATE, Grain, conform
 from terrapanel.sources.daily_grid import (
     in_refresh_scope,
     list_files,
@@ -17,7 +18,7 @@ from terrapanel.sources.daily_grid import (
     read_files,
     with_file_tags,
 )
-from terrapanel.sources.regions import crosswalk
+from terrapanel.sources.regions import crosswalk, state_lookup
 
 
 def load_files(
@@ -37,6 +38,15 @@ def refresh(spark: SparkSession, landing: str, table: str, as_of: Column, grain:
     load_files(in_refresh_scope(list_files(spark, landing), as_of), table, grain, as_of)
 
 
+def refresh_population(old: DataFrame, new: DataFrame, table: str, loaded_on: Column) -> None:
+    """Both population sources in full, upserted; abbreviations already stored are kept. Runs jobs."""
+    annual = population_long(old, new, state_lookup(old.sparkSession))
+    batch = conform(annual.withColumn("ingested_at", loaded_on), POPULATION_ANNUAL)
+    upsert_table(
+        table, batch, KEYS["population_annual"], updates=["population", "source", "ingested_at"]
+    )
+
+
 def stream_arrivals(
     spark: SparkSession,
     landing: str,

@@ -141,6 +141,13 @@ def test_refresh_scope(spark):
     assert sorted(r.period_year for r in kept.collect()) == [1999, 2000]
 
 
+def test_probe(spark):
+    names = [f"tavg-{period}-ste-prelim.csv" for period in (200011, 200012)] + ["tmax-200011-ste-prelim.csv"]
+    files = grid.with_file_tags(spark.createDataFrame([(n,) for n in names], "path string"))
+    probed = grid.probe_files(files, F.lit("2001-01-15").cast("date"))
+    assert [r.file_name for r in probed.collect()] == [names[0]]
+
+
 def test_profile(spark, landing):
     lines = spark.read.text(str(landing / "tmin-199902-ste-prelim.csv"))
     row = grid.profile_source(lines, crosswalk(spark)).first()

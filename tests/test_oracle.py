@@ -1,34 +1,21 @@
 """Every registered query against its SQL twin on the smallest tables."""
 
-import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from sqltwin import assert_agrees, connect
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events".split()
 
 
 @pytest.fixture(scope="module")
 def db():
-    connection = duckdb.connect()
-    for name in TABLES:
-        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
-    return connection
-
-
-def _sorted(records, names):
-    places = sorted(range(len(names)), key=lambda i: names[i])
-    return sorted(repr(tuple(r[i] for i in places)) for r in records)
+    return connect(SF)
 
 
 @pytest.mark.parametrize("key", sorted(queries()))
 def test_agrees_with_sql(spark, db, key):
-    frame = queries()[key](spark, SF)
-    cursor = db.execute(oracle_sql()[key])
-    names = [column[0] for column in cursor.description]
-    assert sorted(names) == sorted(frame.columns)
-    assert _sorted(frame.collect(), frame.columns) == _sorted(cursor.fetchall(), names)
+    assert_agrees(spark, db, SF, key)
 
 
 def test_every_query_has_a_twin():
