@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrapanel.operators.upsert import write_partitioned
 from terrapanel.plans import marts
 from terrapanel.plans.overlays import mart_overlay, overlay_branch, population_overlay
 from terrapanel.plans.population import population_long
 from terrapanel.registry.base import BASE_END, BASE_START
+from terrapanel.session import landed_once
 from terrapanel.sources import population as sources
 from terrapanel.sources import sample_tables as sample
 from terrapanel.sources.regions import state_lookup
@@ -45,6 +47,37 @@ def population(spark: SparkSession, sf: str) -> DataFrame:
     return population_long(old_population(spark, sf), new_population(spark, sf), state_lookup(spark))
 
 
+def _stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """A mart at rest, partitioned by year: built from the given tables once per session."""
+
+    def write(path: str) -> None:
+        write_partitioned(build(), path, "period_year")
+
+    return spark.read.parquet(landed_once(spark, name, sf, write))
+
+
+def stored_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "mart-monthly", lambda: monthly(spark, sf))
+
+
+def stored_annual(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "mart-annual", lambda: marts.mart_annual(stored_monthly(spark, sf)))
+
+
+def stored_population(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "population", lambda: population(spark, sf))
+
+
+def stored_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    """The overlay mart with the climate mean as its second dataset."""
+
+    def build() -> DataFrame:
+        climate = overlay_branch(stored_annual(spark, sf), "climate_tavg", F.col("tavg_f"))
+        return mart_overlay(population_overlay(stored_population(spark, sf)), climate)
+
+    return _stored(spark, sf, "mart-overlay", build)
+
+
 def overlay(spark: SparkSession, sf: str) -> DataFrame:
     """Population, and the climate mean as a second dataset."""
     climate = overlay_branch(annual(spark, sf), "climate_tavg", F.col("tavg_f"))

@@ -6,12 +6,9 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators import cleaning
 from terrapanel.operators import quality as q
-from terrapanel.plans import marts
-from terrapanel.plans.overlays import mart_overlay, overlay_branch, population_overlay
 from terrapanel.registry import models
 from terrapanel.registry.base import register, sql
 from terrapanel.schemas import KEYS, STATE
-from terrapanel.session import staged
 from terrapanel.sources import sample_tables as sample
 from terrapanel.sources.regions import crosswalk, state_lookup
 
@@ -69,15 +66,6 @@ _POPULATION_REQUIRED = ["state_fips", "period_year", "population"]
 _OVERLAY_REQUIRED = ["value"]
 
 
-def _stored_marts(spark, sf):
-    """The marts at rest, as the checks find them: the raw table is read once for all."""
-    monthly = staged(models.monthly(spark, sf), "mart_monthly")
-    annual = marts.mart_annual(monthly)
-    people = staged(models.population(spark, sf), "population")
-    climate = overlay_branch(annual, "climate_tavg", F.col("tavg_f"))
-    return monthly, annual, people, mart_overlay(population_overlay(people), climate)
-
-
 @register(
     "not_null",
     sql(
@@ -93,11 +81,10 @@ def _stored_marts(spark, sf):
 )
 def not_null(spark, sf):
     """Temperature and rain are allowed to be null; here they show that nulls are counted."""
-    monthly, _, people, overlay = _stored_marts(spark, sf)
-    return (
-        q.not_null(monthly, "monthly", _MONTHLY_REQUIRED)
-        .unionByName(q.not_null(people, "population", _POPULATION_REQUIRED))
-        .unionByName(q.not_null(overlay, "overlay", _OVERLAY_REQUIRED))
+    monthly = q.not_null(models.stored_monthly(spark, sf), "monthly", _MONTHLY_REQUIRED)
+    people = q.not_null(models.stored_population(spark, sf), "population", _POPULATION_REQUIRED)
+    return monthly.unionByName(people).unionByName(
+        q.not_null(models.stored_overlay(spark, sf), "overlay", _OVERLAY_REQUIRED)
     )
 
 
@@ -128,7 +115,8 @@ _COARSE = ["state_fips", "period_year"]
 )
 def unique_key(spark, sf):
     """The second report uses too few columns on purpose, so that it finds clashes."""
-    monthly, annual, _, overlay = _stored_marts(spark, sf)
+    monthly = models.stored_monthly(spark, sf)
+    annual, overlay = models.stored_annual(spark, sf), models.stored_overlay(spark, sf)
     return (
         q.unique_key(monthly, "mart_monthly", KEYS["mart_monthly"])
         .unionByName(q.unique_key(monthly, "coarse_monthly", _COARSE))
@@ -161,7 +149,7 @@ def completeness(spark, sf):
 )
 def missing_cells(spark, sf):
     """1995 is not in the population sources, so its cells are reported."""
-    return q.missing_cells(models.population(spark, sf), state_lookup(spark), 1995, "state_fips")
+    return q.missing_cells(models.stored_population(spark, sf), state_lookup(spark), 1995, "state_fips")
 
 
 @register(

@@ -1,10 +1,10 @@
-"""Parametrised reads and chart feeds."""
+"""Parametrised reads and chart feeds, run on the marts at rest."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrapanel.plans import overlays, queries
+from terrapanel.plans import queries
 from terrapanel.registry import models
 from terrapanel.registry.base import (
     ANNUAL_VALUES,
@@ -18,30 +18,16 @@ from terrapanel.registry.base import (
     sql_r8,
 )
 from terrapanel.registry.population import _PEARSON
-from terrapanel.schemas import MONTHLY_COLUMNS
-from terrapanel.session import staged
+from terrapanel.schemas import ANNUAL_COLUMNS, MONTHLY_COLUMNS
 
 # XX is asked for and has no rows.
 STATES = "tx, FL ,NY,XX"
 _IN_STATES = "state_abbr IN ('TX', 'FL', 'NY', 'XX')"
 
 
-def _annual(spark, sf):
-    return models.annual(spark, sf)
-
-
-def _monthly(spark, sf):
-    return models.monthly(spark, sf)
-
-
-def _stored_monthly(spark, sf):
-    """The mart at rest, for queries that read it more than once."""
-    return staged(models.monthly(spark, sf), "mart_monthly")
-
-
 @register("annual_map", sql(f"SELECT {SQL_ANNUAL} FROM annual WHERE period_year = 1998", "annual"))
 def annual_map(spark, sf):
-    return rounded(queries.annual_map(_annual(spark, sf), 1998), *ANNUAL_VALUES)
+    return rounded(queries.annual_map(models.stored_annual(spark, sf), 1998), *ANNUAL_VALUES)
 
 
 _COMPARE = """SELECT '{0}' AS side, {1} FROM annual WHERE period_year = {2}"""
@@ -55,7 +41,7 @@ _COMPARE = """SELECT '{0}' AS side, {1} FROM annual WHERE period_year = {2}"""
     ),
 )
 def compare_years(spark, sf):
-    return rounded(queries.compare_years(_annual(spark, sf), START, END), *ANNUAL_VALUES)
+    return rounded(queries.compare_years(models.stored_annual(spark, sf), START, END), *ANNUAL_VALUES)
 
 
 @register(
@@ -67,12 +53,12 @@ def compare_years(spark, sf):
 )
 def year_nest(spark, sf):
     """The same year on both sides."""
-    return rounded(queries.compare_years(_annual(spark, sf), 1999, 1999), *ANNUAL_VALUES)
+    return rounded(queries.compare_years(models.stored_annual(spark, sf), 1999, 1999), *ANNUAL_VALUES)
 
 
 @register("latest_year", sql("SELECT max(period_year) AS latest_year FROM monthly", "monthly"))
 def latest_year(spark, sf):
-    return queries.latest_year(_monthly(spark, sf))
+    return queries.latest_year(models.stored_monthly(spark, sf))
 
 
 @register(
@@ -84,7 +70,7 @@ def latest_year(spark, sf):
     ),
 )
 def latest_month_in_year(spark, sf):
-    return queries.latest_month(_monthly(spark, sf))
+    return queries.latest_month(models.stored_monthly(spark, sf))
 
 
 _CUT = "period_month <= (SELECT max(period_month) FROM monthly WHERE period_year = 2001)"
@@ -99,7 +85,7 @@ _CUT = "period_month <= (SELECT max(period_month) FROM monthly WHERE period_year
     ),
 )
 def year_anomaly_cutoff(spark, sf):
-    return rounded(queries.year_anomalies(_stored_monthly(spark, sf), START), "anomaly_f")
+    return rounded(queries.year_anomalies(models.stored_monthly(spark, sf), START), "anomaly_f")
 
 
 @register(
@@ -111,7 +97,7 @@ def year_anomaly_cutoff(spark, sf):
     ),
 )
 def period_avg_temp(spark, sf):
-    return rounded(queries.average_temperature(_monthly(spark, sf), 1996, 2000), "avg_tavg_f")
+    return rounded(queries.average_temperature(models.stored_monthly(spark, sf), 1996, 2000), "avg_tavg_f")
 
 
 _CHANGE = f"""SELECT state_abbr,
@@ -129,7 +115,7 @@ _CHANGE = f"""SELECT state_abbr,
     ),
 )
 def period_summary(spark, sf):
-    return rounded(queries.period_summary(_stored_monthly(spark, sf), START), "change_f", "avg_tavg_f")
+    return rounded(queries.period_summary(models.stored_monthly(spark, sf), START), "change_f", "avg_tavg_f")
 
 
 @register(
@@ -144,7 +130,7 @@ def period_summary(spark, sf):
     ),
 )
 def period_change_join(spark, sf):
-    summary = queries.period_summary(_stored_monthly(spark, sf), 1996, 2000)
+    summary = queries.period_summary(models.stored_monthly(spark, sf), 1996, 2000)
     return rounded(summary.select("state_abbr", "change_f"), "change_f")
 
 
@@ -156,7 +142,7 @@ def period_change_join(spark, sf):
     ),
 )
 def period_map_series(spark, sf):
-    return rounded(queries.period_map_series(queries.period_summary(_stored_monthly(spark, sf), START)), "value")
+    return rounded(queries.period_map_series(queries.period_summary(models.stored_monthly(spark, sf), START)), "value")
 
 
 @register(
@@ -164,7 +150,7 @@ def period_map_series(spark, sf):
     sql(f"SELECT {SQL_ANNUAL} FROM annual WHERE state_abbr = 'GA' ORDER BY period_year", "annual"),
 )
 def state_trend(spark, sf):
-    return rounded(queries.state_trend(_annual(spark, sf), "ga", START), *ANNUAL_VALUES)
+    return rounded(queries.state_trend(models.stored_annual(spark, sf), "ga", START), *ANNUAL_VALUES)
 
 
 @register(
@@ -175,7 +161,7 @@ def state_trend(spark, sf):
     ),
 )
 def order_by_year(spark, sf):
-    return rounded(queries.state_trend(_annual(spark, sf), "TX", START, 1999), *ANNUAL_VALUES)
+    return rounded(queries.state_trend(models.stored_annual(spark, sf), "TX", START, 1999), *ANNUAL_VALUES)
 
 
 _TREND = sql(
@@ -187,17 +173,18 @@ _TREND = sql(
 
 @register("states_trend", _TREND)
 def states_trend(spark, sf):
-    return rounded(queries.states_trend(_annual(spark, sf), STATES, 1996, 2000), *ANNUAL_VALUES)
+    return rounded(queries.states_trend(models.stored_annual(spark, sf), STATES, 1996, 2000), *ANNUAL_VALUES)
 
 
 @register("order_by_region_year", sql(f"SELECT {SQL_ANNUAL} FROM annual ORDER BY state_abbr, period_year", "annual"))
 def order_by_region_year(spark, sf):
-    return rounded(_annual(spark, sf).orderBy("state_abbr", "period_year"), *ANNUAL_VALUES)
+    rows = models.stored_annual(spark, sf).select(*ANNUAL_COLUMNS)
+    return rounded(rows.orderBy("state_abbr", "period_year"), *ANNUAL_VALUES)
 
 
 @register("region_filter", sql(f"SELECT {SQL_ANNUAL} FROM annual WHERE {_IN_STATES}", "annual"))
 def region_filter(spark, sf):
-    return rounded(queries.in_regions(_annual(spark, sf), queries.requested_ids(STATES)), *ANNUAL_VALUES)
+    return rounded(queries.in_regions(models.stored_annual(spark, sf), queries.requested_ids(STATES)), *ANNUAL_VALUES)
 
 
 @register(
@@ -210,7 +197,7 @@ def region_filter(spark, sf):
 )
 def period_predicates(spark, sf):
     month = F.col("period_month")
-    rows = _monthly(spark, sf).where(F.col("period_year").between(1996, 2000) & (month <= 6) & month.isin(1, 6, 9))
+    rows = models.stored_monthly(spark, sf).where(F.col("period_year").between(1996, 2000) & (month <= 6) & month.isin(1, 6, 9))
     return rounded(rows.select(*MONTHLY_COLUMNS), *ANNUAL_VALUES)
 
 
@@ -222,7 +209,7 @@ def period_predicates(spark, sf):
     ),
 )
 def month_drilldown(spark, sf):
-    return rounded(queries.month_drilldown(_monthly(spark, sf), "ga", 7), *ANNUAL_VALUES)
+    return rounded(queries.month_drilldown(models.stored_monthly(spark, sf), "ga", 7), *ANNUAL_VALUES)
 
 
 _AROUND = "OVER (PARTITION BY {0} ORDER BY period_year ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
@@ -238,7 +225,7 @@ _AROUND = "OVER (PARTITION BY {0} ORDER BY period_year ROWS BETWEEN 2 PRECEDING
     ),
 )
 def drilldown_chart_series(spark, sf):
-    return rounded(queries.drilldown_chart_series(_monthly(spark, sf), "GA", 7), "value")
+    return rounded(queries.drilldown_chart_series(models.stored_monthly(spark, sf), "GA", 7), "value")
 
 
 @register(
@@ -257,7 +244,7 @@ def drilldown_chart_series(spark, sf):
 )
 def series_nest(spark, sf):
     """Nested per region, then summarised so that both engines can compare it."""
-    nested = queries.nested_by_request(_annual(spark, sf), STATES, ["tavg_f"])
+    nested = queries.nested_by_request(models.stored_annual(spark, sf), STATES, ["tavg_f"])
     years = F.array_join(F.transform("series", lambda point: point["period_year"].cast("string")), ",")
     return nested.select(
         "position",
@@ -277,13 +264,12 @@ def series_nest(spark, sf):
     ),
 )
 def overlay_series(spark, sf):
-    people = overlays.population_overlay(models.population(spark, sf))
-    return queries.overlay_series(people, "census_population", STATES, START)
+    return queries.overlay_series(models.stored_overlay(spark, sf), "census_population", STATES, START)
 
 
 @register("correlation", sql(_PEARSON + " WHERE state_abbr = 'TX'", "pop", "annual"))
 def correlation(spark, sf):
-    rows = queries.correlation(models.overlay(spark, sf), "census_population", "climate_tavg", "tx")
+    rows = queries.correlation(models.stored_overlay(spark, sf), "census_population", "climate_tavg", "tx")
     return rounded(rows, "pearson_r")
 
 
@@ -304,6 +290,6 @@ def correlation(spark, sf):
     ),
 )
 def trend_chart_series(spark, sf):
-    people = overlays.population_overlay(models.population(spark, sf))
-    lines = queries.trend_chart_series(_annual(spark, sf), STATES, 1996, 2000, overlay=people)
+    overlay = models.stored_overlay(spark, sf)
+    lines = queries.trend_chart_series(models.stored_annual(spark, sf), STATES, 1996, 2000, overlay=overlay)
     return rounded(lines, "value")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,19 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_landed: dict[tuple[str, ...], str] = {}
+
+
+def landed_once(spark: SparkSession, label: str, source: str, write: Callable[[str], None]) -> str:
+    """Path of a table written once per session from a source. Runs a job the first time."""
+    key = (spark.sparkContext.applicationId, label, source)
+    if key not in _landed:
+        path = fresh_path(spark, label)
+        write(path)
+        _landed[key] = path
+    return _landed[key]
+
+
 def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)

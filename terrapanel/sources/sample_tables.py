@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.values import celsius_to_fahrenheit, drop_missing, mm_to_inches, pad_key
 from terrapanel.refdata import MEASURES, STATUSES, SUMMED
 from terrapanel.schemas import COUNTY, DAY_COLUMNS, STATE, Grain
-from terrapanel.session import fresh_path
+from terrapanel.session import landed_once
 from terrapanel.sources.daily_grid import file_name
 from terrapanel.sources.regions import crosswalk
 
@@ -29,7 +29,6 @@ OVERLAP_YEAR = 1998
 VINTAGES = ["1998-2001", "1998-2000"]
 
 _LINES = {"tmax": (1, 2), "tmin": (3, 4), "tavg": (5, 6), "prcp": (7, 7)}
-_landed: dict[tuple[str, ...], str] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -149,16 +148,6 @@ def grid_rows(spark: SparkSession, sf: str, grain: Grain) -> DataFrame:
     )
 
 
-def _land(spark: SparkSession, kind: str, sf: str, write) -> str:
-    """Write an input once per session and remember where. Runs a job the first time."""
-    key = (spark.sparkContext.applicationId, kind, sf)
-    if key not in _landed:
-        path = fresh_path(spark, kind)
-        write(path)
-        _landed[key] = path
-    return _landed[key]
-
-
 def landed_grid(spark: SparkSession, sf: str, grain: Grain) -> str:
     def write(path: str) -> None:
         (
@@ -169,7 +158,7 @@ def landed_grid(spark: SparkSession, sf: str, grain: Grain) -> str:
             .csv(path)
         )
 
-    return _land(spark, f"grid-{grain.scale}", sf, write)
+    return landed_once(spark, f"grid-{grain.scale}", sf, write)
 
 
 def order_counts(spark: SparkSession, sf: str) -> DataFrame:
@@ -205,7 +194,7 @@ def landed_json(spark: SparkSession, sf: str) -> str:
             .text(path)
         )
 
-    return _land(spark, "old-population", sf, write)
+    return landed_once(spark, "old-population", sf, write)
 
 
 def landed_wide_csv(spark: SparkSession, sf: str) -> str:
@@ -226,7 +215,7 @@ def landed_wide_csv(spark: SparkSession, sf: str) -> str:
             both = rows.agg(*columns).unionByName(total.agg(*columns))
             both.write.option("header", "true").csv(f"{path}/{vintage}")
 
-    return _land(spark, "new-population", sf, write)
+    return landed_once(spark, "new-population", sf, write)
 
 
 def counties(spark: SparkSession, sf: str) -> DataFrame:
