@@ -69,7 +69,9 @@ def upsert_table(
     """Merge a batch into the Parquet table at path, rewriting only the touched partitions. Runs jobs.
 
     The batch and the merged partitions are first written to the shared folder, so the
-    swap reads nothing it replaces and a failed run can be repeated with the same result.
+    swap reads nothing it replaces. Until the swap a failed run leaves the table as it
+    was. Should the driver end within the swap, the logged merged folder is complete:
+    pass what it holds to write_partitioned again.
     """
     spark = batch.sparkSession
     batch = require_unique(staged(batch, "batch"), keys)
@@ -78,22 +80,27 @@ def upsert_table(
     if not touched:
         return
     table = read_if_exists(spark, path)
-    if table is None:
-        merged = batch
-    else:
+    merged = batch
+    if table is not None:
         existing = table.where(F.col(partition).isin(touched)).select(*batch.columns)
         if updates is None:
             merged = replace_rows(existing, batch, keys)
         else:
             merged = patch_rows(existing, batch, keys, updates)
         merged = staged(merged, "merged")
-    write_partitioned(merged, path, partition)
+    write_partitioned(merged, path, partition, keys)
 
 
-def write_partitioned(df: DataFrame, path: str, partition: str) -> None:
-    """Overwrite the partitions present in df; the rebalance keeps file sizes even under skew."""
+def _laid_out(df: DataFrame, partition: str, sort: list[str]) -> DataFrame:
+    """Even files per partition, also for a hot one, sorted so that row groups can be skipped by key."""
+    order = [partition, *[name for name in sort if name != partition]]
+    return df.hint("rebalance", partition).sortWithinPartitions(*order)
+
+
+def write_partitioned(df: DataFrame, path: str, partition: str, sort: list[str]) -> None:
+    """Overwrite the partitions present in df and leave the others. Runs a job."""
     (
-        df.hint("rebalance", partition)
+        _laid_out(df, partition, sort)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
@@ -107,10 +114,10 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.table(name)
 
 
-def publish_table(df: DataFrame, name: str, path: str, partition: str) -> DataFrame:
+def publish_table(df: DataFrame, name: str, path: str, partition: str, sort: list[str]) -> DataFrame:
     """Marts: a Parquet table at path. Runs a job."""
     (
-        df.hint("rebalance", partition)
+        _laid_out(df, partition, sort)
         .write.mode("overwrite")
         .partitionBy(partition)
         .option("path", path)

@@ -47,11 +47,11 @@ def population(spark: SparkSession, sf: str) -> DataFrame:
     return population_long(old_population(spark, sf), new_population(spark, sf), state_lookup(spark))
 
 
-def _stored(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+def _stored(spark: SparkSession, sf: str, name: str, build, sort: str = "state_fips") -> DataFrame:
     """A mart at rest, partitioned by year: built from the given tables once per session."""
 
     def write(path: str) -> None:
-        write_partitioned(build(), path, "period_year")
+        write_partitioned(build(), path, "period_year", [sort])
 
     return spark.read.parquet(landed_once(spark, name, sf, write))
 
@@ -75,7 +75,7 @@ def stored_overlay(spark: SparkSession, sf: str) -> DataFrame:
         climate = overlay_branch(stored_annual(spark, sf), "climate_tavg", F.col("tavg_f"))
         return mart_overlay(population_overlay(stored_population(spark, sf)), climate)
 
-    return _stored(spark, sf, "mart-overlay", build)
+    return _stored(spark, sf, "mart-overlay", build, "dataset")
 
 
 def overlay(spark: SparkSession, sf: str) -> DataFrame:

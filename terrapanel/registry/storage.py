@@ -118,7 +118,7 @@ def materialize(spark, sf):
     tag = uuid.uuid4().hex
     staged = upsert.publish_view(models.staged(spark, sf), f"staging_climate_{tag}")
     annual = marts.mart_annual(marts.anomaly_by_region(staged, 1996, 1998))
-    table = upsert.publish_table(annual, f"mart_annual_{tag}", fresh_path(spark, "mart_annual"), "period_year")
+    table = upsert.publish_table(annual, f"mart_annual_{tag}", fresh_path(spark, "mart_annual"), "period_year", ["state_fips"])
     return rounded(table, *ANNUAL_VALUES)
 
 

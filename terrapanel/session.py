@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import tempfile
 import uuid
@@ -10,6 +11,8 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+log = logging.getLogger(__name__)
+
 
 def build_session(app: str = "terrapanel", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC; extra settings override."""
@@ -52,6 +55,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.parquet(path)
+    log.info("%s staged in %s", label, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -84,7 +84,7 @@ def test_population_upsert_keeps_the_label(spark, tmp_path):
 def test_publish(spark, tmp_path):
     df = frame(spark, ("a", 1, 1.0, "x"), ("b", 2, 2.0, "x"))
     assert upsert.publish_view(df, "staging_x").count() == 2
-    table = upsert.publish_table(df, "mart_x", str(tmp_path / "mart"), "period_year")
+    table = upsert.publish_table(df, "mart_x", str(tmp_path / "mart"), "period_year", ["k"])
     assert rows(table.select("k"), "k") == [("a",), ("b",)]
     assert "PartitionFilters: [isnotnull(period_year" in plan_of(table.where("period_year = 1"))
     spark.sql("DROP TABLE mart_x")
