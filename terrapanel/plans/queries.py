@@ -117,7 +117,10 @@ def state_trend(annual: DataFrame, state: str, start: int = 1991, end: int | Non
     return rows.select(*ANNUAL_COLUMNS).orderBy("period_year")
 
 
-def in_regions(df: DataFrame, ids: list[str], region: str = "state_abbr") -> DataFrame:
+def in_regions(df: DataFrame, ids: list[str] | DataFrame, region: str = "state_abbr") -> DataFrame:
+    """Rows of some regions: a short list is pushed to the scan, a frame of ids is semi-joined."""
+    if isinstance(ids, DataFrame):
+        return df.join(ids.select(region), region, "left_semi")
     return df.where(F.col(region).isin(ids))
 
 

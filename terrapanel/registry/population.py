@@ -47,16 +47,7 @@ def wide_csv_scan(spark, sf):
 @register("vintage_preference", sql("SELECT * FROM new_pop", "new_pop"))
 def vintage_preference(spark, sf):
     """Both vintages are on storage; the newer one is read."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(sample.landed_wide_csv(spark, sf))
-        .select("path", F.regexp_extract("path", r"/(\d{4}-\d{4})/", 1).alias("vintage"))
-    )
-    chosen = sources.newest_vintage(listing, sample.VINTAGES).collect()
-    wide = sources.read_wide_csv(spark, [row.path for row in chosen])
-    return sources.new_population(wide, chosen[0].vintage)
+    return sources.read_newest(spark, sample.landed_wide_csv(spark, sf), sample.VINTAGES)
 
 
 @register(

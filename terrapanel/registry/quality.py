@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators import cleaning
 from terrapanel.operators import quality as q
+from terrapanel.plans import marts
+from terrapanel.plans.checks import REQUIRED, UNIQUE, model_checks
 from terrapanel.registry import models
-from terrapanel.registry.base import register, sql
+from terrapanel.registry.base import BASE_END, BASE_START, register, sql
 from terrapanel.schemas import KEYS, STATE
+from terrapanel.session import staged
 from terrapanel.sources import sample_tables as sample
 from terrapanel.sources.regions import crosswalk, state_lookup
 
@@ -125,6 +128,47 @@ def unique_key(spark, sf):
     )
 
 
+_MODEL_TABLES = {
+    "raw_climate": "panel",
+    "raw_population": "pop",
+    "staged_climate": "staged",
+    "anomalies": "anom",
+    "mart_monthly": "monthly",
+    "mart_annual": "annual",
+    "staged_population": "pop",
+    "mart_overlay": "overlay",
+}
+
+
+@register(
+    "model_checks",
+    sql(
+        " UNION ALL ".join(
+            [_sql_nulls(cte, name, REQUIRED[name]) for name, cte in _MODEL_TABLES.items()]
+            + [_sql_unique(_MODEL_TABLES[name], name, KEYS[name]) for name in UNIQUE]
+        ),
+        *dict.fromkeys(_MODEL_TABLES.values()),
+    ),
+)
+def all_model_checks(spark, sf):
+    """The thirteen not-null and three key rules over all layers; the raw panel is stored first."""
+    raw = staged(sample.state_panel(spark, sf), "raw-panel")
+    staged_climate = marts.stage_climate(raw)
+    people = models.stored_population(spark, sf)
+    return model_checks(
+        {
+            "raw_climate": raw,
+            "raw_population": people,
+            "staged_climate": staged_climate,
+            "anomalies": marts.anomaly_by_region(staged_climate, BASE_START, BASE_END),
+            "mart_monthly": models.stored_monthly(spark, sf),
+            "mart_annual": models.stored_annual(spark, sf),
+            "staged_population": marts.stage_population(people),
+            "mart_overlay": models.stored_overlay(spark, sf),
+        }
+    )
+
+
 @register(
     "completeness",
     sql(

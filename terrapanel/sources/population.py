@@ -75,6 +75,24 @@ def new_population(wide: DataFrame, source: str) -> DataFrame:
     )
 
 
+def list_vintages(spark: SparkSession, root: str) -> DataFrame:
+    """CSV files below root with the vintage their folder is named after. Contents are not opened."""
+    listing = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.csv")
+        .load(root)
+    )
+    vintage = F.regexp_extract("path", r"/(\d{4}-\d{4})/", 1)
+    return listing.select("path", vintage.alias("vintage")).where(F.col("vintage") != "")
+
+
+def read_newest(spark: SparkSession, root: str, candidates: list[str]) -> DataFrame:
+    """Long population rows of the newest vintage present. Collects its file paths."""
+    chosen = newest_vintage(list_vintages(spark, root), candidates).collect()
+    return new_population(read_wide_csv(spark, [row.path for row in chosen]), chosen[0].vintage)
+
+
 def newest_vintage(listing: DataFrame, candidates: list[str]) -> DataFrame:
     """From a listing with a vintage column keep the files of the first candidate present.
 

@@ -1,6 +1,8 @@
 """Baseline, anomaly, rollups, reads and series."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from helpers import exchanges, plan_of, rows
@@ -136,6 +138,12 @@ def test_requested_regions_keep_their_order(monthly):
     ]
 
 
+def test_regions_from_a_frame(spark, monthly):
+    ids = spark.createDataFrame([("WY",), ("XX",)], "state_abbr string")
+    assert {r.state_abbr for r in queries.in_regions(monthly, ids).collect()} == {"WY"}
+    assert {r.state_abbr for r in queries.in_regions(monthly, ["AL"]).collect()} == {"AL"}
+
+
 def test_request_checks(monthly):
     with pytest.raises(ValueError):
         queries.requested_ids(" , ")
@@ -173,6 +181,15 @@ def test_moving_average(spark, numbers, window, smooth):
     assert values_of(spark, numbers, series.moving_average("v", ["r"], window=window)) == smooth
 
 
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(-50, 50).map(float)), min_size=1, max_size=9), st.integers(1, 7))
+def test_moving_average_against_brute_force(spark, numbers, window):
+    half = window // 2
+    around = [[v for v in numbers[max(0, i - half) : i + half + 1] if v is not None] for i in range(len(numbers))]
+    wanted = [sum(part) / len(part) if part else None for part in around]
+    assert values_of(spark, numbers, series.moving_average("v", ["r"], window=window)) == pytest.approx(wanted)
+
+
 def test_moving_average_counts_rows_not_years(spark):
     found = values_of(spark, [1.0, 2.0, 3.0], series.moving_average("v", ["r"], window=3), [1990, 2000, 2010])
     assert found == [1.5, 2.0, 2.5]

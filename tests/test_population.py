@@ -46,6 +46,14 @@ def test_newest_vintage(spark):
         sources.newest_vintage(listing, ["2030"]).collect()
 
 
+def test_read_newest(spark, tmp_path):
+    for vintage, value in (("2020-2024", 4), ("2020-2025", 5)):
+        (tmp_path / vintage).mkdir()
+        (tmp_path / vintage / "e.csv").write_text(f"SUMLEV,STATE,POPESTIMATE2020\n40,1,{value}\n")
+    found = sources.read_newest(spark, str(tmp_path), ["2020-2026", "2020-2025", "2020-2024"])
+    assert rows(found) == [("01", 2020, 5, "2020-2025")]
+
+
 def people(spark, records):
     return spark.createDataFrame(records, "state_fips string, period_year int, population long, source string")
 
