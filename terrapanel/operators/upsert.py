@@ -108,6 +108,11 @@ def write_partitioned(df: DataFrame, path: str, partition: str, sort: list[str])
     )
 
 
+def write_whole(df: DataFrame, path: str, partition: str, sort: list[str]) -> None:
+    """Replace the table at path, partitions df does not have included. Runs a job."""
+    _laid_out(df, partition, sort).write.mode("overwrite").partitionBy(partition).parquet(path)
+
+
 def publish_view(df: DataFrame, name: str) -> DataFrame:
     """Staging and intermediate layers: a view, composed lazily."""
     df.createOrReplaceTempView(name)

@@ -64,7 +64,10 @@ def anomaly_by_region(
 
     Written as a window, so a panel that is itself computed from daily rows is
     computed once. Rows are placed by region, which also serves the rollup and the
-    series that follow without another exchange. A window holds one row per year.
+    series that follow without another exchange.
+
+    Expects one row per region and month, as every aggregate to months gives (unique_key
+    tells); a region's task then holds as many rows as there are months.
     """
     month = W.partitionBy(grain.key, "period_month")
     in_window = F.when(F.col("period_year").between(start, end), F.col("tavg_f"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.operators.upsert import write_partitioned
+from terrapanel.operators.upsert import write_whole
 from terrapanel.plans import marts
+from terrapanel.plans.build import build_marts
 from terrapanel.plans.overlays import mart_overlay, overlay_branch, population_overlay
 from terrapanel.plans.population import population_long
 from terrapanel.registry.base import BASE_END, BASE_START
@@ -47,35 +48,33 @@ def population(spark: SparkSession, sf: str) -> DataFrame:
     return population_long(old_population(spark, sf), new_population(spark, sf), state_lookup(spark))
 
 
-def _stored(spark: SparkSession, sf: str, name: str, build, sort: str = "state_fips") -> DataFrame:
-    """A mart at rest, partitioned by year: built from the given tables once per session."""
-
+def stored_population(spark: SparkSession, sf: str) -> DataFrame:
     def write(path: str) -> None:
-        write_partitioned(build(), path, "period_year", [sort])
+        write_whole(population(spark, sf), path, "period_year", ["state_fips"])
 
-    return spark.read.parquet(landed_once(spark, name, sf, write))
+    return spark.read.parquet(landed_once(spark, "population", sf, write))
 
 
-def stored_monthly(spark: SparkSession, sf: str) -> DataFrame:
-    return _stored(spark, sf, "mart-monthly", lambda: monthly(spark, sf))
+def _stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A mart at rest; all are built from the given tables once per session."""
 
+    def write(root: str) -> None:
+        raw, people = sample.state_panel(spark, sf), stored_population(spark, sf)
+        build_marts(raw, people, root, BASE_START, BASE_END, "climate_tavg")
 
-def stored_annual(spark: SparkSession, sf: str) -> DataFrame:
-    return _stored(spark, sf, "mart-annual", lambda: marts.mart_annual(stored_monthly(spark, sf)))
+    return spark.read.parquet(f"{landed_once(spark, 'marts', sf, write)}/{name}")
 
 
-def stored_population(spark: SparkSession, sf: str) -> DataFrame:
-    return _stored(spark, sf, "population", lambda: population(spark, sf))
+def stored_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "mart_monthly")
 
 
-def stored_overlay(spark: SparkSession, sf: str) -> DataFrame:
-    """The overlay mart with the climate mean as its second dataset."""
+def stored_annual(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "mart_annual")
 
-    def build() -> DataFrame:
-        climate = overlay_branch(stored_annual(spark, sf), "climate_tavg", F.col("tavg_f"))
-        return mart_overlay(population_overlay(stored_population(spark, sf)), climate)
 
-    return _stored(spark, sf, "mart-overlay", build, "dataset")
+def stored_overlay(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored(spark, sf, "mart_overlay")
 
 
 def overlay(spark: SparkSession, sf: str) -> DataFrame:
