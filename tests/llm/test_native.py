@@ -1,0 +1,229 @@
+"""The operators made of DataFrame expressions, against plain Python."""
+
+import hashlib
+import math
+import re
+import struct
+import zlib
+from collections import Counter
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from edge import edge_documents, no_documents
+from terrapanel.llm import fingerprints, secrets, sharding
+from terrapanel.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+
+
+def texts_of(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+
+
+# -- secrets ---------------------------------------------------------------------------------
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def plain_base(text):
+    found = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(found)
+
+
+def plain_added(text, base):
+    added = []
+    for rank, kind in enumerate(secrets.ENTROPY_KINDS, 3):
+        known = base + added
+        for m in re.finditer(kind.candidate, text):
+            if any(re.search(p, m[0]) for p in secrets.ALLOW_LIST):
+                continue
+            if any(k[0] < m.end() and m.start() < k[2] for k in base):
+                continue
+            value = m[0].lower() if kind.fold else m[0]
+            hot = []
+            for i in range(len(value) - kind.window + 1):
+                counts = Counter(value[i : i + kind.window]).values()
+                bits = -sum(c / kind.window * math.log2(c / kind.window) for c in counts)
+                if bits >= kind.bits - 1e-12:
+                    hot.append(i)
+            if hot:
+                span = (m.start() + hot[0], rank, m.start() + hot[-1] + kind.window, kind.name)
+                if rank == 3 or not any(k[0] < span[2] and span[0] < k[2] for k in known if k[1] == 3):
+                    added.append(span)
+    return sorted(added)
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for a, _, b, k in spans)
+
+
+def check_secrets(rows, found):
+    want = []
+    for doc_id, text in rows:
+        base = plain_base(text or "")
+        kinds = Counter(s[3] for s in base)
+        digest = hashlib.sha256(joined(base).encode()).hexdigest()
+        spans = joined(sorted(base + plain_added(text or "", base)))
+        want.append((doc_id, kinds["assign"], kinds["access"], kinds["hex"], digest, spans))
+    key = lambda r: (r[0] is None, r[0] or 0, r[4], r[5])
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
+
+
+def test_secrets_whole_table(spark):
+    check_secrets(texts_of(spark), QUERIES["op1_secret_scans"](spark, SF))
+
+
+def test_secrets_edges(spark):
+    docs = edge_documents(spark)
+    found = secrets.digest(secrets.scan(docs))
+    check_secrets([(r.doc_id, r.text) for r in docs.collect()], found)
+    assert found.where("spans like '%entropy_base64%'").count() == 1
+    assert found.where("spans like '%entropy_hex%'").count() == 1
+    assert secrets.digest(secrets.scan(no_documents(spark))).count() == 0
+
+
+def test_redaction_covers_every_span(spark):
+    found = secrets.scan(edge_documents(spark))
+    spans = F.sort_array(F.concat("base", "added"))
+    for row in found.select("text", spans.alias("all"), secrets.redacted(F.col("text"), spans).alias("clean")).collect():
+        hidden = list(row.text)
+        for s in row.all:
+            hidden[s.start : s.stop] = ["\0"] * (s.stop - s.start)
+        assert row.clean == re.sub("\0+", "[SECRET]", "".join(hidden))
+
+
+# -- sharding --------------------------------------------------------------------------------
+
+
+def check_shards(rows, found, shards):
+    got = found.collect()
+    assert len(got) == len(rows)
+    per = Counter(r.shard for r in got)
+    if rows:
+        sizes = [per[s] for s in range(shards)]
+        assert max(sizes) - min(sizes) <= 1
+    for shard, n in per.items():
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(n))
+    want = Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows)
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+
+
+def test_shards(spark):
+    check_shards(texts_of(spark), QUERIES["op2_sharding"](spark, SF), 40)
+    docs = edge_documents(spark)
+    check_shards([(r.doc_id, r.text) for r in docs.collect()], sharding.shard_documents(docs, 4), 4)
+    check_shards([], sharding.shard_documents(no_documents(spark), 4), 4)
+
+
+def test_shuffle_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = sharding.shard_documents(docs.coalesce(1)).collect()
+    other = sharding.shard_documents(docs.repartition(7)).collect()
+    assert set(map(tuple, one)) == set(map(tuple, other))
+
+
+def test_matrix_margins_and_spread(spark):
+    blocks = spark.range(1024).select(F.col("id").alias("block"), (F.col("id") % 7 * 3).alias("n"))
+    sizes = {r.block: r.n for r in blocks.collect()}
+    total = sum(sizes.values())
+    shard_sizes = [total // 8 + (j < total % 8) for j in range(8)]
+    matrix = {r.block: r.row for r in sharding.communication_matrix(blocks, 2, shard_sizes, 5).collect()}
+    assert {b: sum(row) for b, row in matrix.items()} == sizes
+    assert [sum(row[j] for row in matrix.values()) for j in range(8)] == shard_sizes
+    # chi-square over all cells; its mean is the degrees of freedom, up to the finite-pool factor
+    chi = sum(
+        (k - n / 8) ** 2 / (n / 8) for b, row in matrix.items() if (n := sizes[b]) for k in row
+    )
+    freedom = 7 * sum(1 for n in sizes.values() if n)
+    assert abs(chi - freedom) < 6 * math.sqrt(2 * freedom)
+
+
+def test_hypergeometric_follows_its_distribution(spark):
+    marked, drawn, pool, n = 30, 40, 200, 20000
+    draw = sharding.hypergeometric(*[F.lit(x).cast("long") for x in (marked, drawn, pool)], sharding._unit(F.col("id")))
+    counts = Counter(r[0] for r in spark.range(n).select(draw).collect())
+    for k in range(marked + 1):
+        p = math.comb(marked, k) * math.comb(pool - marked, drawn - k) / math.comb(pool, drawn)
+        assert abs(counts[k] - n * p) <= 5 * math.sqrt(n * p) + 3
+
+
+# -- fingerprints ----------------------------------------------------------------------------
+
+SINGLE = r"[㐀-䶿一-鿿々-〇ぁ-ゟ゠-ヿ가-힯]"
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def chain(a, b):
+    return signed(xxhash.xxh64_intdigest(struct.pack("<q", b), seed=xxhash_seed(a)))
+
+
+def xxhash_seed(a):
+    return xxhash.xxh64_intdigest(struct.pack("<q", a), seed=42)
+
+
+def grow(values, width, combine):
+    have = 1
+    while have < width:
+        by = min(have, width - have)
+        if len(values) > by:
+            values = [combine(a, b) for a, b in zip(values, values[by:])]
+        have += by
+    return values
+
+
+def plain_fingerprint(text):
+    tokens = re.findall(rf"{SINGLE}|(?:(?!{SINGLE})\S)+", text.lower())
+    hashes = [signed(xxhash.xxh64_intdigest(t.encode(), seed=42)) for t in tokens]
+    grams = grow(hashes, fingerprints.K, chain)
+    ranked = [((g % 2**64) >> 32, -i) for i, g in enumerate(grams)]
+    chosen = dict.fromkeys(grow(ranked, fingerprints.W, min))
+    return [(-i, h) for h, i in chosen]
+
+
+def check_fingerprints(rows, found):
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = []
+    for at, (doc_id, text) in enumerate(order):
+        after = order[(at + 1) % len(order)][1]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        prints = [plain_fingerprint(t) for t in (text, edited, after)]
+        sets = [{h for _, h in p} for p in prints]
+        near = [len(sets[0] & s) / len(sets[0] | s) if sets[0] | s else 1.0 for s in sets[1:]]
+        shown = [" ".join(f"{i}:{h:X}" for i, h in p) for p in prints[:2]]
+        want.append((doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), *shown, *near))
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
+
+
+def test_fingerprints_whole_table(spark):
+    check_fingerprints(texts_of(spark), QUERIES["op10_fingerprints"](spark, SF))
+
+
+@pytest.mark.parametrize("cells, rows", [(256, 65536), (2, 3)])
+def test_fingerprints_edges(spark, monkeypatch, cells, rows):
+    monkeypatch.setattr(fingerprints, "CELLS", cells)
+    monkeypatch.setattr(fingerprints, "ROWS", rows)
+    docs = edge_documents(spark)
+    found = fingerprints.digest(fingerprints.fingerprint_with_next(docs))
+    check_fingerprints([(r.doc_id, r.text) for r in docs.collect()], found)
+    assert fingerprints.fingerprint_with_next(no_documents(spark)).count() == 0
+    one = docs.where("doc_id = 8")
+    check_fingerprints([(8, one.first().text)], fingerprints.digest(fingerprints.fingerprint_with_next(one)))
+
+
+def test_match_guarantee(spark):
+    """Two texts that share K + W - 1 consecutive words share a hash."""
+    shared = " ".join(f"common{i}" for i in range(fingerprints.K + fingerprints.W - 1))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(i)) + " " + shared + f" tail{i}") for i in range(20, 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = fingerprints.with_fingerprint(frame, "text", "fp").select(fingerprints.hashes(F.col("fp")).alias("h"))
+    sets = [set(r.h) for r in found.collect()]
+    assert all(a & b for a in sets for b in sets)
