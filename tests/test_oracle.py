@@ -4,6 +4,8 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from sqltwin import assert_agrees, connect
+from terrapanel.registry import ORACLES as PANEL_TWINS
+from terrapanel.registry import QUERIES as PANEL_QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,13 +15,13 @@ def db():
     return connect(SF)
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(PANEL_QUERIES))
 def test_agrees_with_sql(spark, db, key):
     assert_agrees(spark, db, SF, key)
 
 
-def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+def test_every_panel_query_has_a_twin():
+    assert set(PANEL_QUERIES) == set(PANEL_TWINS)
 
 
 def test_entry(spark):
