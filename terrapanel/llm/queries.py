@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import fingerprints, secrets, sharding
+from terrapanel.llm import decontamination, fingerprints, near_duplicates, secrets, sharding, tokenization
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,6 +39,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.digest(decontamination.contamination(documents, benchmark))
+
+
+@register
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenization.digest(tokenization.round_trip(table(spark, sf_dir, "documents")))
+
+
 @register
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(fingerprints.fingerprint_with_next(table(spark, sf_dir, "documents")))
