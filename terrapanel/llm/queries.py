@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import decontamination, fingerprints, near_duplicates, secrets, sharding, tokenization
+from terrapanel.llm import decontamination, fingerprints, html, near_duplicates, secrets, sharding, tokenization, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -39,6 +39,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(warc.stored_and_read(table(spark, sf_dir, "pages")))
+
+
 @register
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -55,6 +60,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.digest(tokenization.round_trip(table(spark, sf_dir, "documents")))
 
 
+@register
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.digest(html.main_texts(table(spark, sf_dir, "pages")))
+
+
 @register
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(fingerprints.fingerprint_with_next(table(spark, sf_dir, "documents")))

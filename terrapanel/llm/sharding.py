@@ -115,7 +115,7 @@ def communication_matrix(block_sizes: DataFrame, depth: int, shard_sizes: list[i
     """(block, row): how many rows each block sends to each shard. block_sizes: (block, n), blocks below FAN_OUT**depth."""
     spark = block_sizes.sparkSession
     sizes = [F.lit(n).cast("long") for n in shard_sizes]
-    nodes = spark.range(1).select(F.lit(0).cast("long").alias("node"), F.array(*sizes).alias("row"))
+    nodes = spark.range(1).select(F.col("id").alias("node"), F.array(*sizes).alias("row"))
     for level in range(depth):
         below = FAN_OUT ** (depth - level - 1)
         child = F.floor(F.col("block") / below).cast("long")
