@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrapanel.llm import decontamination, fingerprints, html, near_duplicates, secrets, sharding, tokenization, warc
+from terrapanel.llm import (
+    decontamination,
+    fingerprints,
+    html,
+    near_duplicates,
+    secrets,
+    sharding,
+    tokenization,
+    toxicity,
+    warc,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -55,6 +65,12 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@register
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return toxicity.digest(toxicity.scores(documents, toxicity.train(documents, table(spark, sf_dir, "labels"))))
+
+
 @register
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenization.digest(tokenization.round_trip(table(spark, sf_dir, "documents")))
