@@ -12,6 +12,7 @@ from terrapanel.llm import (
     fingerprints,
     html,
     near_duplicates,
+    scoring,
     secrets,
     sharding,
     tokenization,
@@ -60,6 +61,11 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.digest(decontamination.contamination(documents, benchmark))
 
 
+@register
+def op5_context_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.language_scores(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
