@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from terrapanel.llm.words import alnum_words, texts
 
@@ -154,17 +155,22 @@ def contamination(
     blocks = max(1, math.ceil(size / block_bytes))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))
     frame = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    id_type = frame.schema["doc_id"].dataType.simpleString()
-    found = "n_words long, spans array<struct<start:int,stop:int>>, items array<string>"
+    found = StructType.fromDDL("n_words long, spans array<struct<start:int,stop:int>>, items array<string>").fields
     for k in range(blocks):
         rows = [(r.item, r.text.encode()) for r in dealt.where(F.col("block") == k).collect()]
         shared = session.sparkContext.broadcast((f"{id(dealt)}-{k}-{len(rows)}-{hash(tuple(rows))}", rows))
         last = k == blocks - 1
-        kept = f"doc_id {id_type}" + ("" if last else ", text string")
-        frame = frame.mapInArrow(_scanner(shared, window, k == 0, last), f"{kept}, {found}")
+        kept = [frame.schema[c] for c in (("doc_id",) if last else ("doc_id", "text"))]
+        frame = frame.mapInArrow(_scanner(shared, window, k == 0, last), StructType(kept + found))
     return frame
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows without any occurrence of a window, all columns kept."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return contamination(rows, benchmark, id_col="row").where(F.size("spans") == 0).select("doc_id.*")
+
+
 def digest(found: DataFrame) -> DataFrame:
     """The contract's columns."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])

@@ -34,6 +34,7 @@ CHUNKS, WIDTH, ERRORS, BITS = 9, 5, 1, 16
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 SYMBOLS = CHUNKS * WIDTH
 FAN = 16
+OWN_ID = 2**61  # from here on, ids that deduplicated() gives to rows without one
 NO_ID = 2**62  # nodes from here on stand for sets whose documents all lack an id
 
 _random = np.random.default_rng(6)
@@ -245,3 +246,19 @@ def near_duplicates(
         )
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, the one with the smallest id; all columns kept.
+
+    Rows that repeat an id are one document, of which the row with the smallest text stays; so are rows without id
+    and with equal texts, which only stay if no document with an id is in their group.
+    """
+    text = F.col(text_col).cast("string")
+    stand_in = F.shiftrightunsigned(F.xxhash64(F.coalesce(text, F.lit(""))), 4) + F.lit(OWN_ID)
+    rows = docs.select(
+        F.coalesce(F.col(id_col).cast("long"), stand_in).alias("id"), text.alias("text"), F.struct(*docs.columns).alias("row")
+    )
+    kept = near_duplicates(rows, "id", "text").where("kept").select(F.col("doc_id").alias("id")).distinct()
+    first = F.min(F.struct("text", "row")).alias("first")
+    return rows.join(kept, "id", "left_semi").groupBy("id").agg(first).select("first.row.*")

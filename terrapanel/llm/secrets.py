@@ -16,7 +16,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The base kinds, in listed order. `quick` matches at least wherever a match passes.
@@ -191,7 +191,7 @@ def entropy_spans(text: Column, known: Column, allow_list: tuple[str, ...] = ALL
     return F.sort_array(F.concat(narrow, F.filter(wide, lambda s: ~_touches(narrow, s))))
 
 
-def scan(docs, id_col: str = "doc_id", text_col: str = "text"):
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id (as doc_id), base spans, added spans. Other columns are not carried."""
     text = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
@@ -221,6 +221,26 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
 
 
+def cleaned(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """All rows and columns, with every reported span of the text replaced; the length column follows where text changed."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    text = F.col(f"row.{text_col}")
+    based = rows.withColumn("base", base_spans(text))
+    spans = F.sort_array(F.concat("base", "added"))
+    found = based.withColumn("added", entropy_spans(text, F.col("base"))).select("row", spans.alias("spans"))
+    done = found.select("row", F.size("spans").alias("n"), redacted(text, F.col("spans")).alias("clean"))
+
+    def column(name: str) -> Column:
+        if name == text_col:
+            return F.col("clean").alias(name)
+        if name == length_col:
+            length = F.length("clean").cast(docs.schema[name].dataType)
+            return F.when(F.col("n") > 0, length).otherwise(F.col(f"row.{name}")).alias(name)
+        return F.col("row").getField(name).alias(name)
+
+    return done.select(*[column(c) for c in docs.columns])
+
+
 def written(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(
@@ -229,7 +249,7 @@ def written(spans: Column) -> Column:
     )
 
 
-def digest(found):
+def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of a scan."""
 
     def count(kind: str) -> Column:

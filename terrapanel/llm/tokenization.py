@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from terrapanel.llm.pieces import Decoder, Encoder, Model
 
@@ -82,10 +83,8 @@ def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text
     names = [c for c in docs.columns if c != "ids"]
     rows = docs.select(F.struct(*names).alias("row"), F.col(text_col).cast("string").alias("text"))
     shared = shared_model(docs.sparkSession, model_path)
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(lambda batches: _with_ids(batches, shared), f"row {kind}, ids array<int>").select(
-        "row.*", "ids"
-    )
+    schema = StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType()))])
+    return rows.mapInArrow(lambda batches: _with_ids(batches, shared), schema).select("row.*", "ids")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -100,10 +99,8 @@ def decode(rows: DataFrame, model_path: str | None = None) -> DataFrame:
     names = [c for c in rows.columns if c != "decoded"]
     shared = shared_model(rows.sparkSession, model_path)
     plain = rows.select(F.struct(*names).alias("row"), "ids")
-    kind = plain.schema["row"].dataType.simpleString()
-    return plain.mapInArrow(lambda batches: _decoded(batches, shared), f"row {kind}, decoded string").select(
-        "row.*", "decoded"
-    )
+    schema = StructType([plain.schema["row"], StructField("decoded", StringType())])
+    return plain.mapInArrow(lambda batches: _decoded(batches, shared), schema).select("row.*", "decoded")
 
 
 def digest(found: DataFrame) -> DataFrame:
