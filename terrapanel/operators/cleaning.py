@@ -75,14 +75,18 @@ def pivot_variables(long: DataFrame, keys: list[str], value: str = "value") -> D
     """One row per key with a column per variable, null where a variable has no row.
 
     One conditional aggregate, so a single exchange. A (key, variable) pair holds
-    one row; of several the largest value is kept.
+    one row; a second one fails when the plan runs.
     """
-    return long.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("variable") == variable, F.col(value))).alias(column)
-            for variable, column in MEASURES.items()
-        ]
-    )
+
+    def cell(variable: str) -> Column:
+        mine = F.col("variable") == variable
+        shown = [F.coalesce(F.col(key).cast("string"), F.lit("null")) for key in keys]
+        twice = F.raise_error(F.concat_ws(" ", F.lit(f"several rows of {variable} for"), *shown))
+        return F.when(F.count_if(mine) > 1, twice.cast(long.schema[value].dataType)).otherwise(
+            F.max(F.when(mine, F.col(value)))
+        )
+
+    return long.groupBy(*keys).agg(*[cell(variable).alias(column) for variable, column in MEASURES.items()])
 
 
 def totals_of_best_status(

@@ -13,6 +13,10 @@ class DuplicateKeys(ValueError):
     """A batch names one key twice."""
 
 
+class DifferentColumns(ValueError):
+    """A batch lacks a column of the table, or has one more."""
+
+
 def replace_rows(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Insert, or replace the whole row of an existing key; a null in the batch replaces too.
 
@@ -65,30 +69,39 @@ def upsert_table(
     keys: list[str],
     partition: str = "period_year",
     updates: list[str] | None = None,
-) -> None:
+    rank: str | None = None,
+) -> int:
     """Merge a batch into the Parquet table at path, rewriting only the touched partitions. Runs jobs.
 
+    With updates only these columns of a known key change; with rank, a column of both, a row never gives way to one
+    of a larger rank. Returns the number of rows in the batch.
+
     The batch and the merged partitions are first written to the shared folder, so the
     swap reads nothing it replaces. Until the swap a failed run leaves the table as it
     was. Should the driver end within the swap, the logged merged folder is complete:
     pass what it holds to write_partitioned again.
     """
     spark = batch.sparkSession
+    table = read_if_exists(spark, path)
+    if table is not None and set(table.columns) != set(batch.columns):
+        raise DifferentColumns(f"table has {sorted(table.columns)}, batch has {sorted(batch.columns)}")
     batch = require_unique(staged(batch, "batch"), keys)
     # At most one value per calendar year.
     touched = [row[0] for row in batch.select(partition).distinct().collect()]
     if not touched:
-        return
-    table = read_if_exists(spark, path)
+        return 0
     merged = batch
     if table is not None:
         existing = table.where(F.col(partition).isin(touched)).select(*batch.columns)
-        if updates is None:
+        if rank is not None:
+            merged = replace_unless_better(existing, batch, keys, rank)
+        elif updates is None:
             merged = replace_rows(existing, batch, keys)
         else:
             merged = patch_rows(existing, batch, keys, updates)
         merged = staged(merged, "merged")
     write_partitioned(merged, path, partition, keys)
+    return batch.count()
 
 
 def _laid_out(df: DataFrame, partition: str, sort: list[str]) -> DataFrame:

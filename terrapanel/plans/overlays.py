@@ -25,9 +25,20 @@ def population_overlay(staged_population: DataFrame) -> DataFrame:
     return overlay_branch(staged_population, "census_population", F.col("population"))
 
 
-def align_overlay(annual: DataFrame, overlay: DataFrame) -> DataFrame:
-    """Overlay values next to the climate rows of the same region and year, null where it has none."""
-    values = overlay.select("state_abbr", "period_year", F.col("value").alias("overlay_value"))
+def align_overlay(annual: DataFrame, overlay: DataFrame, dataset: str) -> DataFrame:
+    """One dataset's values next to the climate rows of the same region and year, null where it has none.
+
+    A region-year the dataset holds twice fails when the plan runs.
+    """
+    twice = F.raise_error(F.concat_ws(" ", F.lit(f"{dataset} holds twice:"), "state_abbr", "period_year")).cast("double")
+    values = (
+        overlay.where(F.col("dataset") == dataset)
+        .groupBy("state_abbr", "period_year")
+        .agg(F.count("*").alias("n"), F.max("value").alias("value"))
+        .select(
+            "state_abbr", "period_year", F.when(F.col("n") > 1, twice).otherwise(F.col("value")).alias("overlay_value")
+        )
+    )
     return annual.join(values, ["state_abbr", "period_year"], "left")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from terrapanel.functions.values import split_ids
 from terrapanel.operators.series import moving_average, nest_series, percent_from_start
 from terrapanel.plans.overlays import correlate
-from terrapanel.refdata import MAX_REGIONS_PER_REQUEST, OVERLAYS
+from terrapanel.refdata import OVERLAYS
 from terrapanel.schemas import ANNUAL_COLUMNS, MONTHLY_COLUMNS
 
 
@@ -22,7 +22,8 @@ class OverlayNotReady(NotImplementedError):
     pass
 
 
-def requested_ids(ids: str | Iterable[str], limit: int | None = MAX_REGIONS_PER_REQUEST) -> list[str]:
+def requested_ids(ids: str | Iterable[str], limit: int | None = None) -> list[str]:
+    """The regions asked for; more than a limit the caller sets are refused, never cut."""
     wanted = split_ids(ids)
     if not wanted:
         raise ValueError("name at least one region")
@@ -66,9 +67,13 @@ def latest_year(monthly: DataFrame) -> DataFrame:
 
 
 def latest_month(monthly: DataFrame, year: int | None = None) -> DataFrame:
-    """The compared year (newest if not given) and the last month it has; one pass."""
+    """The compared year (newest if not given) and the last month it has; one pass. Fails when the plan runs if the
+    year asked for has no rows."""
     rows = monthly if year is None else monthly.where(F.col("period_year") == year)
     last = rows.agg(F.max(F.col("period_year") * 100 + F.col("period_month")).alias("last"))
+    if year is not None:
+        missing = F.raise_error(F.lit(f"no rows for the year {year}")).cast("int")
+        last = last.select(F.when(F.col("last").isNull(), missing).otherwise(F.col("last")).alias("last"))
     return last.select(
         F.floor(F.col("last") / 100).cast("int").alias("period_year"),
         (F.col("last") % 100).cast("int").alias("period_month"),
@@ -129,12 +134,23 @@ def states_trend(
     states: str | Iterable[str],
     start: int = 1991,
     end: int | None = None,
-    limit: int | None = MAX_REGIONS_PER_REQUEST,
+    limit: int | None = None,
 ) -> DataFrame:
     rows = in_regions(annual, requested_ids(states, limit)).where(_in_years(start, end))
     return rows.select(*ANNUAL_COLUMNS).orderBy("state_abbr", "period_year")
 
 
+def overlay_response(
+    overlay: DataFrame, dataset: str, states: str | Iterable[str], start: int = 1991, end: int | None = None
+) -> DataFrame:
+    """Per requested region, in the caller's order, its series (empty if it has none) with the dataset's label and unit."""
+    label, unit, _ = live_overlay(dataset)
+    rows = overlay.where(F.col("dataset") == dataset).where(_in_years(start, end))
+    return nested_by_request(rows, states, ["value"]).withColumns(
+        {"label": F.lit(label), "unit": F.lit(unit).cast("string")}
+    )
+
+
 def nested_by_request(rows: DataFrame, states: str | Iterable[str], fields: list[str]) -> DataFrame:
     """Series per requested region in the caller's order."""
     wanted = list(dict.fromkeys(requested_ids(states, None)))
@@ -157,7 +173,7 @@ def overlay_series(
     states: str | Iterable[str],
     start: int = 1991,
     end: int | None = None,
-    limit: int | None = MAX_REGIONS_PER_REQUEST,
+    limit: int | None = None,
 ) -> DataFrame:
     """Rows of one live dataset; a dataset that starts late gives a shorter series."""
     live_overlay(dataset)
@@ -183,10 +199,11 @@ def trend_chart_series(
     overlay: DataFrame | None = None,
     dataset: str = "census_population",
     window: int = 5,
+    limit: int | None = None,
 ) -> DataFrame:
     """Chart lines: the smoothed metric, and the overlay as percent since its first year in range."""
     series = ["state_abbr"]
-    lines = states_trend(annual, states, start, end).select(
+    lines = states_trend(annual, states, start, end, limit).select(
         F.lit("climate").alias("line"),
         "state_abbr",
         "period_year",
@@ -194,7 +211,7 @@ def trend_chart_series(
     )
     if overlay is None:
         return lines
-    rebased = overlay_series(overlay, dataset, states, start, end).select(
+    rebased = overlay_series(overlay, dataset, states, start, end, limit).select(
         F.lit("overlay").alias("line"),
         "state_abbr",
         "period_year",

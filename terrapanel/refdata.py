@@ -43,7 +43,6 @@ OVERLAYS = {
     "cdc_mortality": ("Mortality rate", None, "planned"),
 }
 
-MAX_REGIONS_PER_REQUEST = 5
 # ---------------------------------------------------------------------------
 
 

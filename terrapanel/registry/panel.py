@@ -25,6 +25,7 @@ from terrapanel.registry.base import (
 from terrapanel.schemas import ANNUAL_COLUMNS, COUNTY, MONTHLY_COLUMNS, STATE
 from terrapanel.session import staged as at_rest
 from terrapanel.sources import sample_tables as sample
+from terrapanel.plans.counties import enrich_counties
 from terrapanel.sources.regions import county_dimension, crosswalk
 
 MONTH = ["period_year", "period_month"]
@@ -320,24 +321,22 @@ def crosswalk_join(spark, sf):
 @register(
     "county_enrich",
     sql(
-        f"""SELECT fips_code, county_name, state_abbr, land_sq_mi, period_year, period_month,
-                   {sql_r8("prcp_in", "prcp_in")}
-            FROM county JOIN (
+        f"""SELECT fips_code, county_name, state_abbr, land_sq_mi, period_year, period_month, {SQL_MEASURES}
+            FROM county LEFT JOIN (
               SELECT {sql_pad("CAST(s_suppkey AS VARCHAR)", 5)} AS fips_code, s_name AS county_name,
                      round(abs(s_acctbal), 2) AS land_sq_mi,
-                     lpad(CAST(s_nationkey + 1 AS VARCHAR), 2, '0') AS region_code
-              FROM supplier) AS s USING (fips_code)
-            JOIN xwalk USING (region_code)""",
+                     state_abbr
+              FROM supplier JOIN xwalk ON region_code = lpad(CAST(s_nationkey + 1 AS VARCHAR), 2, '0')) AS s
+            USING (fips_code)""",
         "county",
         "xwalk",
     ),
 )
 def county_enrich(spark, sf):
-    dimension = county_dimension(sample.counties(spark, sf)).select(
-        "fips_code", "county_name", "state_abbr", F.col("land_sq_mi").cast("double")
-    )
-    panel = sample.county_panel(spark, sf).select("fips_code", *MONTH, "prcp_in")
-    return rounded(panel.join(dimension, "fips_code"), "prcp_in")
+    """Every county-month with all measures; a county the dimension lacks keeps its rows, without names."""
+    dimension = county_dimension(sample.counties(spark, sf))
+    dimension = dimension.withColumn("land_sq_mi", F.col("land_sq_mi").cast("double"))
+    return rounded(enrich_counties(sample.county_panel(spark, sf), dimension), *MEASURE_COLUMNS)
 
 
 @register(

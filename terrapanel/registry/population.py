@@ -178,7 +178,7 @@ def overlay_union(spark, sf):
 def climate_overlay_align(spark, sf):
     climate = models.annual(spark, sf).select("state_abbr", "period_year", "tavg_f")
     people = overlays.population_overlay(models.population(spark, sf))
-    return rounded(overlays.align_overlay(climate, people), "tavg_f")
+    return rounded(overlays.align_overlay(climate, people, "census_population"), "tavg_f")
 
 
 @register(

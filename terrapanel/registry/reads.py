@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from terrapanel.plans import queries
+from terrapanel.refdata import state_rows
 from terrapanel.registry import models
 from terrapanel.registry.base import (
     ANNUAL_VALUES,
@@ -176,6 +177,36 @@ def states_trend(spark, sf):
     return rounded(queries.states_trend(models.stored_annual(spark, sf), STATES, 1996, 2000), *ANNUAL_VALUES)
 
 
+@register(
+    "states_trend_all",
+    sql(f"SELECT {SQL_ANNUAL} FROM annual ORDER BY state_abbr, period_year", "annual"),
+)
+def states_trend_all(spark, sf):
+    """All 48 states asked for at once."""
+    wanted = [postal for _, _, postal in state_rows()]
+    return rounded(queries.states_trend(models.stored_annual(spark, sf), wanted, START), *ANNUAL_VALUES)
+
+
+@register(
+    "overlay_response",
+    sql(
+        """SELECT r.position, r.state_abbr, 'Population' AS label, 'people' AS unit, n.points
+           FROM (VALUES (0, 'TX'), (1, 'FL'), (2, 'NY'), (3, 'XX')) AS r(position, state_abbr)
+           LEFT JOIN (SELECT state_abbr, string_agg(period_year || '=' || population, ',' ORDER BY period_year) AS points
+                      FROM pop GROUP BY state_abbr) n ON n.state_abbr = r.state_abbr""",
+        "pop",
+    ),
+)
+def overlay_response(spark, sf):
+    """A series for every region asked for, an empty one for XX, with label and unit."""
+    nested = queries.overlay_response(models.stored_overlay(spark, sf), "census_population", STATES, START)
+    point = F.transform(
+        "series", lambda p: F.concat_ws("=", p["period_year"].cast("string"), p["value"].cast("long").cast("string"))
+    )
+    points = F.when(F.size("series") > 0, F.array_join(point, ","))
+    return nested.select("position", "state_abbr", "label", "unit", points.alias("points"))
+
+
 @register("order_by_region_year", sql(f"SELECT {SQL_ANNUAL} FROM annual ORDER BY state_abbr, period_year", "annual"))
 def order_by_region_year(spark, sf):
     rows = models.stored_annual(spark, sf).select(*ANNUAL_COLUMNS)

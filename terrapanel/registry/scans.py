@@ -106,18 +106,22 @@ def month_spine(spark, sf):
     "skipped_months",
     sql(
         """SELECT CAST(s.period_year AS INTEGER) AS period_year, CAST(s.period_month AS INTEGER) AS period_month
-           FROM (SELECT y.y AS period_year, m.m AS period_month
-                 FROM generate_series(1995, 2001) AS y(y), generate_series(1, 12) AS m(m)) s
-           ANTI JOIN (SELECT * FROM obs WHERE status = 'scaled') o
-           ON s.period_year = o.period_year AND s.period_month = o.period_month""",
+           FROM (SELECT year(m) AS period_year, month(m) AS period_month
+                 FROM (SELECT unnest(generate_series(make_date(CAST(min(year(l_shipdate)) AS INTEGER), 1, 1)::TIMESTAMP,
+                                                     make_date(CAST(max(year(l_shipdate)) AS INTEGER), 12, 1)::TIMESTAMP,
+                                                     INTERVAL 1 MONTH)) AS m FROM lineitem)) s
+           ANTI JOIN obs o ON s.period_year = o.period_year AND s.period_month = o.period_month""",
         "obs",
     ),
 )
 def skipped_months(spark, sf):
-    """Months of 1995-2001 without any final file."""
-    files = _listing(spark, sf, STATE).where("status = 'scaled'")
-    spine = grid.month_spine(spark.range(1), F.lit(1995), F.lit(2001), F.lit("2001-12-31").cast("date"))
-    return grid.months_without_files(spine, files)
+    """Months of the loaded years without a file of any status."""
+    files = _listing(spark, sf, STATE)
+    years = sample.table(spark, sf, "lineitem").agg(
+        F.min(F.year("l_shipdate")).alias("first"), F.max(F.year("l_shipdate")).alias("last")
+    )
+    end = F.make_date(F.col("last"), F.lit(12), F.lit(31))
+    return grid.months_without_files(grid.month_spine(years, F.col("first"), F.col("last"), end), files)
 
 
 @register(
@@ -151,10 +155,6 @@ def source_probe(spark, sf):
     return probed.select(*grid.FILE_TAGS).distinct()
 
 
-def _folded(spark, sf, grain):
-    return cleaning.fold_month(_scan(spark, sf, grain))
-
-
 _SAMPLE_VALUE = sql_r8("avg(reading) FILTER (reading > -900) * 9 / 5 + 32", "value")
 
 
@@ -170,7 +170,9 @@ _SAMPLE_VALUE = sql_r8("avg(reading) FILTER (reading > -900) * 9 / 5 + 32", "val
 )
 def profile_sort(spark, sf):
     """The parsed mean temperatures, sorted by abbreviation."""
-    parsed = cleaning.map_codes(_folded(spark, sf, STATE), crosswalk(spark)).where("variable = 'tavg'")
+    files = _listing(spark, sf, STATE).where("variable = 'tavg'")
+    folded = cleaning.fold_month(grid.read_files(spark, grid.prefer_status(files)))
+    parsed = cleaning.map_codes(folded, crosswalk(spark))
     return rounded(parsed.select("state_abbr", *MONTH, "value").orderBy("state_abbr", *MONTH), "value")
 
 

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from terrapanel.operators import upsert
+from terrapanel.operators import quality, upsert
 from terrapanel.plans import marts
 from terrapanel.plans.population import add_abbreviation, in_scope
 from terrapanel.registry import models
@@ -48,20 +48,20 @@ def _panel_sql(region: str, where: str, join: str = "") -> str:
 def _upserted(region: str, key: str, join: str = "") -> str:
     columns = f"{region}, period_year, period_month, {SQL_MEASURES}, source_file"
     return f"""SELECT {columns} FROM (
-        SELECT *, 'final' AS source_file FROM ({_panel_sql(region, "status = 'scaled' AND period_year >= 2000", join)})
+        SELECT *, 'final' AS source_file FROM ({_panel_sql(region, "status = 'scaled'", join)})
         UNION ALL
         SELECT *, 'preliminary' FROM ({_panel_sql(region, "status = 'prelim'", join)}) o
-        ANTI JOIN ({_panel_sql(region, "status = 'scaled' AND period_year >= 2000", join)}) n
+        ANTI JOIN ({_panel_sql(region, "status = 'scaled'", join)}) n
         USING ({key}, period_year, period_month))"""
 
 
 def _upsert_climate(spark, sf, panel, grain):
-    """A preliminary panel on storage, then the final values of the two newest years on top."""
+    """A preliminary panel on storage, then all final values on top."""
     table = fresh_path(spark, f"{grain.key}-monthly")
     keys = [grain.key, *MONTH]
     first = panel(spark, sf, status="prelim").withColumn("source_file", F.lit("preliminary"))
     upsert.upsert_table(table, first, keys)
-    batch = panel(spark, sf, status="scaled", since=2000).withColumn("source_file", F.lit("final"))
+    batch = panel(spark, sf, status="scaled").withColumn("source_file", F.lit("final"))
     upsert.upsert_table(table, batch, keys)
     stored = spark.read.parquet(table).select(*first.columns)
     return rounded(stored, *MEASURE_COLUMNS)
@@ -127,7 +127,8 @@ def materialize(spark, sf):
     sql(
         """SELECT state_fips, state_abbr, period_year, period_month,
                   max(present) FILTER (variable = 'tmax') AS tmax_f,
-                  min(present) FILTER (variable = 'tmin') AS tmin_f, NULL::DOUBLE AS tavg_f,
+                  min(present) FILTER (variable = 'tmin') AS tmin_f,
+                  max(present) FILTER (variable = 'tavg') AS tavg_f,
                   max(present) FILTER (variable = 'prcp') AS prcp_in,
                   'lineitem' AS source_file, DATE '2002-01-01' AS ingested_at
            FROM obs JOIN xwalk USING (region_code) GROUP BY ALL""",
@@ -136,31 +137,39 @@ def materialize(spark, sf):
     ),
 )
 def raw_schema(spark, sf):
-    """Extremes per month in the raw table's layout; the column not given becomes a typed null."""
+    """Extremes per month in the raw table's layout; a month without a variable has a typed null."""
     present = sample.drop_missing(F.col("reading"))
 
     def of(number):
         return F.when(F.col("variable_number") == number, present)
 
     extremes = sample.readings(spark, sf).groupBy("region_number", *MONTH).agg(
-        F.max(of(0)).alias("tmax_f"), F.min(of(1)).alias("tmin_f"), F.max(of(3)).alias("prcp_in")
+        F.max(of(0)).alias("tmax_f"),
+        F.min(of(1)).alias("tmin_f"),
+        F.max(of(2)).alias("tavg_f"),
+        F.max(of(3)).alias("prcp_in"),
     )
     known = sample.named(extremes, STATE).join(crosswalk(spark), "region_code")
     raw = known.withColumns({"source_file": F.lit("lineitem"), "ingested_at": F.lit("2002-01-01")})
-    table = conform(raw, RAW_STATE_MONTHLY)
+    table = conform(raw, RAW_STATE_MONTHLY).drop("status_rank")
     return table.withColumns({m: F.col(m).cast("double") for m in MEASURE_COLUMNS})
 
 
 # ---- refresh ---------------------------------------------------------------
 
-_LOADED = f"""SELECT state_fips, state_abbr, period_year, period_month, {SQL_MEASURES}, source_file,
+_DECIMALS = ", ".join(
+    f"CAST(CAST(CAST(round({m}, 8) AS VARCHAR) AS DECIMAL(6, 2)) AS DOUBLE) AS {m}" for m in MEASURE_COLUMNS
+)
+_LOADED = f"""SELECT state_fips, state_abbr, period_year, period_month, {_DECIMALS}, source_file,
                      DATE '2001-11-30' AS ingested_at
               FROM ({SQL_GRID_PANEL}) JOIN ({SQL_SOURCES}) USING (period_year, period_month)"""
 
 
 def _stored_panel(spark, table):
+    """The raw table as stored, its sources without their folders."""
     columns = ["state_fips", "state_abbr", *MONTH, *MEASURE_COLUMNS, "source_file", "ingested_at"]
-    return rounded(spark.read.parquet(table).select(*columns), *MEASURE_COLUMNS)
+    stored = spark.read.parquet(table).withColumns({m: F.col(m).cast("double") for m in MEASURE_COLUMNS})
+    return stored.withColumn("source_file", F.regexp_replace("source_file", "[^;]*/(file=)?", "")).select(*columns)
 
 
 @register("refresh_scope", sql(_LOADED + " WHERE period_year >= 2000", "state_grid", "xwalk", "chosen"))
@@ -189,7 +198,7 @@ def refresh_population(spark, sf):
 
 @register("arrival_stream", sql(_LOADED, "state_grid", "xwalk", "chosen"))
 def arrival_stream(spark, sf):
-    """All landed files picked up by a file stream that ends when none is left."""
+    """All landed files picked up in several batches by a file stream that ends when none is left."""
     table = fresh_path(spark, "streamed")
     loaded_on = F.lit("2001-11-30").cast("date")
     query = refreshing.stream_arrivals(
@@ -197,7 +206,7 @@ def arrival_stream(spark, sf):
         sample.landed_grid(spark, sf, STATE),
         table,
         fresh_path(spark, "stream-checkpoint"),
-        files_per_batch=100_000,
+        files_per_batch=400,
         loaded_on=loaded_on,
     )
     query.awaitTermination()
@@ -225,3 +234,69 @@ def prelim_to_scaled_revision(spark, sf):
     preliminary, final = ranked.where("status = 'prelim'"), ranked.where("status = 'scaled'")
     revised = upsert.replace_unless_better(preliminary, final, keys)
     return upsert.replace_unless_better(revised, preliminary, keys).drop("status_rank")
+
+
+@register(
+    "load_report",
+    sql(
+        """SELECT * FROM (WITH spine AS (
+             SELECT year(m) AS period_year, month(m) AS period_month FROM (SELECT unnest(generate_series(
+               DATE '1999-01-01'::TIMESTAMP, DATE '2001-11-01'::TIMESTAMP, INTERVAL 1 MONTH)) AS m)),
+           held AS (SELECT DISTINCT period_year, period_month, variable FROM obs WHERE period_year >= 1999)
+           SELECT 'variable without a file' AS item,
+                  printf('%04d-%02d %s', m.period_year, m.period_month, v.variable) AS detail, CAST(1 AS BIGINT) AS n
+           FROM (SELECT DISTINCT period_year, period_month FROM held) m,
+                (VALUES ('tmax'), ('tmin'), ('tavg'), ('prcp')) AS v(variable)
+           ANTI JOIN held ON held.period_year = m.period_year AND held.period_month = m.period_month
+                             AND held.variable = v.variable
+           UNION ALL
+           SELECT 'month without files', printf('%04d-%02d', s.period_year, s.period_month), 1 FROM spine s
+           ANTI JOIN held ON held.period_year = s.period_year AND held.period_month = s.period_month
+           UNION ALL
+           SELECT 'rows of an unknown region code', region_code, count(*)
+           FROM (SELECT DISTINCT region_code, variable, period_year, period_month FROM state_grid)
+           WHERE period_year >= 1999 AND region_code NOT IN (SELECT region_code FROM xwalk) GROUP BY region_code
+           UNION ALL
+           SELECT 'rows written', 'table', count(*)
+           FROM (SELECT DISTINCT region_code, period_year, period_month FROM state_grid)
+           WHERE period_year >= 1999 AND region_code IN (SELECT region_code FROM xwalk))""",
+        "obs",
+        "state_grid",
+        "xwalk",
+    ),
+)
+def load_report(spark, sf):
+    """What a backfill of 1999 to November 2001 left out, and the rows it wrote."""
+    as_of = F.lit("2001-11-30").cast("date")
+    landing = sample.landed_grid(spark, sf, STATE)
+    report = refreshing.backfill(spark, landing, fresh_path(spark, "backfilled"), 1999, 2001, as_of)
+    return report.withColumn("detail", F.when(F.col("item") == "rows written", "table").otherwise(F.col("detail")))
+
+
+@register(
+    "raw_domain_check",
+    sql(
+        """SELECT 'domain' AS rule, 'raw_state_monthly' AS table_name,
+                  unnest(['month_in_year', 'tmax_above_tmin', 'source_named']) AS subject,
+                  unnest([count(*) FILTER (period_month NOT BETWEEN 1 AND 12),
+                          count(*) FILTER (coalesce(tmax_f < tmin_f, true)),
+                          count(*) FILTER (source_file IS NULL)]) AS failing_rows
+           FROM ("""
+        + _LOADED
+        + """ WHERE period_year >= 2000)""",
+        "state_grid",
+        "xwalk",
+        "chosen",
+    ),
+)
+def raw_domain_check(spark, sf):
+    """Rules on the raw table as a refresh stored it."""
+    table = fresh_path(spark, "refreshed")
+    as_of = F.lit("2001-11-30").cast("date")
+    refreshing.refresh(spark, sample.landed_grid(spark, sf, STATE), table, as_of)
+    rules = {
+        "month_in_year": F.col("period_month").between(1, 12),
+        "tmax_above_tmin": F.col("tmax_f") >= F.col("tmin_f"),
+        "source_named": F.col("source_file").isNotNull(),
+    }
+    return quality.domain_check(spark.read.parquet(table), "raw_state_monthly", rules)

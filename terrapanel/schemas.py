@@ -54,6 +54,8 @@ def _panel(region: list[T.StructField]) -> T.StructType:
             _field("prcp_in", MEASURE_TYPE),
             _field("source_file", T.StringType(), True),
             _field("ingested_at", T.DateType(), True),
+            # not in the published layout: how good the files were, 0 for the final ones
+            _field("status_rank", T.IntegerType()),
         ]
     )
 

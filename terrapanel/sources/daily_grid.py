@@ -19,8 +19,9 @@ FILE_TAGS = ["variable", "period_year", "period_month", "scale", "status", "stat
 
 
 def status_rank(status: Column) -> Column:
-    """0 for the preferred status, larger for the ones that only fill in."""
-    return F.array_position(F.array(*[F.lit(s) for s in STATUSES]), status).cast("int") - 1
+    """0 for the preferred status, larger for the ones that only fill in; an unknown one is last."""
+    place = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), status).cast("int")
+    return F.when(place > 0, place - 1).otherwise(F.lit(len(STATUSES)))
 
 
 def file_name(variable: Column, year: Column, month: Column, scale: Column, status: Column) -> Column:
@@ -46,16 +47,24 @@ def with_file_tags(df: DataFrame, path: str = "path") -> DataFrame:
     )
 
 
+def _listing(spark: SparkSession, root: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv")
+    return with_file_tags(files.load(root).select("path", "length"))
+
+
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """One row per grid file below root, with its tags. File contents are not opened."""
-    listing = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.csv")
-        .load(root)
-        .select("path", "length")
-    )
-    return with_file_tags(listing).where(F.col("file_name") != "")
+    return _listing(spark, root).where(F.col("file_name") != "")
+
+
+def unnamed_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files below root whose names say nothing; no load reads them, its report counts them."""
+    return _listing(spark, root).where(F.col("file_name") == "").select("path", "length")
+
+
+def location(path: Column, name: Column) -> Column:
+    """Where a file lies: its path up to its name, so that the part files of one folder have one location."""
+    return F.concat(F.substring(path, F.lit(1), F.instr(path, name) - 1), name)
 
 
 def prefer_status(files: DataFrame) -> DataFrame:

@@ -91,14 +91,12 @@ def monthly_long(spark: SparkSession, sf: str, grain: Grain, *extra: str) -> Dat
 
 
 def _monthly(
-    spark: SparkSession, sf: str, grain: Grain, status: str | None = None, since: int | None = None
+    spark: SparkSession, sf: str, grain: Grain, status: str | None = None
 ) -> DataFrame:
     """The monthly panel by region number: every reading of a month, or only those of one status."""
     rows = readings(spark, sf, grain)
     if status is not None:
         rows = rows.where(F.col("status_rank") == STATUSES.index(status))
-    if since is not None:
-        rows = rows.where(F.col("period_year") >= since)
     present = drop_missing(F.col("reading"))
 
     def measure(number: int, variable: str) -> Column:

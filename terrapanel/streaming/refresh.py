@@ -6,13 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from terrapanel.operators.cleaning import monthly_from_grid
+from terrapanel.operators.cleaning import monthly_from_grid, unmapped
+from terrapanel.operators.quality import unmapped_report
 from terrapanel.operators.upsert import upsert_table
 from terrapanel.plans.population import population_long
-from terrapanel.schemas import KEYS, POPULATION_ANNUAL, STATE, Grain, conform
+from terrapanel.refdata import MEASURES
+from terrapanel.schemas import (
+    KEYS,
+    POPULATION_ANNUAL,
+    RAW_COUNTY_MONTHLY,
+    RAW_STATE_MONTHLY,
+    STATE,
+    Grain,
+    conform,
+)
+from terrapanel.session import staged
 from terrapanel.sources.daily_grid import (
     in_refresh_scope,
     list_files,
+    location,
+    month_spine,
+    months_without_files,
     prefer_status,
     provenance,
     read_files,
@@ -21,21 +35,77 @@ from terrapanel.sources.daily_grid import (
 from terrapanel.sources.regions import crosswalk, state_lookup
 
 
+REPORT = ["item", "detail", "n"]
+
+
+def load_report(chosen: DataFrame, grid: DataFrame, spine: DataFrame, grain: Grain, known: DataFrame) -> DataFrame:
+    """What a load leaves out, as rows (item, detail, n): grid rows of unknown codes by code (state grain), variables
+    without a file by month, months without any file."""
+
+    def rows(df: DataFrame, item: str, detail: Column, n: Column) -> DataFrame:
+        return df.select(F.lit(item).alias("item"), detail.cast("string").alias("detail"), n.cast("long").alias("n"))
+
+    month = F.format_string("%04d-%02d", "period_year", "period_month")
+    variables = F.array(*[F.lit(v) for v in MEASURES])
+    held = chosen.groupBy("period_year", "period_month").agg(F.collect_set("variable").alias("held"))
+    lacking = held.select("*", F.explode(F.array_except(variables, "held")).alias("variable"))
+    report = rows(lacking, "variable without a file", F.concat_ws(" ", month, "variable"), F.lit(1))
+    report = report.unionByName(rows(months_without_files(spine, chosen), "month without files", month, F.lit(1)))
+    if grain == STATE:
+        dropped = unmapped_report(unmapped(grid.select("region_code"), known))
+        report = report.unionByName(
+            rows(dropped, "rows of an unknown region code", F.col("region_code"), F.col("dropped_rows"))
+        )
+    return report
+
+
 def load_files(
-    files: DataFrame, table: str, grain: Grain = STATE, loaded_on: Column | None = None
-) -> None:
-    """Best-status files to the monthly panel, upserted into the table. Runs jobs."""
+    files: DataFrame,
+    table: str,
+    grain: Grain = STATE,
+    loaded_on: Column | None = None,
+    spine: DataFrame | None = None,
+) -> DataFrame:
+    """Best-status files to the raw monthly table, upserted in its layout. Runs jobs.
+
+    The best status rank of a month's files is stored with its rows, so that a month known from preliminary files alone
+    never replaces one with a final file, wherever that file is by then. Returns the load's report, written to the shared folder: what load_report names, for the months of the
+    spine (those of the files if not given), and the rows written.
+    """
     spark = files.sparkSession
-    chosen = prefer_status(files.where(F.col("scale") == grain.scale))
-    grid = read_files(spark, chosen)
-    panel = monthly_from_grid(grid, grain, crosswalk(spark), provenance(chosen, "file_name"))
+    chosen = staged(prefer_status(files.where(F.col("scale") == grain.scale)), "chosen_files")
+    grid, known = read_files(spark, chosen), crosswalk(spark)
+    place = location(F.col("path"), F.col("file_name"))
+    panel = monthly_from_grid(grid, grain, known, provenance(chosen.withColumn("location", place), "location"))
+    ranks = chosen.groupBy("period_year", "period_month").agg(F.min("status_rank").alias("status_rank"))
+    panel = panel.join(ranks, ["period_year", "period_month"], "left")
     panel = panel.withColumn("ingested_at", F.current_date() if loaded_on is None else loaded_on)
-    upsert_table(table, panel, [grain.key, "period_year", "period_month"])
+    layout = RAW_STATE_MONTHLY if grain == STATE else RAW_COUNTY_MONTHLY
+    # Sums of doubles end in noise, which must not decide how a tie is rounded.
+    exact = panel.withColumns({m: F.round(m, 8) for m in MEASURES.values()})
+    batch = conform(exact, layout)
+    written = upsert_table(table, batch, [grain.key, "period_year", "period_month"], rank="status_rank")
+    if spine is None:
+        spine = chosen.select("period_year", "period_month").distinct()
+    total = spark.range(1).select(
+        F.lit("rows written").alias("item"), F.lit(table).alias("detail"), F.lit(written).cast("long").alias("n")
+    )
+    return staged(load_report(chosen, grid, spine, grain, known).unionByName(total), "load_report")
+
+
+def refresh(spark: SparkSession, landing: str, table: str, as_of: Column, grain: Grain = STATE) -> DataFrame:
+    """Re-load the previous and the current year, picking up new months and revisions. Returns the load's report."""
+    spine = month_spine(spark.range(1), F.year(as_of) - 1, F.year(as_of), as_of)
+    return load_files(in_refresh_scope(list_files(spark, landing), as_of), table, grain, as_of, spine)
 
 
-def refresh(spark: SparkSession, landing: str, table: str, as_of: Column, grain: Grain = STATE) -> None:
-    """Re-load the previous and the current year, picking up new months and revisions."""
-    load_files(in_refresh_scope(list_files(spark, landing), as_of), table, grain, as_of)
+def backfill(
+    spark: SparkSession, landing: str, table: str, start: int, end: int, as_of: Column, grain: Grain = STATE
+) -> DataFrame:
+    """Load every month of the years, not past as_of. Returns the load's report."""
+    spine = month_spine(spark.range(1), F.lit(start), F.lit(end), as_of)
+    files = list_files(spark, landing).where(F.col("period_year").between(start, end))
+    return load_files(files, table, grain, as_of, spine)
 
 
 def refresh_population(old: DataFrame, new: DataFrame, table: str, loaded_on: Column) -> None:
@@ -59,8 +129,8 @@ def stream_arrivals(
     """Pick up every new file once and bring its month up to date.
 
     A batch only tells which months changed; those are rebuilt from all files landed
-    for them, so a late preliminary file cannot replace a final one and a repeated
-    batch gives the same table.
+    for them, and rows of a better status already stored stay, so a late preliminary file cannot replace a final one and
+    a repeated batch gives the same table.
     """
     arrivals = (
         spark.readStream.format("binaryFile")

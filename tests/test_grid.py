@@ -119,6 +119,19 @@ def test_pivot_equals_outer_joins(spark):
     assert wide == [("a", 1.0, None, None, 2.0), ("b", None, 3.0, None, None), ("c", None, None, None, None)]
 
 
+def test_a_cell_given_twice_is_an_error(spark):
+    long = spark.createDataFrame(
+        [("a", "tmax", 10.0), ("a", "tmax", 20.0)], "k string, variable string, value double"
+    )
+    with pytest.raises(Exception, match="several rows of tmax for a"):
+        cleaning.pivot_variables(long, ["k"]).collect()
+
+
+def test_an_unknown_status_ranks_last(spark):
+    ranks = spark.createDataFrame([("scaled",), ("prelim",), ("draft",), (None,)], "s string")
+    assert [r[0] for r in ranks.select(grid.status_rank(F.col("s"))).collect()] == [0, 1, 2, 2]
+
+
 def test_month_spine_stops_at_the_current_month(spark):
     def months(start, end, as_of):
         spine = grid.month_spine(spark.range(1), F.lit(start), F.lit(end), F.lit(as_of).cast("date"))

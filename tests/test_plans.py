@@ -4,6 +4,9 @@ import pytest
 
 from __spark_entry__ import queries
 from helpers import exchanges, plan_of
+from terrapanel.plans.counties import enrich_counties
+from terrapanel.plans.overlays import align_overlay
+from terrapanel.registry import QUERIES as PANEL_QUERIES
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +30,7 @@ def test_shuffle_budget(spark, key, shuffles):
     assert exchanges(queries()[key](spark, SF)) == shuffles
 
 
-@pytest.mark.parametrize("key", sorted(queries()))
+@pytest.mark.parametrize("key", sorted(PANEL_QUERIES))
 def test_no_cross_join_and_no_python(spark, key):
     text = plan_of(queries()[key](spark, SF))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEvalPython", "BatchEvalPython", "MapInPandas"):
@@ -52,3 +55,23 @@ def test_reads_prune_partitions(spark, key):
 def test_region_reads_push_the_region(spark):
     assert "EqualTo(state_abbr,GA)" in plan_of(queries()["state_trend"](spark, SF))
     assert "In(state_abbr, [" in plan_of(queries()["states_trend"](spark, SF))
+
+
+def test_counties_without_a_name_are_kept(spark):
+    rows = spark.createDataFrame([("01001", 1.0), ("99999", 2.0)], "fips_code string, prcp_in double")
+    names = spark.createDataFrame(
+        [("01001", "Autauga", "AL", 5.0)], "fips_code string, county_name string, state_abbr string, land_sq_mi double"
+    )
+    found = {r.fips_code: r.county_name for r in enrich_counties(rows, names).collect()}
+    assert found == {"01001": "Autauga", "99999": None}
+
+
+def test_overlay_values_come_from_one_dataset(spark):
+    annual = spark.createDataFrame([("AL", 2000, 60.0)], "state_abbr string, period_year int, tavg_f double")
+    rows = [("a", "01", "AL", 2000, 1.0), ("b", "01", "AL", 2000, 2.0), ("b", "01", "AL", 2000, 3.0)]
+    overlay = spark.createDataFrame(
+        rows, "dataset string, state_fips string, state_abbr string, period_year int, value double"
+    )
+    assert [r.overlay_value for r in align_overlay(annual, overlay, "a").collect()] == [1.0]
+    with pytest.raises(Exception, match="b holds twice: AL 2000"):
+        align_overlay(annual, overlay, "b").collect()

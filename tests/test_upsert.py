@@ -1,12 +1,14 @@
 """Merging rules, storage, refresh and the file stream."""
 
 import datetime
+import decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import exchanges, plan_of, rows
 from terrapanel.operators import upsert
+from terrapanel.sources.daily_grid import list_files, unnamed_files
 from terrapanel.streaming import refresh
 
 KEYS = ["k", "period_year"]
@@ -99,7 +101,10 @@ def land(root, name, value):
 
 def measures(spark, table):
     columns = ["period_year", "period_month", "tmax_f", "tmin_f", "source_file"]
-    return rows(spark.read.parquet(table).select(*columns), "period_year", "period_month")
+    stored = spark.read.parquet(table)
+    assert dict(stored.dtypes)["tmax_f"] == "decimal(6,2)"
+    bare = stored.withColumn("source_file", F.regexp_replace("source_file", "[^;]*/", ""))
+    return rows(bare.select(*columns), "period_year", "period_month")
 
 
 def test_refresh_loads_two_years(spark, tmp_path):
@@ -132,8 +137,6 @@ def test_stream_equals_batch_and_keeps_final_values(spark, tmp_path):
     land(root, "tmin-199902-ste-scaled.csv", 0)
     arrive()
     arrive()  # nothing new
-    from terrapanel.sources.daily_grid import list_files
-
     refresh.load_files(list_files(spark, str(root)), batch_table)
     assert measures(spark, table) == measures(spark, batch_table)
 
@@ -147,3 +150,46 @@ def test_late_preliminary_file_changes_nothing(spark, tmp_path):
     land(root, "tmax-199901-ste-prelim.csv", 99)
     refresh.stream_arrivals(spark, str(root), table, str(tmp_path / "cp")).awaitTermination()
     assert measures(spark, table) == before
+    # the final file may move on: the stored rank still guards its month
+    (root / "tmax-199901-ste-scaled.csv").rename(tmp_path / "archived.csv")
+    land(root, "tmax-199901-ste-prelim.csv", 98)
+    refresh.load_files(list_files(spark, str(root)), table)
+    assert measures(spark, table) == before
+
+
+def test_load_report(spark, tmp_path):
+    root, table = tmp_path / "landing", str(tmp_path / "table")
+    root.mkdir()
+    land(root, "tmax-199901-ste-scaled.csv", 10.004)
+    (root / "tmin-199903-ste-scaled.csv").write_text("ste,77,XX: Name,1900,1,x,1\nste,77,XX: Name,1900,1,x,1\n")
+    land(root, "tmin-199803-ste-scaled.csv", 1)
+    land(root, "notes.csv", 1)
+    report = refresh.backfill(spark, str(root), table, 1999, 1999, F.lit("1999-03-31").cast("date"))
+    found = {(r.item, r.detail): r.n for r in report.collect()}
+    assert found == {
+        ("rows of an unknown region code", "77"): 2,
+        ("rows written", table): 1,
+        ("month without files", "1999-02"): 1,
+        **{("variable without a file", f"1999-01 {v}"): 1 for v in ("tmin", "tavg", "prcp")},
+        **{("variable without a file", f"1999-03 {v}"): 1 for v in ("tmax", "tavg", "prcp")},
+    }
+    (stored,) = spark.read.parquet(table).collect()
+    assert (stored.tmax_f, stored.tmin_f) == (decimal.Decimal("50.01"), None)
+    assert stored.source_file.endswith("/landing/tmax-199901-ste-scaled.csv") and "://" not in stored.source_file[:4]
+    assert unnamed_files(spark, str(root)).count() == 1
+
+
+def test_a_batch_with_other_columns_is_refused(spark, tmp_path):
+    path = str(tmp_path / "t")
+    upsert.upsert_table(path, frame(spark, ("a", 2000, 1.0, "x")), KEYS)
+    with pytest.raises(upsert.DifferentColumns):
+        upsert.upsert_table(path, frame(spark, ("b", 2000, 1.0, "x")).drop("label"), KEYS)
+    assert [r.label for r in spark.read.parquet(path).collect()] == ["x"]
+
+
+def test_only_touched_partitions_are_rewritten(spark, tmp_path):
+    path = str(tmp_path / "t")
+    upsert.upsert_table(path, frame(spark, ("a", 2000, 1.0, "x"), ("a", 2001, 1.0, "x")), KEYS)
+    untouched = sorted(p.name for p in (tmp_path / "t" / "period_year=2000").glob("*.parquet"))
+    assert upsert.upsert_table(path, frame(spark, ("a", 2001, 2.0, "y"), ("b", 2001, 2.0, "y")), KEYS) == 2
+    assert sorted(p.name for p in (tmp_path / "t" / "period_year=2000").glob("*.parquet")) == untouched
