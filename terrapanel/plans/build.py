@@ -9,21 +9,24 @@ from terrapanel.operators.upsert import write_whole
 from terrapanel.plans import marts
 from terrapanel.plans.overlays import mart_overlay, overlay_branch, population_overlay
 from terrapanel.refdata import BASELINE_END, BASELINE_START
-from terrapanel.schemas import KEYS
+from terrapanel.schemas import KEYS, STATE, Grain
 
 MARTS = ("mart_monthly", "mart_annual", "mart_overlay")
 
 
 def build_marts(
     raw_climate: DataFrame,
-    raw_population: DataFrame,
+    raw_population: DataFrame | None,
     root: str,
     start: int = BASELINE_START,
     end: int = BASELINE_END,
     climate_dataset: str | None = None,
+    grain: Grain = STATE,
 ) -> dict[str, DataFrame]:
     """Write the marts below root, partitioned by year, and return them as stored. Runs jobs.
 
+    At county grain, or without population, there is no overlay mart: its datasets are by state.
+
     The raw climate table is read once: the annual mart is rolled up from the stored
     monthly one. climate_dataset, if given, adds the annual mean to the overlays under
     that id, so that it can be correlated with them.
@@ -31,12 +34,14 @@ def build_marts(
 
     def store(df: DataFrame, name: str) -> DataFrame:
         path = f"{root}/{name}"
-        write_whole(df, path, "period_year", KEYS[name])
+        write_whole(df, path, "period_year", [grain.key if k == STATE.key else k for k in KEYS[name]])
         return df.sparkSession.read.parquet(path)
 
-    anomalies = marts.anomaly_by_region(marts.stage_climate(raw_climate), start, end)
-    monthly = store(marts.mart_monthly(anomalies), "mart_monthly")
-    annual = store(marts.mart_annual(monthly), "mart_annual")
+    anomalies = marts.anomaly_by_region(marts.stage_climate(raw_climate, grain), start, end, grain)
+    monthly = store(marts.mart_monthly(anomalies, grain), "mart_monthly")
+    annual = store(marts.mart_annual(monthly, grain), "mart_annual")
+    if raw_population is None or grain != STATE:
+        return dict(zip(MARTS, (monthly, annual)))
     branches = [population_overlay(marts.stage_population(raw_population))]
     if climate_dataset is not None:
         branches.append(overlay_branch(annual, climate_dataset, F.col("tavg_f")))

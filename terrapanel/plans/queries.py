@@ -11,7 +11,7 @@ from terrapanel.functions.values import split_ids
 from terrapanel.operators.series import moving_average, nest_series, percent_from_start
 from terrapanel.plans.overlays import correlate
 from terrapanel.refdata import OVERLAYS
-from terrapanel.schemas import ANNUAL_COLUMNS, MONTHLY_COLUMNS
+from terrapanel.schemas import ANNUAL_COLUMNS, MONTHLY_COLUMNS, STATE, Grain, mart_columns
 
 
 class UnknownOverlay(LookupError):
@@ -45,11 +45,11 @@ def _in_years(start: int, end: int | None) -> Column:
     return year >= start if end is None else year.between(start, end)
 
 
-def annual_map(annual: DataFrame, year: int) -> DataFrame:
-    return annual.where(F.col("period_year") == year).select(*ANNUAL_COLUMNS)
+def annual_map(annual: DataFrame, year: int, grain: Grain = STATE) -> DataFrame:
+    return annual.where(F.col("period_year") == year).select(*mart_columns(ANNUAL_COLUMNS, grain))
 
 
-def compare_years(annual: DataFrame, start: int, end: int) -> DataFrame:
+def compare_years(annual: DataFrame, start: int, end: int, grain: Grain = STATE) -> DataFrame:
     """Both years' rows tagged by side; one year asked twice appears on both sides."""
     side = F.filter(
         F.array(
@@ -59,7 +59,7 @@ def compare_years(annual: DataFrame, start: int, end: int) -> DataFrame:
         lambda tag: tag.isNotNull(),
     )
     rows = annual.where(F.col("period_year").isin(start, end))
-    return rows.select(F.explode(side).alias("side"), *ANNUAL_COLUMNS)
+    return rows.select(F.explode(side).alias("side"), *mart_columns(ANNUAL_COLUMNS, grain))
 
 
 def latest_year(monthly: DataFrame) -> DataFrame:
@@ -93,7 +93,9 @@ def average_temperature(monthly: DataFrame, start: int, end: int | None = None)
     return monthly.where(_in_years(start, end)).groupBy("state_abbr").agg(F.avg("tavg_f").alias("avg_tavg_f"))
 
 
-def period_summary(monthly: DataFrame, start: int = 1991, end: int | None = None) -> DataFrame:
+def period_summary(
+    monthly: DataFrame, start: int = 1991, end: int | None = None, grain: Grain = STATE
+) -> DataFrame:
     """Per region: change between two years over the months the end year has, and the mean of all years.
 
     The end year and its last month come from a scalar subquery, the rest from one aggregate.
@@ -105,7 +107,7 @@ def period_summary(monthly: DataFrame, start: int = 1991, end: int | None = None
     last_mean = F.avg(F.when(compared & (year == last["period_year"]), F.col("anomaly_f")))
     return (
         monthly.where(_in_years(start, end))
-        .groupBy("state_abbr")
+        .groupBy(grain.asked_by)
         .agg((last_mean - first_mean).alias("change_f"), F.avg("tavg_f").alias("avg_tavg_f"))
         .withColumns(
             {
@@ -117,9 +119,12 @@ def period_summary(monthly: DataFrame, start: int = 1991, end: int | None = None
     )
 
 
-def state_trend(annual: DataFrame, state: str, start: int = 1991, end: int | None = None) -> DataFrame:
-    rows = annual.where(F.col("state_abbr") == state.strip().upper()).where(_in_years(start, end))
-    return rows.select(*ANNUAL_COLUMNS).orderBy("period_year")
+def state_trend(
+    annual: DataFrame, state: str, start: int = 1991, end: int | None = None, grain: Grain = STATE
+) -> DataFrame:
+    """One region's years; the region by postal abbreviation, or by FIPS code at county grain."""
+    rows = annual.where(F.col(grain.asked_by) == state.strip().upper()).where(_in_years(start, end))
+    return rows.select(*mart_columns(ANNUAL_COLUMNS, grain)).orderBy("period_year")
 
 
 def in_regions(df: DataFrame, ids: list[str] | DataFrame, region: str = "state_abbr") -> DataFrame:
@@ -135,9 +140,10 @@ def states_trend(
     start: int = 1991,
     end: int | None = None,
     limit: int | None = None,
+    grain: Grain = STATE,
 ) -> DataFrame:
-    rows = in_regions(annual, requested_ids(states, limit)).where(_in_years(start, end))
-    return rows.select(*ANNUAL_COLUMNS).orderBy("state_abbr", "period_year")
+    rows = in_regions(annual, requested_ids(states, limit), grain.asked_by).where(_in_years(start, end))
+    return rows.select(*mart_columns(ANNUAL_COLUMNS, grain)).orderBy(grain.asked_by, "period_year")
 
 
 def overlay_response(
@@ -160,11 +166,11 @@ def nested_by_request(rows: DataFrame, states: str | Iterable[str], fields: list
     return nest_series(in_regions(rows, wanted), listed, "state_abbr", fields)
 
 
-def month_drilldown(monthly: DataFrame, state: str, month: int) -> DataFrame:
+def month_drilldown(monthly: DataFrame, state: str, month: int, grain: Grain = STATE) -> DataFrame:
     if not 1 <= month <= 12:
         raise ValueError("month must be 1-12")
-    rows = monthly.where((F.col("state_abbr") == state.strip().upper()) & (F.col("period_month") == month))
-    return rows.select(*MONTHLY_COLUMNS).orderBy("period_year")
+    rows = monthly.where((F.col(grain.asked_by) == state.strip().upper()) & (F.col("period_month") == month))
+    return rows.select(*mart_columns(MONTHLY_COLUMNS, grain)).orderBy("period_year")
 
 
 def overlay_series(

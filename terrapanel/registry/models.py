@@ -11,6 +11,7 @@ from terrapanel.plans.build import build_marts
 from terrapanel.plans.overlays import mart_overlay, overlay_branch, population_overlay
 from terrapanel.plans.population import population_long
 from terrapanel.registry.base import BASE_END, BASE_START
+from terrapanel.schemas import COUNTY
 from terrapanel.session import landed_once
 from terrapanel.sources import population as sources
 from terrapanel.sources import sample_tables as sample
@@ -65,6 +66,21 @@ def _stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{landed_once(spark, 'marts', sf, write)}/{name}")
 
 
+def _stored_county(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    def write(root: str) -> None:
+        build_marts(sample.county_panel(spark, sf), None, root, BASE_START, BASE_END, grain=COUNTY)
+
+    return spark.read.parquet(f"{landed_once(spark, 'county-marts', sf, write)}/{name}")
+
+
+def county_monthly(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored_county(spark, sf, "mart_monthly")
+
+
+def county_annual(spark: SparkSession, sf: str) -> DataFrame:
+    return _stored_county(spark, sf, "mart_annual")
+
+
 def stored_monthly(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(spark, sf, "mart_monthly")
 

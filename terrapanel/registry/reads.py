@@ -9,6 +9,8 @@ from terrapanel.refdata import state_rows
 from terrapanel.registry import models
 from terrapanel.registry.base import (
     ANNUAL_VALUES,
+    BASE_END,
+    BASE_START,
     END,
     SQL_ANNUAL,
     SQL_MONTHLY,
@@ -19,7 +21,7 @@ from terrapanel.registry.base import (
     sql_r8,
 )
 from terrapanel.registry.population import _PEARSON
-from terrapanel.schemas import ANNUAL_COLUMNS, MONTHLY_COLUMNS
+from terrapanel.schemas import ANNUAL_COLUMNS, COUNTY, MONTHLY_COLUMNS, mart_columns
 
 # XX is asked for and has no rows.
 STATES = "tx, FL ,NY,XX"
@@ -324,3 +326,51 @@ def trend_chart_series(spark, sf):
     overlay = models.stored_overlay(spark, sf)
     lines = queries.trend_chart_series(models.stored_annual(spark, sf), STATES, 1996, 2000, overlay=overlay)
     return rounded(lines, "value")
+
+
+# ---- county grain ----------------------------------------------------------
+
+_COUNTY_NORMAL = f"""county LEFT JOIN (
+    SELECT fips_code, period_month, avg(tavg_f) AS baseline_tavg_f FROM county
+    WHERE period_year BETWEEN {BASE_START} AND {BASE_END} GROUP BY ALL) AS n USING (fips_code, period_month)"""
+_COUNTY_ANNUAL = f"""SELECT fips_code, period_year, {sql_r8('avg(tavg_f)', 'tavg_f')}, {sql_r8('avg(tmax_f)', 'tmax_f')},
+       {sql_r8('avg(tmin_f)', 'tmin_f')}, {sql_r8('sum(prcp_in)', 'prcp_in')},
+       {sql_r8('avg(tavg_f - baseline_tavg_f)', 'anomaly_f')}, count(*) AS months_reported,
+       count(*) < 12 AS is_partial_year, bool_or(baseline_tavg_f IS NULL) AS has_data_gap
+    FROM {_COUNTY_NORMAL} GROUP BY fips_code, period_year"""
+
+
+@register("county_mart_annual", sql(_COUNTY_ANNUAL, "county"))
+def county_mart_annual(spark, sf):
+    """The stored annual mart of all counties."""
+    return rounded(models.county_annual(spark, sf).select(*mart_columns(ANNUAL_COLUMNS, COUNTY)), *ANNUAL_VALUES)
+
+
+@register(
+    "county_trend",
+    sql(f"SELECT * FROM ({_COUNTY_ANNUAL}) WHERE fips_code IN ('00001', '00007') AND period_year >= 1996", "county"),
+)
+def county_trend(spark, sf):
+    rows = queries.states_trend(models.county_annual(spark, sf), "00001,00007", 1996, grain=COUNTY)
+    return rounded(rows, *ANNUAL_VALUES)
+
+
+@register(
+    "county_period_summary",
+    sql(
+        f"""SELECT * FROM (
+            WITH rows AS (SELECT fips_code, period_year, period_month, tavg_f, tavg_f - baseline_tavg_f AS anomaly_f
+                          FROM {_COUNTY_NORMAL}),
+            last AS (SELECT max(period_year * 100 + period_month) AS ym FROM rows)
+            SELECT fips_code,
+                   {sql_r8("avg(anomaly_f) FILTER (period_year = ym // 100 AND period_month <= ym % 100) - "
+                           "avg(anomaly_f) FILTER (period_year = 1995 AND period_month <= ym % 100)", 'change_f')},
+                   {sql_r8('avg(tavg_f)', 'avg_tavg_f')}, 1995 AS start_year, CAST(any_value(ym // 100) AS INTEGER) AS end_year,
+                   CAST(any_value(ym % 100) AS INTEGER) AS months_compared
+            FROM rows, last GROUP BY fips_code)""",
+        "county",
+    ),
+)
+def county_period_summary(spark, sf):
+    rows = queries.period_summary(models.county_monthly(spark, sf), START, grain=COUNTY)
+    return rounded(rows, "change_f", "avg_tavg_f")

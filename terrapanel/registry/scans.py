@@ -18,6 +18,7 @@ from terrapanel.registry.base import (
 )
 from terrapanel.schemas import COUNTY, DAY_COLUMNS, STATE
 from terrapanel.sources import daily_grid as grid
+from terrapanel.sources import landed_grid
 from terrapanel.sources import sample_tables as sample
 from terrapanel.sources.regions import crosswalk
 
@@ -30,6 +31,16 @@ _DAY_TEXTS = ", ".join(
 _SCAN = f"SELECT region_code, variable, period_year, period_month, status, {_DAY_TEXTS} FROM {{0}} GROUP BY ALL"
 
 
+def _mart_from_grid(days: str, region: str) -> str:
+    def mean(variable: str) -> str:
+        return f"avg(reading) FILTER (variable = '{variable}' AND reading > -900) * 9 / 5 + 32"
+
+    return f"""SELECT {region}, period_year, period_month, {mean("tmax")} AS tmax_f, {mean("tmin")} AS tmin_f,
+                      {mean("tavg")} AS tavg_f,
+                      sum(reading) FILTER (variable = 'prcp' AND reading > -900) / 25.4 AS prcp_in
+               FROM {days} GROUP BY {region}, period_year, period_month"""
+
+
 def _scan(spark, sf, grain):
     rows = grid.scan_grid(spark, sample.landed_grid(spark, sf, grain), grain.scale)
     return rows.select("region_code", "variable", *MONTH, "status", *DAY_COLUMNS)
@@ -45,6 +56,28 @@ def daily_grid_scan_county(spark, sf):
     return _scan(spark, sf, COUNTY)
 
 
+@register("landed_scan_county", sql(_SCAN.format("county_grid"), "county_grid"))
+def landed_scan_county(spark, sf):
+    """As daily_grid_scan_county, from files landed in folders."""
+    rows = landed_grid.scan(spark, sample.landed_folders(spark, sf, COUNTY), COUNTY.scale)
+    return rows.select("region_code", "variable", *MONTH, "status", *DAY_COLUMNS)
+
+
+@register(
+    "monthly_from_landed_county",
+    sql(
+        f"""SELECT region_code AS fips_code, period_year, period_month, {SQL_MEASURES}
+            FROM ({_mart_from_grid("county_grid", "region_code")}) WHERE period_year >= 2000""",
+        "county_grid",
+    ),
+)
+def monthly_from_landed_county(spark, sf):
+    """The county panel of two years; other years' folders are not opened."""
+    rows = landed_grid.scan(spark, sample.landed_folders(spark, sf, COUNTY), COUNTY.scale, (2000, 2001))
+    columns = ["region_code", "variable", *MONTH, *DAY_COLUMNS]
+    return rounded(cleaning.monthly_from_grid(rows.select(*columns), COUNTY), *MEASURE_COLUMNS)
+
+
 _FILE_COLUMNS = """variable || '-' || CAST(period_year * 100 + period_month AS VARCHAR) || '-{0}-' || status || '.csv'
     AS file_name, variable, period_year, period_month, '{0}' AS scale, status,
     CASE status WHEN 'scaled' THEN 0 ELSE 1 END AS status_rank"""
@@ -190,16 +223,6 @@ def head_n(spark, sf):
     return profile_sort(spark, sf).limit(50)
 
 
-def _mart_from_grid(days: str, region: str) -> str:
-    def mean(variable: str) -> str:
-        return f"avg(reading) FILTER (variable = '{variable}' AND reading > -900) * 9 / 5 + 32"
-
-    return f"""SELECT {region}, period_year, period_month, {mean("tmax")} AS tmax_f, {mean("tmin")} AS tmin_f,
-                      {mean("tavg")} AS tavg_f,
-                      sum(reading) FILTER (variable = 'prcp' AND reading > -900) / 25.4 AS prcp_in
-               FROM {days} GROUP BY {region}, period_year, period_month"""
-
-
 SQL_GRID_PANEL = _mart_from_grid("state_grid JOIN xwalk USING (region_code)", "state_fips, state_abbr")
 
 

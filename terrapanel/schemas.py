@@ -24,6 +24,11 @@ class Grain:
     def columns(self) -> list[str]:
         return [self.key, *self.labels]
 
+    @property
+    def asked_by(self) -> str:
+        """The column by which readers name a region."""
+        return self.labels[0] if self.labels else self.key
+
 
 STATE = Grain("state_fips", ("state_abbr",), 2, "ste")
 COUNTY = Grain("fips_code", (), 5, "cty")
@@ -104,6 +109,11 @@ MONTHLY_COLUMNS = [
 ]
 
 
+def mart_columns(columns: list[str], grain: Grain) -> list[str]:
+    """A mart's columns at another grain than the state's."""
+    return [*grain.columns, *[c for c in columns if c not in STATE.columns]]
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Cast and order columns to a table layout; a column the frame lacks becomes a typed null."""
 

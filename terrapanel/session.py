@@ -17,14 +17,9 @@ log = logging.getLogger(__name__)
 def build_session(app: str = "terrapanel", master: str | None = None, **conf: str) -> SparkSession:
     """A session with adaptive execution, skew handling and UTC; extra settings override."""
     builder = SparkSession.builder.appName(app)
-    local = {}
     if master:
         builder = builder.master(master)
-    if master and master.startswith("local"):
-        # Listing many folders as one task each costs more here than the listing itself.
-        local["spark.sql.sources.parallelPartitionDiscovery.parallelism"] = "32"
     settings = {
-        **local,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
@@ -37,7 +32,8 @@ def build_session(app: str = "terrapanel", master: str | None = None, **conf: st
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder. Only a local session may fall back to a temporary one."""
+    """The cluster's checkpoint folder. Only a local session may fall back to a temporary one: tools that bring a plain
+    local session set none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")

@@ -14,6 +14,7 @@ from terrapanel.functions.values import celsius_to_fahrenheit, drop_missing, mm_
 from terrapanel.refdata import MEASURES, STATUSES, SUMMED
 from terrapanel.schemas import COUNTY, DAY_COLUMNS, STATE, Grain
 from terrapanel.session import landed_once
+from terrapanel.sources.landed_grid import land
 from terrapanel.sources.daily_grid import file_name
 from terrapanel.sources.regions import crosswalk
 
@@ -159,6 +160,23 @@ def landed_grid(spark: SparkSession, sf: str, grain: Grain) -> str:
     return landed_once(spark, f"grid-{grain.scale}", sf, write)
 
 
+def landed_folders(spark: SparkSession, sf: str, grain: Grain) -> str:
+    """The same rows landed in folders by scale, month, variable and status."""
+
+    def write(path: str) -> None:
+        name = F.split(F.regexp_replace("file", r"\.csv$", ""), "-")
+        values = {
+            "scale": F.col("region_type"),
+            "period_year": F.col("file_year").cast("int"),
+            "period_month": F.col("file_month").cast("int"),
+            "variable": F.col("file_variable"),
+            "status": name[3],
+        }
+        land(grid_rows(spark, sf, grain).withColumns(values), path)
+
+    return landed_once(spark, f"folders-{grain.scale}", sf, write)
+
+
 def order_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders per FIPS-like region and year, all and open ones."""
     year = F.year("o_orderdate")

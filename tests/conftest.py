@@ -15,6 +15,8 @@ def spark(tmp_path_factory):
         "local[8]",
         **{
             "spark.sql.shuffle.partitions": "8",
+            # listing many folders as one task each costs more here than the listing itself
+            "spark.sql.sources.parallelPartitionDiscovery.parallelism": "32",
             "spark.driver.memory": "6g",
             "spark.sql.maxMetadataStringLength": "2000",
             "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrapanel.plans import queries
 from terrapanel.plans.build import build_marts
 from terrapanel.plans.checks import model_checks
+from terrapanel.schemas import COUNTY
 from terrapanel.sources import population as sources
 from terrapanel.streaming import refresh
 
@@ -60,3 +61,21 @@ def test_rebuilding_drops_years_no_longer_there(spark, landing):
     build_marts(raw, people, f"{root}/marts", 1999, 1999)
     rebuilt = build_marts(raw.where("period_year = 1999"), people, f"{root}/marts", 1999, 1999)
     assert [r[0] for r in rebuilt["mart_annual"].select("period_year").distinct().collect()] == [1999]
+
+
+def test_county_marts_and_reads(spark, tmp_path):
+    grid = tmp_path / "grid"
+    grid.mkdir()
+    for year in (1999, 2000):
+        lines = [f"cty,{code},X,{year},1,tavg," + ",".join([str(year - 1999 + 10)] * 28) for code in ("1001", "13121")]
+        (grid / f"tavg-{year}01-cty-scaled.csv").write_text("\n".join(lines) + "\n")
+    report = refresh.backfill(spark, str(grid), f"{tmp_path}/raw", 1999, 2000, F.lit("2000-01-31").cast("date"), COUNTY)
+    assert report.where("item = 'rows written'").first().n == 4
+    stored = build_marts(spark.read.parquet(f"{tmp_path}/raw"), None, f"{tmp_path}/marts", 1999, 1999, grain=COUNTY)
+    assert set(stored) == {"mart_monthly", "mart_annual"}
+    rows = queries.state_trend(stored["mart_annual"], "01001", 1999, grain=COUNTY).collect()
+    assert [(r.fips_code, r.period_year, round(r.anomaly_f, 6)) for r in rows] == [("01001", 1999, 0), ("01001", 2000, 1.8)]
+    summary = queries.period_summary(stored["mart_monthly"], 1999, grain=COUNTY).collect()
+    assert {(r.fips_code, round(r.change_f, 6)) for r in summary} == {("01001", 1.8), ("13121", 1.8)}
+    assert queries.month_drilldown(stored["mart_monthly"], "13121", 1, COUNTY).count() == 2
+    assert queries.annual_map(stored["mart_annual"], 2000, COUNTY).count() == 2

@@ -1,12 +1,15 @@
 """Physical plans of registered queries: exchanges, scans, joins."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from helpers import exchanges, plan_of
 from terrapanel.plans.counties import enrich_counties
 from terrapanel.plans.overlays import align_overlay
 from terrapanel.registry import QUERIES as PANEL_QUERIES
+from terrapanel.schemas import GRID_SCHEMA
+from terrapanel.sources import landed_grid
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,3 +78,21 @@ def test_overlay_values_come_from_one_dataset(spark):
     assert [r.overlay_value for r in align_overlay(annual, overlay, "a").collect()] == [1.0]
     with pytest.raises(Exception, match="b holds twice: AL 2000"):
         align_overlay(annual, overlay, "b").collect()
+
+
+def test_landed_folders_are_pruned(spark, tmp_path):
+    names = landed_grid.FOLDERS.fieldNames()
+    keys = [("cty", y, m, v, s) for y in (1999, 2000) for m in (1, 2) for v in ("tmax", "prcp") for s in ("scaled", "prelim")]
+    keys = [k for k in keys if not (k[1:4] == (2000, 2, "tmax") and k[4] == "scaled")] + [("ste", 2000, 1, "tmax", "odd")]
+    rows = spark.createDataFrame(keys, landed_grid.FOLDERS)
+    cells = {f: F.concat_ws(" ", F.lit(f), *names) for f in GRID_SCHEMA.fieldNames()}
+    root = str(tmp_path / "landed")
+    landed_grid.land(rows.withColumns(cells), root)
+    assert landed_grid.partitions(spark, root).count() == len(keys)
+    found = landed_grid.scan(spark, root, "cty", (2000, 2000), ["tmax"])
+    kept = sorted((r.period_month, r.status) for r in found.collect())
+    assert kept == [(1, "scaled"), (2, "prelim")]
+    text = plan_of(found)
+    filters = text.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert all(name in filters for name in ("period_year", "variable", "status")) and exchanges(found) == 0
+    assert [r.status for r in landed_grid.scan(spark, root, "ste").collect()] == ["odd"]
