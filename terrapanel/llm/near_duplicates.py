@@ -4,7 +4,8 @@ A document's set holds its distinct shingles of SHINGLE words; with fewer words,
 signature has CHUNKS * WIDTH symbols of BITS bits, each cut from one minimum hash. Two signatures
 that differ in at most DISTANCE = CHUNKS * (ERRORS + 1) - 1 symbols have, by pigeonhole, a chunk with at most ERRORS
 differing ones; every chunk is entered once for each choice of ERRORS symbols to leave out, so such a pair shares
-an index key. A pair at the similarity threshold of 0.8 misses all keys with a probability of 6e-6.
+an index key; most pairs up to FAR differing symbols do too. A pair at the similarity threshold of 0.8 misses all keys
+with a probability of 6e-6.
 
 Equal sets are one node from the start. Groups of nodes with a common key are not paired off: in
 each round a few members lead (one in the first round, FAN times as many in each next), the others are compared with
@@ -12,6 +13,11 @@ them, and members that confirmed links have already joined are not compared agai
 its round; a group is done when the rest of it is one component. So every pair that shares a key is compared or known
 to be connected, while a group of copies costs about one comparison for each member.
 
+Large groups that stay open after the first round hold texts that share much but are not copies, a common passage for one.
+Their nodes are grouped anew by prefix filtering, which is exact: with the shingles of these nodes put in one order, rare
+ones first, two sets within the threshold share one of the first n - ceil(0.8 n) + 1 of each. A common passage comes last in
+that order, so that texts which share nothing else part. Pairs met there are held to the signature distance as well.
+
 Null, empty and blank texts have no set and no links. A document of repeated id is one node for each of its sets.
 Documents without an id link others, but never name a component.
 """
@@ -30,9 +36,11 @@ from terrapanel.llm.words import WordHashes, mixed, space_words, texts
 from terrapanel.session import staged
 
 SHINGLE = 2
-CHUNKS, WIDTH, ERRORS, BITS = 9, 5, 1, 16
+CHUNKS, WIDTH, ERRORS, BITS = 9, 5, 1, 15
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+FAR = 24  # symbols; pairs that share a key but differ in more aren't compared: one in ten million at the threshold
 SYMBOLS = CHUNKS * WIDTH
+LANE, LANES = BITS + 1, 3  # a 64-bit number holds so many symbols, each with a free bit above
 FAN = 16
 OWN_ID = 2**61  # from here on, ids that deduplicated() gives to rows without one
 NO_ID = 2**62  # nodes from here on stand for sets whose documents all lack an id
@@ -62,12 +70,17 @@ def shingles(words: list[bytes], hashes: WordHashes, size: int) -> np.ndarray:
 
 
 def signature(values: np.ndarray, step: int = 4096) -> np.ndarray:
-    """SYMBOLS symbols: of each hash function's minimum, the low bits after mixing."""
+    """SYMBOLS symbols in 64-bit numbers, LANES in each: of each hash function's minimum, the low bits after mixing."""
     least = np.full(SYMBOLS, ~np.uint64(0))
     for start in range(0, len(values), step):
         part = (values[None, start : start + step] * _FACTORS[:, None] + _OFFSETS[:, None]) >> np.uint64(16)
         least = np.minimum(least, part.min(axis=1))
-    return (mixed(least) & np.uint64(2**BITS - 1)).astype("<u2")
+    return packed(mixed(least) & np.uint64(2**BITS - 1))
+
+
+def packed(symbols: np.ndarray) -> np.ndarray:
+    lanes = symbols.astype(np.uint64).reshape(-1, LANES) << np.arange(0, LANE * LANES, LANE, dtype=np.uint64)
+    return lanes.sum(axis=1, dtype=np.uint64).view(np.int64)
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -79,7 +92,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
             counts.append(len(values))
             if len(values):
                 names.append(_set_name(values))
-                signatures.append(signature(values).tobytes())
+                signatures.append(signature(values))
             else:
                 names.append(None)
                 signatures.append(None)
@@ -88,7 +101,7 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                 batch["doc_id"],
                 pa.array(counts, pa.int64()),
                 pa.array(names, pa.binary()),
-                pa.array(signatures, pa.binary()),
+                pa.array(signatures, pa.list_(pa.int64())),
             ],
             ["doc_id", "n_shingles", "set_id", "signature"],
         )
@@ -131,11 +144,16 @@ def _wanted_sets(plain: DataFrame, signed: DataFrame, wanted: DataFrame, size: i
     return by_id.unionByName(without_id)
 
 
+def _symbol(signature: Column, k: int) -> Column:
+    word = F.get(signature, F.lit(k // LANES))
+    return F.shiftright(word, LANE * (k % LANES)).bitwiseAND(F.lit(2**BITS - 1))
+
+
 def index_keys(signature: Column) -> list[Column]:
     """The chunks' variants: each chunk once without each of its symbols."""
     keys = []
     for chunk in range(CHUNKS):
-        symbols = [F.substring(signature, 2 * (chunk * WIDTH + k) + 1, 2) for k in range(WIDTH)]
+        symbols = [_symbol(signature, chunk * WIDTH + k) for k in range(WIDTH)]
         for left_out in range(WIDTH):
             rest = [s for k, s in enumerate(symbols) if k != left_out]
             keys.append(F.xxhash64(F.lit(chunk * WIDTH + left_out), *rest))
@@ -143,38 +161,106 @@ def index_keys(signature: Column) -> list[Column]:
 
 
 def distance(one: Column, other: Column) -> Column:
-    """Differing symbols of two signatures."""
-    places = F.sequence(F.lit(0), F.lit(SYMBOLS - 1))
-    differ = F.filter(
-        places, lambda k: F.substring(one, 2 * k + 1, F.lit(2)) != F.substring(other, 2 * k + 1, F.lit(2))
+    """Differing symbols of two signatures: a lane of the exclusive or that isn't 0 carries into its free bit."""
+    full = sum((2**BITS - 1) << (LANE * lane) for lane in range(LANES))
+    free = sum(1 << (LANE * lane + BITS) for lane in range(LANES))
+    total = F.lit(0)
+    for k in range(SYMBOLS // LANES):
+        differ = F.get(one, F.lit(k)).bitwiseXOR(F.get(other, F.lit(k)))
+        total = total + F.bit_count((differ + F.lit(full)).bitwiseAND(F.lit(free)))
+    return total
+
+
+def _shared(keyed: DataFrame) -> DataFrame:
+    """The rows (key, node) whose key several nodes have."""
+    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+    return keyed.join(ends.where("low < high").select("key"), "key").select("key", "node")
+
+
+def _split(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """New groups of the groups' nodes, by the rare shingles that linked nodes must share."""
+    size = F.size("members")
+    tokens = sets.join(groups.select("node").distinct(), "node", "left_semi").select(
+        "node", size.alias("n"), F.explode("members").alias("token")
+    )
+    often = tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1")
+    ranked = (
+        tokens.join(often, "token")
+        .groupBy("node", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("often", "token"))).alias("ranked"))
     )
-    return F.size(differ)
+    # tokens of one node alone come first in the order; they take places of the n - needed + 1, but match nothing
+    needed = F.floor((F.col("n") * percent + 99) / 100)
+    first = F.slice("ranked", 1, F.greatest(F.size("ranked") - needed + 1, F.lit(0)).cast("int"))
+    prefixes = ranked.select("node", F.explode(first).alias("t"))
+    return _shared(prefixes.select(F.xxhash64(F.lit("prefix"), "t.token").alias("key"), "node"))
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
-    """(key, node) of the index keys that several nodes share."""
-    keyed = nodes.select("node", F.explode(F.array(*index_keys(F.col("signature")))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    return keyed.join(shared.select("key"), "key").select("key", "node")
-
-
-def _confirmed(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (node, leader) within the signature distance whose full sets are similar enough."""
-    one = nodes.select("node", F.col("signature").alias("one"))
-    other = nodes.select(F.col("node").alias("leader"), F.col("signature").alias("other"))
-    near = (
-        pairs.join(one, "node")
-        .join(other, "leader")
-        .where(distance(F.col("one"), F.col("other")) <= DISTANCE)
-        .select("node", "leader")
-    )
+def _split_large(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Groups of up to FAN members as they are, for the next round has as many leaders; the nodes of larger ones anew."""
+    counts = groups.groupBy("key").agg(F.count("*").alias("n"))
+    counted = staged(groups.join(counts, "key"), "counted")
+    small, large = (counted.where(which).select("key", "node") for which in (F.col("n") <= FAN, F.col("n") > FAN))
+    return small.unionByName(_split(large, sets, percent))
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (node, leader) whose full sets are similar enough."""
     left = sets.select("node", F.col("members").alias("one"))
     right = sets.select(F.col("node").alias("leader"), F.col("members").alias("other"))
-    compared = near.join(left, "node").join(right, "leader")
     shared = F.size(F.array_intersect("one", "other"))
     # 100 * shared >= percent * (|one| + |other| - shared)
     enough = shared * (100 + percent) >= percent * (F.size("one") + F.size("other"))
-    return compared.where(enough).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    return (
+        pairs.join(left, "node")
+        .join(right, "leader")
+        .where(enough)
+        .select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    )
+
+
+def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(key, node, label) of the groups that hold several components."""
+    labelled = groups.withColumn("label", F.col("node"))
+    if labels is not None:
+        known = labels.select("node", F.col("label").alias("known"))
+        labelled = groups.join(known, "node", "left").select(
+            "key", "node", F.coalesce("known", "node").alias("label")
+        )
+    ends = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return labelled.join(ends.where("low < high").select("key"), "key")
+
+
+def _links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """(node, label) of all linked nodes, from comparing the members of groups round by round; None without groups."""
+    links, labels, leaders_per_group = None, None, 1
+    signatures = nodes.select("node", "signature")
+    waiting = groups
+    while True:
+        labelled = staged(_open(waiting, labels), "open")
+        if labelled.isEmpty():
+            return labels
+        seat = F.pmod(F.xxhash64("node"), F.lit(leaders_per_group))
+        leaders = labelled.groupBy("key", seat.alias("seat")).agg(F.min(F.struct("node", "label")).alias("lead"))
+        leaders = leaders.select(
+            F.col("key").alias("at"), F.col("lead.node").alias("leader"), F.col("lead.label").alias("led")
+        )
+        lead_signatures = signatures.select(F.col("node").alias("leader"), F.col("signature").alias("lead_signature"))
+        members = labelled.join(signatures, "node")
+        near = (F.col("label") != F.col("led")) & (distance(F.col("signature"), F.col("lead_signature")) <= FAR)
+        pairs = (
+            members.join(leaders.join(lead_signatures, "leader"), (F.col("key") == F.col("at")) & near)
+            .select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
+            .distinct()
+        )
+        found = staged(_confirmed(pairs, sets, percent), "links")
+        links = found if links is None else links.unionByName(found)
+        labels = components(links)
+        retired = leaders.select(F.col("at").alias("key"), F.col("leader").alias("node"))
+        waiting = labelled.select("key", "node").join(retired, ["key", "node"], "left_anti")
+        if leaders_per_group == 1:
+            waiting = _split_large(staged(_open(waiting, labels), "left").select("key", "node"), sets, percent)
+        leaders_per_group *= FAN
 
 
 def near_duplicates(
@@ -187,7 +273,7 @@ def near_duplicates(
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(
         plain.mapInArrow(
-            lambda batches: _signed(batches, size), "doc_id long, n_shingles long, set_id binary, signature binary"
+            lambda batches: _signed(batches, size), "doc_id long, n_shingles long, set_id binary, signature array<long>"
         ),
         "signatures",
     )
@@ -199,40 +285,11 @@ def near_duplicates(
         .select("set_id", "signature", F.coalesce("first", lone).alias("node")),
         "nodes",
     )
-    waiting = staged(_groups(nodes), "groups")
-    wanted = waiting.select("node").distinct().join(nodes.select("node", "set_id"), "node")
+    keyed = nodes.select("node", F.explode(F.array(*index_keys(F.col("signature")))).alias("key"))
+    groups = staged(_shared(keyed), "groups")
+    wanted = groups.select("node").distinct().join(nodes.select("node", "set_id"), "node")
     sets = staged(_wanted_sets(plain, signed, wanted, size), "sets")
-    links, labels, leaders_per_group = None, None, 1
-    while not waiting.isEmpty():
-        labelled = waiting.withColumn("label", F.col("node"))
-        if labels is not None:
-            known = labels.select("node", F.col("label").alias("known"))
-            labelled = waiting.join(known, "node", "left").select(
-                "key", "node", F.coalesce("known", "node").alias("label")
-            )
-        open_groups = (
-            labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-        )
-        labelled = staged(labelled.join(open_groups.select("key"), "key"), "open")
-        seat = F.pmod(F.xxhash64("node"), F.lit(leaders_per_group))
-        leaders = labelled.groupBy("key", seat.alias("seat")).agg(
-            F.min(F.struct("node", "label")).alias("lead")
-        )
-        leaders = leaders.select(
-            F.col("key").alias("at"), F.col("lead.node").alias("leader"), F.col("lead.label").alias("led")
-        )
-        pairs = (
-            labelled.join(leaders, F.col("key") == F.col("at"))
-            .where("label <> led")
-            .select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
-            .distinct()
-        )
-        found = staged(_confirmed(pairs, nodes, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        retired = leaders.select(F.col("at").alias("key"), F.col("leader").alias("node"))
-        waiting = staged(labelled.select("key", "node").join(retired, ["key", "node"], "left_anti"), "waiting")
-        leaders_per_group *= FAN
+    labels = _links(nodes, groups, sets, percent)
     named = nodes.select("set_id", "node")
     if labels is not None:
         named = named.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("node"))
@@ -260,5 +317,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.coalesce(F.col(id_col).cast("long"), stand_in).alias("id"), text.alias("text"), F.struct(*docs.columns).alias("row")
     )
     kept = near_duplicates(rows, "id", "text").where("kept").select(F.col("doc_id").alias("id")).distinct()
-    first = F.min(F.struct("text", "row")).alias("first")
-    return rows.join(kept, "id", "left_semi").groupBy("id").agg(first).select("first.row.*")
+    first = F.min(F.struct(F.col("row").getField(text_col).alias("text"), "row")).alias("first")
+    # the texts move once, inside the rows
+    return rows.select("id", "row").join(kept, "id", "left_semi").groupBy("id").agg(first).select("first.row.*")
