@@ -132,28 +132,39 @@ def trunk(keys: np.ndarray, a: np.ndarray, b: np.ndarray, log_children: np.ndarr
     return levels[::-1]
 
 
-def answers(levels: list[Level]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(keys, probability of a one) by depth, each as if its node were the deepest seen: the mixture along its path."""
+@dataclass
+class Path:
+    """For the nodes at one depth, by key: the mixture of all nodes above and at it, and the weight left for below."""
+
+    keys: np.ndarray
+    said: np.ndarray
+    left: np.ndarray
+
+
+def answers(levels: list[Level], first: int = 0, above: Path | None = None) -> tuple[list[np.ndarray], Path | None]:
+    """Log odds of a one by depth, from depth `first` on, each as if its node were the deepest seen: the mixture along its
+    path. Single precision keeps six digits of a probability, however near to 0 or 1."""
     found = []
-    said = left = np.zeros(0)
-    above = np.zeros(0, np.uint64)
-    for depth, level in enumerate(levels):
+    for depth, level in enumerate(levels, first):
         if depth:
-            place = np.searchsorted(above, parent(level.keys, depth))
-            said, left = said[place], left[place]
+            place = np.searchsorted(above.keys, parent(level.keys, depth))
+            said, left = above.said[place], above.left[place]
         else:
             said, left = np.zeros(len(level.keys)), np.ones(len(level.keys))
-        found.append((level.keys, said + left * level.estimate))
-        said, left, above = said + left * level.weight * level.estimate, left * (1 - level.weight), level.keys
-    return found
+        one = said + left * level.estimate
+        # the rest is summed on its own, as 1 - one would lose a small one
+        zero = (1 - left - said) + left * (1 - level.estimate)
+        found.append((np.log(one) - np.log(np.maximum(zero, 1e-300))).astype(np.float32))
+        above = Path(level.keys, said + left * level.weight * level.estimate, left * (1 - level.weight))
+    return found, above
 
 
 def log10_of(codes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 of each gram's last byte given its context."""
+    """log10 of each gram's last byte given its context, from (keys, log odds) by depth. Quick for ascending grams."""
     byte, total = codes & np.uint64(255), np.zeros(len(codes))
     for k in range(8):
         decision = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-        one = np.full(len(codes), 0.5)
+        odds = np.zeros(len(codes))
         waiting = np.arange(len(codes))
         for depth in range(len(found) - 1, -1, -1):
             keys, values = found[depth]
@@ -162,8 +173,8 @@ def log10_of(codes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> n
             wanted = (codes[waiting] & np.uint64(256 ** (depth + 1) - 1) & ~np.uint64(255)) | decision[waiting]
             place = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             seen = keys[place] == wanted
-            one[waiting[seen]] = values[place[seen]]
+            odds[waiting[seen]] = values[place[seen]]
             waiting = waiting[~seen]
         bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-        total += np.log10(np.where(bit == 1, one, 1 - one))
-    return total
+        total -= np.logaddexp(0, np.where(bit == 1, -odds, odds))
+    return total / np.log(10)

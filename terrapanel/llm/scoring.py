@@ -29,7 +29,7 @@ from terrapanel.llm import context_tree as tree
 from terrapanel.llm.words import LOWER, space_words, texts
 from terrapanel.session import staged
 
-BLOCK_NODES = 2_500_000  # 40 MB in a Python worker
+BLOCK_NODES = 10_000_000  # 120 MB in a Python worker, and for a moment on the driver
 FREQUENT = 100_000
 FREQUENT_BYTES = 64
 KEPT = 1_000_000  # counts that a task holds before it hands them on
@@ -126,40 +126,57 @@ def _subtrees(grams: pd.DataFrame) -> pd.DataFrame:
     return found[names]
 
 
+def _answered(nodes: pd.DataFrame, above: tree.Path) -> pd.DataFrame:
+    """Log odds of the nodes of one near context."""
+    nodes = nodes.assign(order=nodes["key"].to_numpy(np.int64).view(np.uint64)).sort_values(["depth", "order"])
+    levels, frames = [], []
+    for depth in range(tree.NEAR, tree.DEPTH + 1):
+        own = nodes[nodes["depth"] == depth]
+        levels.append(tree.Level(own["order"].to_numpy(), own["estimate"].to_numpy(), own["weight"].to_numpy()))
+        frames.append(own[["near", "depth", "key"]])
+    odds, _ = tree.answers(levels, tree.NEAR, above)
+    return pd.concat(frames, ignore_index=True).assign(odds=np.concatenate(odds))
+
+
 class ContextModel:
     """The nodes below NEAR as a stored table, the trunk in memory."""
 
     def __init__(self, training: DataFrame, block_nodes: int = BLOCK_NODES):
-        # a gram is a 40-bit number: the near context is its third and second lowest byte
+        # the near context is the third and second lowest byte of a gram
         near = F.shiftright("gram", 8).bitwiseAND(F.lit(256**tree.NEAR - 1)).cast("int")
         grams = training.select("text").mapInArrow(_gram_counts, "gram long, n long")
         summed = grams.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("near", near)
-        self.nodes = staged(
-            summed.groupBy("near").applyInPandas(_subtrees, NODES), "context_nodes"
-        )
+        nodes = staged(summed.groupBy("near").applyInPandas(_subtrees, NODES), "context_nodes")
         above = F.col("key").bitwiseAND(F.lit(256**tree.NEAR - 1))
         sums = (
-            self.nodes.where(F.col("depth") == tree.NEAR)
+            nodes.where(F.col("depth") == tree.NEAR)
             .groupBy(above.alias("key"))
             .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log_total").alias("children"))
             .toPandas()
         )
-        self.trunk = tree.trunk(
+        levels = tree.trunk(
             sums["key"].to_numpy(np.int64).view(np.uint64), *(sums[c].to_numpy(np.float64) for c in ("a", "b", "children"))
         )
+        odds, path = tree.answers(levels)
+        self.trunk = [(level.keys, found) for level, found in zip(levels, odds)]
+        self.nodes = staged(
+            nodes.select("near", "depth", "key", "estimate", "weight")
+            .groupBy("near")
+            .applyInPandas(lambda group: _answered(group, path), "near int, depth int, key long, odds float"),
+            "context_odds",
+        )
         self.blocks = max(1, math.ceil(self.nodes.count() / block_nodes))
 
     def block(self, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Answers of the contexts whose last NEAR bytes leave this remainder, and of all shorter ones."""
-        own = self.nodes.where(F.col("near") % self.blocks == number).select("depth", "key", "estimate", "weight").toArrow()
-        depths, keys = own["depth"].to_numpy(), own["key"].to_numpy().view(np.uint64)
-        estimate, weight = own["estimate"].to_numpy(), own["weight"].to_numpy()
+        """(keys, log odds) by depth, of the contexts whose last NEAR bytes leave this remainder and of all shorter ones."""
+        own = self.nodes.where(F.col("near") % self.blocks == number)
         levels = list(self.trunk)
         for depth in range(tree.NEAR, tree.DEPTH + 1):
-            at = np.flatnonzero(depths == depth)
-            at = at[np.argsort(keys[at])]
-            levels.append(tree.Level(keys[at], estimate[at].astype(np.float64), weight[at].astype(np.float64)))
-        return tree.answers(levels)
+            part = own.where(F.col("depth") == depth).select("key", "odds").toArrow()
+            keys = part["key"].to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            levels.append((keys[order], part["odds"].to_numpy()[order]))
+        return levels
 
 
 def _name(text: bytes) -> bytes:
@@ -175,7 +192,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast, blocks: int, n
             if blocks > 1:
                 own = tree.near_of(codes) % np.uint64(blocks) == number
                 codes, owners = codes[own], owners[own]
-            place, distinct = pd.factorize(codes)
+            place, distinct = pd.factorize(codes, sort=True)
             logs = tree.log10_of(distinct, found)
             total += np.bincount(owners, weights=logs[place], minlength=len(total))
         names = pa.array([_name(text) for text in texts(batch)], pa.binary())

@@ -101,7 +101,7 @@ def agree(found, want):
     want = sorted(want, key=key)
     assert [r[:5] for r in found] == [r[:5] for r in want]
     for a, b in zip(found, want):
-        assert a[5:] == pytest.approx(b[5:], rel=1e-9, abs=1e-9)
+        assert a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-6)
 
 
 def small_documents(spark):
@@ -152,10 +152,12 @@ def test_probabilities_of_all_next_bytes_sum_to_one():
         level.keys, level.estimate, level.weight = level.keys[order], level.estimate[order], level.weight[order]
     keys, a, b, logs = (np.concatenate(x) for x in zip(*(v[1] for v in parts)))
     above, a, b, logs = context_tree._summed(context_tree.parent(keys, 2), a, b, logs)
-    found = context_tree.answers(context_tree.trunk(above, a, b, logs) + levels)
+    levels = context_tree.trunk(above, a, b, logs) + levels
+    odds, _ = context_tree.answers(levels)
+    found = [(level.keys, x) for level, x in zip(levels, odds)]
     for context in (b"babca", b"zzzzz", b"cab  ", b"zzz\xc3\xa9"):
         codes = (np.uint64(int.from_bytes(context, "big")) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert np.sum(10 ** context_tree.log10_of(codes, found)) == pytest.approx(1)
+        assert np.sum(10 ** context_tree.log10_of(codes, found)) == pytest.approx(1, abs=1e-5)
 
 
 # -- toxicity --------------------------------------------------------------------------------
