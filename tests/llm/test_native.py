@@ -73,10 +73,6 @@ def check_secrets(rows, found):
     assert sorted((tuple(r) for r in found.collect()), key=key) == sorted(want, key=key)
 
 
-def test_secrets_whole_table(spark):
-    check_secrets(texts_of(spark), QUERIES["op1_secret_scans"](spark, SF))
-
-
 def test_secrets_edges(spark):
     docs = edge_documents(spark)
     found = secrets.digest(secrets.scan(docs))

@@ -57,10 +57,6 @@ def same(found, want):
     assert sorted((tuple(r) for r in found), key=key) == sorted(want, key=key)
 
 
-def test_archives_whole_table(spark):
-    same(QUERIES["op3_warc"](spark, SF).collect(), plain_records(pages_of(spark)))
-
-
 @pytest.mark.parametrize("least", [0, 5, 100])
 def test_archives_edges(spark, least):
     rows = edge_pages(spark)
