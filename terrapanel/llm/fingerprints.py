@@ -16,11 +16,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terrapanel.session import staged
+
 K = 4
 W = 8
 POSITIONS = 31  # bits; the 32 bits above hold the hash
 CELLS = 256
-ROWS = 65536
+ROWS = 16384
 TOKEN = r"[\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[^\s\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+"
 
 
@@ -122,8 +124,9 @@ def dealt_by_range(docs: DataFrame) -> DataFrame:
             F.coalesce("earlier", "last_part").alias("to_part"),
         )
     )
+    # stored, so that the join knows its size and mostly needs no exchange of the texts
     placed = ordered.join(
-        guests,
+        staged(guests, "range_starts"),
         (F.col("cell") == F.col("own_cell"))
         & (F.col("part") == F.col("own_part"))
         & F.col("doc_id").eqNullSafe(F.col("first")),
