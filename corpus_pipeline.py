@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from terrapanel.llm import decontamination, near_duplicates, secrets, tokenization, toxicity
 from terrapanel.session import staged
 
+SHINGLE = 5  # words; the two of op6_minhash_near_dedup are that query's contract, and link far more
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents below their language's threshold. The classifier learns from the labels of this stage's documents."""
@@ -19,8 +21,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_duplicates.deduplicated(docs)
+    """One document of each group of near-duplicates, by sets of five words at a similarity of 0.8."""
+    return near_duplicates.deduplicated(docs, size=SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -305,8 +305,8 @@ def near_duplicates(
     )
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id; all columns kept.
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """One document of each group, the one with the smallest id; all columns kept. Shingles have `size` words.
 
     Rows that repeat an id are one document, of which the row with the smallest text stays; so are rows without id
     and with equal texts, which only stay if no document with an id is in their group.
@@ -316,7 +316,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(
         F.coalesce(F.col(id_col).cast("long"), stand_in).alias("id"), text.alias("text"), F.struct(*docs.columns).alias("row")
     )
-    kept = near_duplicates(rows, "id", "text").where("kept").select(F.col("doc_id").alias("id")).distinct()
+    kept = near_duplicates(rows, "id", "text", size).where("kept").select(F.col("doc_id").alias("id")).distinct()
     first = F.min(F.struct(F.col("row").getField(text_col).alias("text"), "row")).alias("first")
     # the texts move once, inside the rows
     return rows.select("id", "row").join(kept, "id", "left_semi").groupBy("id").agg(first).select("first.row.*")

@@ -1,5 +1,7 @@
 """The pipeline against its stages in plain Python."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from edge import edge_documents
 from terrapanel.llm import near_duplicates, secrets, tokenization, toxicity
-from test_matching import plain_components, plain_contamination
+from test_matching import plain_components, plain_contamination, shingle_set
 from test_native import plain_added, plain_base
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +78,29 @@ def test_cleaned_keeps_rows(spark):
     assert done.columns == docs.columns and done.count() == docs.count()
     assert done.where("text like '%[SECRET]%' and n_chars <> length(text)").count() == 0
     assert done.where("text is null").count() == docs.where("text is null").count()
+
+
+def test_near_duplicate_stage_takes_five_words(spark):
+    """Every twentieth word changed: 0.82 alike on two words, 0.6 on five. One word changed: alike on both."""
+    words = [f"w{i}" for i in range(200)]
+    loose = [f"x{i}" if i % 20 == 10 else w for i, w in enumerate(words)]
+    close = ["other" if i == 77 else w for i, w in enumerate(words)]
+    rows = [(i, " ".join(w)) for i, w in enumerate((words, loose, close), 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [1, 2]
+    assert [r.doc_id for r in near_duplicates.deduplicated(docs).collect()] == [1]
+
+
+def test_near_duplicate_stage_matches_brute_force_on_five_words(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, shingle_set(r.text, 5)) for r in docs.collect())
+    least = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for (a, one), (b, other) in combinations(rows, 2):
+            if least[a] != least[b] and one and other and 100 * len(one & other) >= 80 * len(one | other):
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    found = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert found == {i for i, low in least.items() if i == low} and len(found) < len(rows)
