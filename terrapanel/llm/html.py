@@ -54,6 +54,8 @@ ENDS = {
     "option": frozenset(["option"]),
 }
 FENCES = frozenset("article aside body div footer header main nav ol section table td th ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAST_SHARE = 0.02  # of a container's text, up to which the smaller containers in it without a heading are no part of the text
 OWN_SHARE = 0.25  # of the page's best container's text, below which the host's path isn't trusted
 
 TOKEN = re.compile(
@@ -200,8 +202,8 @@ class Page:
         return totals
 
     def best(self, totals: list[int]) -> int:
-        """The smallest container that holds the text: from the root down while one child container has most of it
-        and no text stands beside the containers; an article or main element is final."""
+        """The smallest container that holds the text: from the root down while one child container has all but LEAST_SHARE
+        of it, no heading is in the others and no text stands beside the containers; an article or main element is final."""
         children: dict[int, list[int]] = {}
         for element in range(1, len(totals)):
             children.setdefault(self.parents[element], []).append(element)
@@ -212,16 +214,32 @@ class Page:
             beside = element in direct or any(
                 self.names[c] not in CONTAINERS and self.names[c] != "html" and totals[c] > 0 for c in inner
             )
-            held = [c for c in inner if totals[c] > 0 and 2 * totals[c] > totals[element]]
-            articles = [c for c in inner if self.names[c] in ("article", "main") and totals[c] > 0]
+            held = [c for c in inner if totals[c] > 0]
+            articles = [c for c in held if self.names[c] in ("article", "main")]
             if len(articles) == 1:
                 element = articles[0]
             elif beside or not held:
                 break
             else:
-                element = held[0]
+                most = max(held, key=lambda c: totals[c])
+                rest = sum(totals[c] for c in held) - totals[most]
+                if rest > LEAST_SHARE * (rest + totals[most]) or self._titled([c for c in held if c != most]):
+                    break
+                element = most
         return element
 
+    def _titled(self, elements: list[int]) -> bool:
+        """Whether a heading with text is in one of the elements."""
+        among = set(elements)
+        for element, _, _ in self.blocks:
+            heading = False
+            while among and element > 0:
+                heading = heading or self.names[element] in HEADINGS
+                if heading and element in among:
+                    return True
+                element = self.parents[element]
+        return False
+
     def text(self, elements: set[int]) -> str:
         """The blocks inside the elements, in page order."""
         inside = [False] * len(self.names)

@@ -162,6 +162,25 @@ def test_host_path_wins_over_a_long_aside(spark):
     assert html.main_texts(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def body_of(*parts):
+    return f"<html><body>{''.join(parts)}</body></html>"
+
+
+ONE, TWO = "first part of it " * 12, "second part " * 10
+SPLITS = [
+    f"<div class=content><div class=a><p>{ONE}</p></div><div class=b><p>{TWO}</p></div></div>",
+    f"<section><p>{ONE}</p></section><section><p>{TWO}</p></section>",
+    f"<div class=a><p>{ONE * 9}</p></div><div class=b><p>{TWO}</p></div>",
+    f"<div class=title><h1>T</h1></div><div class=body><p>{ONE * 9}</p></div>",
+]
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_text_in_several_containers_is_whole(split):
+    want = "\n".join(" ".join(t.split()) for t in re.split("<[^>]*>", split) if t)
+    assert html.extracted(body_of("<nav>Home</nav>", split, "<footer>F</footer>"), None) == want
+
+
 @pytest.mark.parametrize("part", ["<a ", "<!--", "<!x ", "<p", "</", "<div>", "<a b='", "&amp", "<b><p>", "<script>"])
 def test_long_and_broken_markup(part):
     html.extracted(part * 20_000, None)
