@@ -42,6 +42,15 @@ BOILERPLATE = frozenset(
     "sharing social related recommended comment comments disqus replies respond pagination pager widget widgets "
     "copyright legal disclaimer skip complementary contentinfo".split()
 )
+# Words that leave a boilerplate name what it is: sidebar-left, site-footer, share-buttons; but not has-sidebar, entry-header.
+NEUTRAL = frozenset(
+    "area bar bars block blocks bottom box boxes button buttons col column container desktop fixed first global icon icons "
+    "inner item items left link links list main mobile outer panel posts primary right row second secondary section site "
+    "slot sticky third top unit wrap wrapper zone".split()
+)
+TITLES = frozenset("header masthead".split())  # no boilerplate inside an article
+AMBIGUOUS = frozenset("alert legal".split())  # boilerplate only beside another such word
+REPLIES = frozenset("comment comments disqus replies respond".split())
 # An open element on the left ends where an element on the right begins.
 ENDS = {
     "p": BLOCKS - {"html", "body"},
@@ -75,22 +84,22 @@ class Page:
 
     def __init__(self, html: str):
         self.names, self.keys, self.parents, self.dropped = ["#"], [""], [-1], [False]
+        self.marked: dict[int, bool] = {}  # elements with a boilerplate name: whether it is one of replies
         self.blocks: list[list] = []
-        self._parse(html)
+        self._settle(self._parse(html))
 
-    def _parse(self, html: str) -> None:
+    def _parse(self, html: str) -> list[list[tuple[int, str, int]]]:
+        """The pieces of each block outside the elements left out: (element, text, characters in links)."""
         names, parents, dropped = self.names, self.parents, self.dropped
         stack, at, links = [0], 0, 0
-        text: list[str] = []
-        linked, home = 0, 0
+        text: list[tuple[int, str, int]] = []
+        blocks = []
 
         def cut() -> None:
-            nonlocal linked
-            joined = " ".join("".join(text).split()) if text else ""
-            if joined:
-                self.blocks.append([home, joined, linked])
-            text.clear()
-            linked = 0
+            nonlocal text
+            if text:
+                blocks.append(text)
+                text = []
 
         size = len(html)
         while at < size:
@@ -100,11 +109,7 @@ class Page:
                 piece = html[at:start]
                 if "&" in piece:
                     piece = unescape(piece)
-                if not text:
-                    home = stack[-1]
-                text.append(piece)
-                if links:
-                    linked += len(piece)
+                text.append((stack[-1], piece, len(piece) if links else 0))
             if not found:
                 break
             at = found.end()
@@ -128,7 +133,7 @@ class Page:
             if name in BLOCKS:
                 cut()
             if name == "br":
-                text.append(" ")
+                text.append((stack[-1], " ", 0))
             if name in VOID:
                 continue
             attributes = found[3]
@@ -145,7 +150,9 @@ class Page:
                 if open_name in FENCES:
                     break
             parent = stack[-1]
-            key, boilerplate = self._named(name, attributes, parent)
+            key, boilerplate, marked = self._named(name, attributes, parent)
+            if marked is not None:
+                self.marked[len(names)] = marked
             names.append(name)
             self.keys.append(key)
             parents.append(parent)
@@ -157,10 +164,49 @@ class Page:
                 elif name in BLOCKS:
                     links = 0
         cut()
+        return blocks
+
+    def _settle(self, blocks: list[list[tuple[int, str, int]]]) -> None:
+        """Drop what is inside elements of a boilerplate name, unless one holds the article or most of the text."""
+        dropped, parents = self.dropped, self.parents
+        if self.marked:
+            totals = [0] * len(parents)
+            for block in blocks:
+                for element, text, linked in block:
+                    totals[element] += len(text.strip()) - 2 * min(linked, len(text.strip()))
+            for element in range(len(totals) - 1, 0, -1):
+                totals[parents[element]] += totals[element]
+            under = [False] * len(parents)  # inside a marked element
+            rest, holding = totals[0], set()
+            articles = []
+            for element in range(1, len(parents)):
+                parent = parents[element]
+                if element in self.marked and not under[parent]:
+                    rest -= max(totals[element], 0)
+                under[element] = under[parent] or element in self.marked
+                if self.names[element] in ("article", "main") and totals[element] > 0 and not self._inside(parent, ("article", "main")):
+                    articles.append(element)
+            if len(articles) == 1:
+                element = articles[0]
+                while element > 0:
+                    holding.add(element)
+                    element = parents[element]
+            for element in range(1, len(parents)):
+                drop = False
+                if element in self.marked and totals[element] > 0:
+                    drop = rest > 0 if self.marked[element] else element not in holding and 2 * totals[element] <= totals[0]
+                elif element in self.marked:
+                    drop = True
+                dropped[element] = dropped[element] or dropped[parents[element]] or drop
+        for block in blocks:
+            kept = [piece for piece in block if not dropped[piece[0]]]
+            joined = " ".join("".join([text for _, text, _ in kept]).split())
+            if joined:
+                self.blocks.append([kept[0][0], joined, sum(linked for _, _, linked in kept)])
 
-    def _named(self, name: str, attributes: str, parent: int) -> tuple[str, bool]:
-        """The element's generalised name, and whether it is boilerplate."""
-        classes, marks, boilerplate = "", "", name in LEFT_OUT
+    def _named(self, name: str, attributes: str, parent: int) -> tuple[str, bool, bool | None]:
+        """The element's generalised name, whether it is left out, and whether a boilerplate name of it is one of replies."""
+        classes, marks, boilerplate, marked = "", "", name in LEFT_OUT, None
         if "=" in attributes or "hidden" in attributes:
             for attribute, value in NAMED.findall(attributes):
                 attribute, value = attribute.lower(), unescape(value.strip("\"'"))
@@ -172,11 +218,16 @@ class Page:
                     boilerplate = boilerplate or bool(HIDDEN.search(value))
                 else:
                     boilerplate = boilerplate or value.lower() != "false"
-        if name not in ("html", "body", "main", "article"):
-            boilerplate = boilerplate or not BOILERPLATE.isdisjoint(WORDS.findall(marks))
-            if name == "header" and not boilerplate:
+        if name not in ("html", "body", "main", "article") and not boilerplate:
+            for mark in marks.split():
+                words = set(WORDS.findall(mark))
+                found = words & BOILERPLATE
+                if not found <= AMBIGUOUS and words <= BOILERPLATE | NEUTRAL:
+                    if not found <= TITLES or not self._inside(parent, ("article", "main")):
+                        marked = bool(marked) or not found.isdisjoint(REPLIES)
+            if name == "header" and marked is None:
                 boilerplate = not self._inside(parent, ("article", "main"))
-        return (f"{name}.{classes}" if classes else name), boilerplate
+        return (f"{name}.{classes}" if classes else name), boilerplate, marked
 
     def _inside(self, element: int, wanted: tuple[str, ...]) -> bool:
         while element > 0:

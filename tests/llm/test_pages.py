@@ -181,6 +181,22 @@ def test_text_in_several_containers_is_whole(split):
     assert html.extracted(body_of("<nav>Home</nav>", split, "<footer>F</footer>"), None) == want
 
 
+def test_names_that_only_contain_a_boilerplate_word():
+    for name in ("has-sidebar", "layout-with-sidebar", "no-sidebar", "sidebar", "legal-text", "search-result", "alert", "social-history"):
+        assert html.extracted(body_of(f"<div class='{name}'><article><h1>T</h1><p>{ONE}</p></article></div>"), None) == "T\n" + ONE.strip()
+        assert html.extracted(body_of(f"<div id='{name}'><p>{ONE}</p></div><div class=share>Share</div>"), None) == ONE.strip()
+    for title in ("<header class='entry-header'>", "<header class='header'>", "<div class='article-header'>", "<div class='header'>"):
+        tag = title[1:].split()[0]
+        page = body_of("<div class=header>Site</div>", f"<article>{title}<h1>T</h1></{tag}><p>{ONE}</p></article>")
+        assert html.extracted(page, None) == "T\n" + ONE.strip()
+
+
+@pytest.mark.parametrize("name", ["sidebar", "sidebar-left", "site-footer", "share-buttons", "cookie-banner", "comments", "nav menu", "ad-3"])
+def test_boilerplate_names_are_still_dropped(name):
+    page = body_of(f"<div class=post><p>{ONE}</p><div class='{name}'><p>{TWO}</p></div></div>", f"<div id='{name}'><p>{TWO}</p></div>")
+    assert html.extracted(page.replace(ONE, ONE * 4), None) == " ".join((ONE * 4).split())
+
+
 @pytest.mark.parametrize("part", ["<a ", "<!--", "<!x ", "<p", "</", "<div>", "<a b='", "&amp", "<b><p>", "<script>"])
 def test_long_and_broken_markup(part):
     html.extracted(part * 20_000, None)
