@@ -2,7 +2,9 @@
 
 Each page's containers are scored by the text they hold outside menus, adverts and the like. The page votes for the generalised
 tag-class path of its best container; votes are summed per host in Spark, and every page is extracted again with its
-host's winning path. A page without that path, or with little of its text there, falls back on its own best container.
+host's winning path. What a page's own best container holds beside that path is kept as well, unless it stands in a container
+that the pages which voted for the path leave out too (at least BESIDE_PAGES and BESIDE_SHARE of them): so an unmarked
+box of the host's template goes, and the text of a page of another template stays.
 
 Text is split into blocks at block-level tags; character references are decoded, white space in a block becomes one
 space (a line-break tag counts as white space), blocks are trimmed and joined by a line break. Nothing else is left
@@ -13,7 +15,7 @@ empty host. Rows are handled alone but for the votes, so repeated pages repeat t
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -65,7 +67,7 @@ ENDS = {
 FENCES = frozenset("article aside body div footer header main nav ol section table td th ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAST_SHARE = 0.02  # of a container's text, up to which the smaller containers in it without a heading are no part of the text
-OWN_SHARE = 0.25  # of the page's best container's text, below which the host's path isn't trusted
+BESIDE_PAGES, BESIDE_SHARE = 2, 0.1  # of the pages with the host's path, for a container beside it to belong to the template
 
 TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/><]*)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S
@@ -291,37 +293,68 @@ class Page:
                 element = self.parents[element]
         return False
 
-    def text(self, elements: set[int]) -> str:
-        """The blocks inside the elements, in page order."""
-        inside = [False] * len(self.names)
-        for element in range(len(inside)):
-            inside[element] = element in elements or (element > 0 and inside[self.parents[element]])
-        return "\n".join(text for element, text, _ in self.blocks if inside[element])
+    def beside(self, element: int) -> set[str]:
+        """Paths of the largest elements with blocks that neither hold the element nor are inside it."""
+        line = set()
+        while element >= 0:
+            line.add(element)
+            element = self.parents[element]
+        paths = set()
+        lowest = max(line)
+        for home in {element for element, _, _ in self.blocks}:
+            under = None
+            while home not in line:
+                under, home = home, self.parents[home]
+            if under is not None and home != lowest:
+                paths.add(self.path(under))
+        return paths
+
+    def at(self, paths: Iterable[str]) -> set[int]:
+        """The elements with one of the paths."""
+        wanted = set(paths)
+        last = {path.rpartition("/")[2] for path in wanted}
+        return {e for e in range(1, len(self.keys)) if self.keys[e] in last and self.path(e) in wanted}
+
+    def text(self, elements: set[int], own: int | None = None, without: set[int] = frozenset()) -> str:
+        """The blocks inside the elements, and those inside own but not inside `without`, in page order."""
+        size = len(self.names)
+        inside, other, out = [False] * size, [False] * size, [False] * size
+        for element in range(size):
+            parent = self.parents[element]
+            inside[element] = element in elements or (element > 0 and inside[parent])
+            other[element] = element == own or (element > 0 and other[parent])
+            out[element] = element in without or (element > 0 and out[parent])
+        return "\n".join(
+            text for element, text, _ in self.blocks if inside[element] or (other[element] and not out[element])
+        )
 
 
-def extracted(html: str, host_path: str | None) -> str:
+def extracted(html: str, host_path: str | None, beside: Iterable[str] = ()) -> str:
     page = Page(html)
-    totals = page.scores()
-    own = page.best(totals)
+    own = page.best(page.scores())
     if host_path:
-        last = host_path.rpartition("/")[2]
-        named = {e for e in range(1, len(totals)) if page.keys[e] == last and page.path(e) == host_path}
-        if named and sum(totals[e] for e in named) >= OWN_SHARE * totals[own]:
-            return page.text(named)
+        named = page.at([host_path])
+        if named:
+            return page.text(named, own, page.at(beside))
     return page.text({own})
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row of each page's vote, and one without weight for each path beside it."""
     for batch in batches:
-        paths, weights = [], []
-        for value in batch["html"]:
+        rows = []
+        for host, value in zip(batch["host"], batch["html"]):
             page = Page(value.as_py() or "")
             totals = page.scores()
             own = page.best(totals)
-            paths.append(page.path(own) if totals[own] > 0 else None)
-            weights.append(totals[own])
+            if totals[own] > 0:
+                path = page.path(own)
+                rows.append((host.as_py(), path, None, totals[own]))
+                rows += [(host.as_py(), path, beside, 0) for beside in page.beside(own)]
+        columns = list(zip(*rows)) or [()] * 4
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch["host"], pa.array(paths, pa.string()), pa.array(weights, pa.int64())], ["host", "path", "weight"]
+            [pa.array(c, kind) for c, kind in zip(columns, kinds)], ["host", "path", "beside", "weight"]
         )
 
 
@@ -329,8 +362,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page_id", "url", "text"]
     for batch in batches:
         start, size, texts = 0, 0, []
-        for at, (value, path) in enumerate(zip(batch["html"], batch["path"]), 1):
-            texts.append(extracted(value.as_py() or "", path.as_py()))
+        for at, (value, path, beside) in enumerate(zip(batch["html"], batch["path"], batch["beside"]), 1):
+            texts.append(extracted(value.as_py() or "", path.as_py(), beside.as_py() or ()))
             size += len(texts[-1])
             if size >= BATCH_BYTES or at == len(batch):
                 part = batch.slice(start, at - start)
@@ -343,16 +376,22 @@ def host_of(url: Column) -> Column:
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes, then most text, then the first by name. From rows of (host, html)."""
-    votes = (
+    """(host, path, beside): the path with most votes, then most text, then the first by name, and the paths beside it on
+    many of its pages, of which there are at most 1 / BESIDE_SHARE times those of a page. From rows of (host, html)."""
+    counts = (
         pages.select("host", "html")
-        .mapInArrow(_votes, "host string, path string, weight long")
-        .where("path IS NOT NULL")
-        .groupBy("host", "path")
+        .mapInArrow(_votes, "host string, path string, beside string, weight long")
+        .groupBy("host", "path", "beside")
         .agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
     )
+    votes = staged(counts, "host_votes")
     rank = F.struct((-F.col("n")).alias("n"), (-F.col("weight")).alias("weight"), F.col("path"))
-    return votes.groupBy("host").agg(F.min(rank).alias("best")).select("host", F.col("best.path").alias("path"))
+    best = votes.where("beside IS NULL").groupBy("host").agg(F.min(rank).alias("best"))
+    best = best.select("host", F.col("best.path").alias("path"), (-F.col("best.n")).alias("pages"))
+    often = (F.col("n") >= BESIDE_PAGES) & (F.col("n") >= BESIDE_SHARE * F.col("pages"))
+    found = votes.where("beside IS NOT NULL").join(best, ["host", "path"]).where(often)
+    lists = found.groupBy("host").agg(F.collect_list("beside").alias("beside"))
+    return best.join(lists, "host", "left").select("host", "path", "beside")
 
 
 def main_texts(
@@ -370,7 +409,7 @@ def main_texts(
     kind = plain.schema["page_id"].dataType.simpleString()
     return (
         plain.join(paths, "host", "left")
-        .select("page_id", "url", "html", "path")
+        .select("page_id", "url", "html", "path", "beside")
         .mapInArrow(_texts, f"page_id {kind}, url string, text string")
     )
 

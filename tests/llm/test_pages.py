@@ -197,6 +197,23 @@ def test_boilerplate_names_are_still_dropped(name):
     assert html.extracted(page.replace(ONE, ONE * 4), None) == " ".join((ONE * 4).split())
 
 
+def test_host_of_several_templates(spark):
+    """A box with the host's path beside, or inside, a longer text on pages of another template; a box of the template."""
+    short, text = "short " * 60, "long text " * 90
+
+    def page(*parts):
+        return body_of(f"<div class=box><p>{short}</p></div>", *parts)
+
+    pages = [page("<div class=tip>tip</div>")] * 4
+    pages += [page(f"<div class=story><p>{text}</p></div>"), page(f"<div class=tip><p>{short}{short}</p></div>")]
+    pages += [body_of(f"<div class=story><p>{text}</p><div class=box><p>{short}</p></div></div>")]
+    rows = [(i, "https://a.example/x", p, None, None, None) for i, p in enumerate(pages)]
+    found = {r.page_id: r.text for r in html.main_texts(spark.createDataFrame(rows, PAGES)).collect()}
+    assert found[0] == found[5] == short.strip()
+    assert found[4] == short.strip() + "\n" + text.strip()
+    assert found[6] == text.strip() + "\n" + short.strip()
+
+
 @pytest.mark.parametrize("part", ["<a ", "<!--", "<!x ", "<p", "</", "<div>", "<a b='", "&amp", "<b><p>", "<script>"])
 def test_long_and_broken_markup(part):
     html.extracted(part * 20_000, None)
