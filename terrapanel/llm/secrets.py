@@ -4,8 +4,9 @@ Spans count code points and exclude their end. Base kinds are the leftmost non-o
 matches of a pattern, of which those with a short value are dropped. On top of these, a window
 slides over every candidate string of a character class; its Shannon entropy is kept by
 incremental counts (one symbol enters, one leaves). The span from the first to the last window
-over the class's threshold is reported, unless the candidate is on the allow-list or touches a
-span that is already reported.
+over the class's threshold is reported, unless the candidate is on the allow-list. Candidates are
+cut at the spans already reported, and those of the wide class at placeholders, of which only the
+part between separators goes; what is left of them is scanned.
 
 Nulls count as empty text; empty text has no spans. Rows are handled alone, so repeated rows
 repeat their result. Texts of any length are scanned whole.
@@ -73,6 +74,8 @@ ALLOW_LIST = (
     r"0123456789|abcdefgh|ABCDEFGH",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
 )
+# A placeholder with the rest of its part between separators.
+PLACEHOLDER = r"(?<![A-Za-z0-9])[A-Za-z0-9]*(" + "|".join(ALLOW_LIST[2:4]) + r")[A-Za-z0-9]*"
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 
 
@@ -163,12 +166,12 @@ def _touches(known: Column, span: Column) -> Column:
     return F.exists(known, lambda k: (k["start"] < span["stop"]) & (span["start"] < k["stop"]))
 
 
-def _hot_spans(text: Column, kind: EntropyKind, order: int, known: Column, allow_list: tuple[str, ...]) -> Column:
+def _hot_spans(text: Column, kind: EntropyKind, order: int, allow_list: tuple[str, ...]) -> Column:
     def reportable(s: Column) -> Column:
         allowed = F.lit(False)
         for pattern in allow_list:
             allowed = allowed | s["value"].rlike(pattern)
-        return ~allowed & ~_touches(known, s)
+        return ~allowed
 
     def narrowed(s: Column) -> Column:
         hot = _hot_range(s["value"], kind)
@@ -179,16 +182,45 @@ def _hot_spans(text: Column, kind: EntropyKind, order: int, known: Column, allow
     return _tagged(hot, kind.name, order)
 
 
-def entropy_spans(text: Column, known: Column, allow_list: tuple[str, ...] = ALLOW_LIST) -> Column:
-    """Spans of high-entropy candidates that are not allowed and touch no known span, by start.
+def _blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, which are sorted by start."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, s: Column) -> Column:
+        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
+        blank = F.repeat(F.lit(" "), s["stop"] - F.greatest(s["start"], state["at"]))
+        return F.struct(
+            F.greatest(state["at"], s["stop"]).alias("at"),
+            F.concat(state["parts"], F.array(F.concat(gap, blank))).alias("parts"),
+        )
+
+    def finish(state: Column) -> Column:
+        return F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
 
-    A hex string also is a base64 candidate; the narrower class keeps it.
+
+def with_spans(rows: DataFrame, text: Column, allow_list: tuple[str, ...] = ALLOW_LIST) -> DataFrame:
+    """Add `base`, the fixed-form spans, and `added`, the high-entropy ones outside them, both sorted by start.
+
+    A hex string also is a base64 candidate; the narrower class keeps it. Each step is a column, as the next ones use it often.
     """
-    text = F.coalesce(text, F.lit(""))
-    narrow, wide = (
-        _hot_spans(text, kind, order, known, allow_list) for order, kind in enumerate(ENTROPY_KINDS, len(BASE_KINDS))
-    )
-    return F.sort_array(F.concat(narrow, F.filter(wide, lambda s: ~_touches(narrow, s))))
+    hex_kind, wide_kind = ENTROPY_KINDS
+    order = len(BASE_KINDS)
+    col = F.col
+    rows = rows.withColumn("base", base_spans(text))
+    rows = rows.withColumn("left", _blanked(F.coalesce(text, F.lit("")), col("base")))
+    rows = rows.withColumn("narrow", _hot_spans(col("left"), hex_kind, order, allow_list))
+    rows = rows.withColumn("holders", _matches(col("left"), PLACEHOLDER, PLACEHOLDER, 0, 1))
+    rows = rows.withColumn("left", _blanked(col("left"), col("holders")))
+    wide = _hot_spans(col("left"), wide_kind, order + 1, allow_list)
+    rows = rows.withColumn("wide", F.filter(wide, lambda s: ~_touches(col("narrow"), s)))
+    # what a hex string leaves of a candidate
+    rows = rows.withColumn("added", F.sort_array(F.concat("narrow", "wide")))
+    rows = rows.withColumn("left", _blanked(col("left"), col("added")))
+    rest = F.when(F.size("narrow") > 0, _hot_spans(col("left"), wide_kind, order + 1, allow_list)).otherwise(F.slice("wide", 1, 0))
+    rows = rows.withColumn("added", F.sort_array(F.concat("added", rest)))
+    return rows.drop("left", "narrow", "holders", "wide")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,8 +228,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     text = docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    based = text.withColumn("base", base_spans(F.col("text")))
-    return based.select("doc_id", "text", "base", entropy_spans(F.col("text"), F.col("base")).alias("added"))
+    return with_spans(text, F.col("text")).select("doc_id", "text", "base", "added")
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -225,9 +256,8 @@ def cleaned(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars"
     """All rows and columns, with every reported span of the text replaced; the length column follows where text changed."""
     rows = docs.select(F.struct(*docs.columns).alias("row"))
     text = F.col(f"row.{text_col}")
-    based = rows.withColumn("base", base_spans(text))
     spans = F.sort_array(F.concat("base", "added"))
-    found = based.withColumn("added", entropy_spans(text, F.col("base"))).select("row", spans.alias("spans"))
+    found = with_spans(rows, text).select("row", spans.alias("spans"))
     done = found.select("row", F.size("spans").alias("n"), redacted(text, F.col("spans")).alias("clean"))
 
     def column(name: str) -> Column:
