@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -102,6 +103,30 @@ def test_secrets_beside_others_are_found(spark):
     assert not any(token in t or key in t for i, t in clean.items() if i != 6)
 
 
+@pytest.mark.parametrize(
+    "symbols, length, least",
+    [
+        ("abcdefghijklmnopqrstuvwxyz0123456789", 32, 0.98),
+        ("abcdefghijklmnopqrstuvwxyz0123456789", 16, 0.9),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24, 0.95),
+        ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20, 0.9),
+    ],
+)
+def test_random_tokens_are_found(spark, symbols, length, least):
+    rng = random.Random(length)
+    rows = [(i, f"is {''.join(rng.choices(symbols, k=length))}, and") for i in range(300)]
+    found = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    recall = found.where(F.size("added") + F.size("base") > 0).count() / len(rows)
+    print(f"recall {len(symbols)} symbols, {length}: {recall}")
+    assert recall >= least
+
+
+def test_words_are_no_tokens(spark):
+    texts = ["aaaaaaaaaaaa1111", "INTERNATIONALIZATION", "getElementsByTagNameAndClass", "1234567890123456"]
+    found = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert found.where(F.size("added") > 0).count() == 0
+
+
 def test_redaction_covers_every_span(spark):
     found = secrets.scan(edge_documents(spark))
     spans = F.sort_array(F.concat("base", "added"))
