@@ -24,6 +24,8 @@ def build_session(app: str = "terrapanel", master: str | None = None, **conf: st
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
+        # otherwise every column expression records where it was written, most of the time that building a long one takes
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for name, value in settings.items():
