@@ -15,6 +15,7 @@ repeat their result. Texts of any length are scanned whole.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -51,7 +52,7 @@ class EntropyKind:
 
 
 BASE_KINDS = (
-    BaseKind("assign", ASSIGN.replace("LEAST", "1"), ASSIGN.replace("LEAST", "8"), 2, 8),
+    BaseKind("assign", ASSIGN.replace("LEAST", "1"), "(?=[AaPpSsTt])" + ASSIGN.replace("LEAST", "8"), 2, 8),
     BaseKind("access", ACCESS, ACCESS, 0, 16),
     BaseKind("hex", HEX, HEX, 0, 32),
 )
@@ -102,18 +103,26 @@ ALLOW_LIST = (
     r"0123456789|abcdefgh|ABCDEFGH",
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
 )
-# A placeholder with the rest of its part between separators.
-PLACEHOLDER = r"(?<![A-Za-z0-9])[A-Za-z0-9]*(" + "|".join(ALLOW_LIST[2:4]) + r")[A-Za-z0-9]*"
+# A part between separators, and what makes a placeholder of it.
+PART, HOLDER = r"[A-Za-z0-9]{4,}", "|".join(ALLOW_LIST[2:4])
+# Every candidate of every class lies within one of these; all have a digit, by class or by the second allow-list entry.
+RUN_LEAST = 16
+RUN = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=-]{16})(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]++"
 SPAN = "array<struct<start:int,stop:int,value:string>>"
+KNOWN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)`, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _matches(text: Column, pattern: str, quick: str, group: int, least: int) -> Column:
     """Spans of the pattern's matches whose group is long enough, found from the pieces between them."""
-    pieces = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
-    )
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    fields = [F.split(text, pattern, -1).alias("gap"), whole.alias("whole")]
+    if group:
+        fields.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
 
     def step(state: Column, piece: Column) -> Column:
@@ -122,53 +131,64 @@ def _matches(text: Column, pattern: str, quick: str, group: int, least: int) ->
         span = F.struct(begin.alias("start"), end.alias("stop"), piece["whole"].alias("value"))
         return F.struct(
             end.alias("at"),
-            F.when(F.length(piece["value"]) >= least, F.concat(state["spans"], F.array(span)))
+            F.when(F.length(piece["value" if group else "whole"]) >= least, F.concat(state["spans"], F.array(span)))
             .otherwise(state["spans"])
             .alias("spans"),
         )
 
-    found = F.aggregate(pieces, start, step, lambda state: state["spans"])
+    found = F.aggregate(F.arrays_zip(*fields), start, step, lambda state: state["spans"])
     return F.when(text.rlike(quick), found).otherwise(F.array().cast(SPAN))
 
 
 def _hot_range(value: Column, kind: EntropyKind) -> Column:
-    """First start and last end, from 0, of the windows over the threshold; null without one."""
-    width, size = kind.window, len(kind.alphabet)
-    symbols = F.transform(
-        F.split(F.lower(value) if kind.fold else value, ""), lambda c: F.instr(F.lit(kind.alphabet), c)
-    )
+    """First start and last end, from 0, of the windows over the threshold; null without one.
+
+    The counts of the window's symbols are the characters of a string, one for each symbol of the alphabet, of which a
+    step overwrites two.
+    """
+    width, zero = kind.window, ord("A")
     weight = F.array(*[F.lit(n * math.log2(n) if n else 0.0) for n in range(width + 2)])
     hot = (math.log2(width) - kind.bits) * width
     state = F.struct(
-        F.array_repeat(F.lit(0), size).alias("counts"),
+        F.lit(chr(zero) * len(kind.alphabet)).alias("counts"),
         F.lit(0.0).alias("sum"),
         F.lit(None).cast("int").alias("first"),
         F.lit(None).cast("int").alias("last"),
     )
 
-    def step(s: Column, i: Column) -> Column:
-        enters = F.get(symbols, i)
-        leaves = F.when(i >= width, F.get(symbols, i - width)).otherwise(F.lit(0))
-        up, down = F.get(s["counts"], enters - 1), F.get(s["counts"], leaves - 1)
-        moved = F.get(weight, up + 1) - F.get(weight, up)
-        moved = moved + F.when(leaves > 0, F.get(weight, down - 1) - F.get(weight, down)).otherwise(F.lit(0.0))
-        total = s["sum"] + F.when(enters == leaves, F.lit(0.0)).otherwise(moved)
-        counts = F.transform(
-            s["counts"],
-            lambda n, k: n + F.when(k == enters - 1, 1).otherwise(0) - F.when(k == leaves - 1, 1).otherwise(0),
-        )
-        # entropy = log2(width) - sum / width; a hot window has little of the sum
-        over = (i >= width - 1) & (total <= hot)
-        return F.struct(
-            counts.alias("counts"),
-            total.alias("sum"),
-            F.when(over, F.coalesce(s["first"], i - (width - 1))).otherwise(s["first"]).alias("first"),
-            F.when(over, i + 1).otherwise(s["last"]).alias("last"),
-        )
-
-    return F.aggregate(
-        F.sequence(F.lit(0), F.length(value) - 1), state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last"))
-    )
+    def count(counts: Column, symbol: Column) -> Column:
+        return F.ascii(F.substring(counts, symbol, F.lit(1))) - zero
+
+    def put(counts: Column, symbol: Column, n: Column) -> Column:
+        return F.overlay(counts, F.char(n + zero), symbol, F.lit(1))
+
+    def over_symbols(symbols: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            enters = F.get(symbols, i)
+            leaves = F.when(i >= width, F.get(symbols, i - width)).otherwise(F.lit(0))
+            up, down = count(s["counts"], enters), count(s["counts"], leaves)
+            entered = put(s["counts"], enters, up + 1)
+            moved = F.get(weight, up + 1) - F.get(weight, up)
+            moved = moved + F.when(leaves > 0, F.get(weight, down - 1) - F.get(weight, down)).otherwise(F.lit(0.0))
+            same = enters == leaves
+            total = s["sum"] + F.when(same, F.lit(0.0)).otherwise(moved)
+            counts = (
+                F.when(same, s["counts"]).when(leaves > 0, put(entered, leaves, down - 1)).otherwise(entered)
+            )
+            # entropy = log2(width) - sum / width; a hot window has little of the sum
+            over = (i >= width - 1) & (total <= hot)
+            return F.struct(
+                counts.alias("counts"),
+                total.alias("sum"),
+                F.when(over, F.coalesce(s["first"], i - (width - 1))).otherwise(s["first"]).alias("first"),
+                F.when(over, i + 1).otherwise(s["last"]).alias("last"),
+            )
+
+        steps = F.sequence(F.lit(0), F.size(symbols) - 1)
+        return F.aggregate(steps, state, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+    letters = F.split(F.lower(value) if kind.fold else value, "")
+    return bound(F.transform(letters, lambda c: F.instr(F.lit(kind.alphabet), c)), over_symbols)
 
 
 def _tagged(spans: Column, name: str, order: int) -> Column:
@@ -202,8 +222,10 @@ def _hot_spans(text: Column, kind: EntropyKind, order: int, allow_list: tuple[st
         return ~allowed
 
     def narrowed(s: Column) -> Column:
-        hot = _hot_range(s["value"], kind)
-        return F.struct((s["start"] + hot["first"]).alias("start"), (s["start"] + hot["last"]).alias("stop"))
+        return bound(
+            _hot_range(s["value"], kind),
+            lambda hot: F.struct((s["start"] + hot["first"]).alias("start"), (s["start"] + hot["last"]).alias("stop")),
+        )
 
     candidates = F.filter(_matches(text, kind.candidate, kind.candidate, 0, kind.window), reportable)
     hot = F.filter(F.transform(candidates, narrowed), lambda s: s["start"].isNotNull())
@@ -228,31 +250,72 @@ def _blanked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, finish))
 
 
-def with_spans(rows: DataFrame, text: Column, allow_list: tuple[str, ...] = ALLOW_LIST) -> DataFrame:
-    """Add `base`, the fixed-form spans, and `added`, the high-entropy ones outside them, both sorted by start.
-
-    A hex string also is a base64 candidate; the narrower class keeps it. Each step is a column, as the next ones use it often.
-    """
+def _run_spans(run: Column, allow_list: tuple[str, ...]) -> Column:
+    """The high-entropy spans of one run of candidate characters. A hex string also is a base64 candidate; the narrower class
+    keeps it. Each step is bound once, as the next ones use it often."""
     hex_kind, wide_kind = ENTROPY_KINDS
     order = len(BASE_KINDS)
-    col = F.col
-    rows = rows.withColumn("base", base_spans(text))
-    rows = rows.withColumn("left", _blanked(F.coalesce(text, F.lit("")), col("base")))
-    rows = rows.withColumn("narrow", _hot_spans(col("left"), hex_kind, order, allow_list))
-    rows = rows.withColumn("holders", _matches(col("left"), PLACEHOLDER, PLACEHOLDER, 0, 1))
-    rows = rows.withColumn("left", _blanked(col("left"), col("holders")))
-    wide = _hot_spans(col("left"), wide_kind, order + 1, allow_list)
-    rows = rows.withColumn("wide", F.filter(wide, lambda s: ~_touches(col("narrow"), s)))
-    # what a hex string leaves of a candidate
-    rows = rows.withColumn("added", F.sort_array(F.concat("narrow", "wide")))
-    rows = rows.withColumn("left", _blanked(col("left"), col("added")))
-    rest = F.when(F.size("narrow") > 0, _hot_spans(col("left"), wide_kind, order + 1, allow_list)).otherwise(F.slice("wide", 1, 0))
-    rows = rows.withColumn("added", F.sort_array(F.concat("added", rest)))
-    # the classes exclude each other, so that one pass leaves no candidate to another
-    rows = rows.withColumn("left", _blanked(col("left"), col("added")))
-    words = [_hot_spans(col("left"), k, order + 2 + i, allow_list) for i, k in enumerate(WORD_KINDS)]
-    rows = rows.withColumn("added", F.sort_array(F.concat("added", *words)))
-    return rows.drop("left", "narrow", "holders", "wide")
+
+    def with_narrow(narrow: Column) -> Column:
+        holders = F.filter(_matches(run, PART, PART, 0, 1), lambda s: s["value"].rlike(HOLDER))
+        return bound(_blanked(run, holders), lambda left: with_left(narrow, left))
+
+    def with_left(narrow: Column, left: Column) -> Column:
+        wide = F.filter(_hot_spans(left, wide_kind, order + 1, allow_list), lambda s: ~_touches(narrow, s))
+        return bound(F.sort_array(F.concat(narrow, wide)), lambda known: bound(
+            _blanked(left, known), lambda rest: with_rest(narrow, known, rest)))
+
+    def with_rest(narrow: Column, known: Column, rest: Column) -> Column:
+        # what a hex string leaves of a candidate; without one, the hot windows are all known
+        more = F.when(F.size(narrow) > 0, _hot_spans(rest, wide_kind, order + 1, allow_list)).otherwise(
+            F.array().cast(KNOWN)
+        )
+        return bound(more, lambda more: bound(_blanked(rest, more), lambda last: F.concat(known, more, words(last))))
+
+    def words(left: Column) -> Column:
+        # the classes exclude each other, so that one pass leaves no candidate to another
+        return F.concat(*[_hot_spans(left, k, order + 2 + i, allow_list) for i, k in enumerate(WORD_KINDS)])
+
+    return bound(_hot_spans(run, hex_kind, order, allow_list), with_narrow)
+
+
+def _added_spans(text: Column, base: Column, allow_list: tuple[str, ...]) -> Column:
+    """The high-entropy spans of what the base spans leave of the text."""
+
+    def moved(run: Column) -> Column:
+        return F.transform(
+            _run_spans(run["value"], allow_list),
+            lambda s: F.struct(
+                (run["start"] + s["start"]).alias("start"),
+                s["rank"].alias("rank"),
+                (run["start"] + s["stop"]).alias("stop"),
+                s["kind"].alias("kind"),
+            ),
+        )
+
+    def over(left: Column) -> Column:
+        return F.sort_array(F.flatten(F.transform(_matches(left, RUN, RUN, 0, RUN_LEAST), moved)))
+
+    return bound(_blanked(text, base), over)
+
+
+def spans_of(text: Column, allow_list: tuple[str, ...] = ALLOW_LIST) -> Column:
+    """Struct of `base`, the fixed-form spans, and `added`, the high-entropy ones outside them, both sorted by start.
+
+    One expression, so that whatever is pushed through it copies it once and not once for each step.
+    """
+    return bound(
+        F.coalesce(text, F.lit("")),
+        lambda t: bound(
+            base_spans(t),
+            lambda base: F.struct(base.alias("base"), _added_spans(t, base, allow_list).alias("added")),
+        ),
+    )
+
+
+def with_spans(rows: DataFrame, text: Column, allow_list: tuple[str, ...] = ALLOW_LIST) -> DataFrame:
+    """Add `base` and `added`, see spans_of. As rows of a generator: filters on them aren't pushed into the scan, which so runs once."""
+    return rows.select("*", F.inline(F.array(spans_of(text, allow_list))))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -19,8 +19,8 @@ def _lowered(text: str) -> str:
     return f"translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}')"
 
 
-def _matched(pattern: str, group: int, least: int, kind: str, rank: int) -> str:
-    """Rows (doc_id, start, rank, stop, kind, value) of the matches whose group is long enough."""
+def _matched(pattern: str, group: int, least: int, kind: str, rank: int, source: str = "doc") -> str:
+    """Rows (doc_id, row_no, start, rank, stop, kind, value) of the matches whose group is long enough."""
     p = _quoted(pattern)
     return f"""
         SELECT doc_id, row_no, CAST(gap_sum + done AS BIGINT) AS start, {rank} AS rank,
@@ -30,38 +30,68 @@ def _matched(pattern: str, group: int, least: int, kind: str, rank: int) -> str:
                      coalesce(list_sum(list_transform(whole[1:i - 1], lambda x: length(x))), 0) AS done
               FROM (SELECT doc_id, row_no, regexp_split_to_array(text, {p}) AS gap,
                            regexp_extract_all(text, {p}, 0) AS whole, regexp_extract_all(text, {p}, {group}) AS part
-                    FROM doc WHERE regexp_matches(text, {p})), unnest(range(1, len(whole) + 1)) AS t(i))
+                    FROM {source} WHERE regexp_matches(text, {p})), unnest(range(1, len(whole) + 1)) AS t(i))
         WHERE length(part) >= {least}"""
 
 
-def _hot(kind: secrets.EntropyKind, rank: int, known: str) -> str:
+def _blanked(source: str, spans: str) -> str:
+    """The texts of a source with spaces in place of all spans."""
+    return f"""
+        SELECT doc_id, s.row_no, CASE WHEN l IS NULL THEN text ELSE list_reduce(list_prepend(text, l), lambda t, x:
+                 substr(t, 1, CAST(split_part(x, ':', 1) AS BIGINT))
+                 || repeat(' ', CAST(split_part(x, ':', 2) AS BIGINT) - CAST(split_part(x, ':', 1) AS BIGINT))
+                 || substr(t, CAST(split_part(x, ':', 2) AS BIGINT) + 1)) END AS text
+        FROM {source} s LEFT JOIN (SELECT row_no, list(start || ':' || stop) AS l FROM {spans} GROUP BY row_no) b USING (row_no)"""
+
+
+def _hot(kind: secrets.EntropyKind, rank: int, source: str, pattern: str | None = None, test: str = "true") -> str:
+    """Hot spans of a kind; `pattern` and `test` stand in for patterns that look around."""
     value = "lower(value)" if kind.fold else "value"
     allowed = " OR ".join(f"regexp_matches(value, {_quoted(p)})" for p in secrets.ALLOW_LIST)
     return f"""
         SELECT doc_id, row_no, CAST(start + min(i) AS BIGINT) AS start, {rank} AS rank,
                CAST(start + max(i) + {kind.window} AS BIGINT) AS stop, '{kind.name}' AS kind
         FROM (SELECT c.*, i, list_aggregate(string_split(substr({value}, CAST(i + 1 AS BIGINT), {kind.window}), ''), 'entropy') AS bits
-              FROM (SELECT * FROM ({_matched(kind.candidate, 0, kind.window, kind.name, rank)}) m
-                    WHERE NOT ({allowed}) AND NOT EXISTS (
-                      SELECT 1 FROM {known} b WHERE b.row_no = m.row_no AND b.start < m.stop AND m.start < b.stop)) c,
+              FROM (SELECT * FROM ({_matched(pattern or kind.candidate, 0, kind.window, kind.name, rank, source)}) m
+                    WHERE NOT ({allowed}) AND {test}) c,
                    unnest(range(0, length(value) - {kind.window} + 1)) AS t(i))
-        WHERE bits >= {kind.bits} GROUP BY doc_id, row_no, start"""
+        WHERE bits >= {kind.bits} - 1e-12 GROUP BY doc_id, row_no, start"""
+
+
+def _has(*classes: str) -> str:
+    return " AND ".join(f"regexp_matches(value, '{c}')" for c in classes)
 
 
 _JOINED = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop)"
 _HEX, _WIDE = secrets.ENTROPY_KINDS
 
+_LOWER_WORD, _UPPER_WORD, _MIXED_WORD = secrets.WORD_KINDS
+# Whole words of letters and digits; a word of one class holds nothing else.
+_WORD = "[A-Za-z0-9]{16,}"
+
 SECRETS = f"""
 WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS row_no FROM documents),
-base AS ({" UNION ALL ".join(_matched(k.pattern, k.group, k.least, k.name, i) for i, k in enumerate(secrets.BASE_KINDS))}),
-narrow AS ({_hot(_HEX, 3, "base")}),
-wide AS (SELECT * FROM ({_hot(_WIDE, 4, "base")}) w WHERE NOT EXISTS (
+base AS MATERIALIZED ({" UNION ALL ".join(_matched(k.pattern, k.group, k.least, k.name, i) for i, k in enumerate(secrets.BASE_KINDS))}),
+left0 AS MATERIALIZED (SELECT * FROM ({_blanked("doc", "base")}) WHERE regexp_matches(text, '[A-Za-z0-9+/_=-]{{16,}}')),
+narrow AS MATERIALIZED ({_hot(_HEX, 3, "left0")}),
+holder AS MATERIALIZED (SELECT * FROM ({_matched(secrets.PART, 0, 1, "holder", 0, "left0")})
+                        WHERE regexp_matches(value, {_quoted(secrets.HOLDER)})),
+left1 AS MATERIALIZED ({_blanked("left0", "holder")}),
+wide AS MATERIALIZED (SELECT * FROM ({_hot(_WIDE, 4, "left1")}) w WHERE NOT EXISTS (
   SELECT 1 FROM narrow b WHERE b.row_no = w.row_no AND b.start < w.stop AND w.start < b.stop)),
+known AS MATERIALIZED (SELECT * FROM narrow UNION ALL SELECT * FROM wide),
+left2 AS MATERIALIZED ({_blanked("left1", "known")}),
+rest AS MATERIALIZED ({_hot(_WIDE, 4, "left2")}),
+left3 AS MATERIALIZED ({_blanked("left2", "rest")}),
+word AS MATERIALIZED (
+  {_hot(_LOWER_WORD, 5, "left3", _WORD, _has("^[a-z0-9]+$", "[a-z]", "[0-9]"))} UNION ALL
+  {_hot(_UPPER_WORD, 6, "left3", _WORD, _has("^[A-Z0-9]+$", "[A-Z]", "[0-9]"))} UNION ALL
+  {_hot(_MIXED_WORD, 7, "left3", _WORD, _has("[A-Z]", "[a-z]", "[0-9]"))}),
 counted AS (SELECT row_no, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
                    count(*) FILTER (kind = 'hex') AS n_hex, {_JOINED} AS spans FROM base GROUP BY row_no),
 everything AS (SELECT row_no, {_JOINED} AS spans FROM (
-  SELECT row_no, start, rank, stop, kind FROM base UNION ALL SELECT row_no, start, rank, stop, kind FROM narrow
-  UNION ALL SELECT row_no, start, rank, stop, kind FROM wide) GROUP BY row_no)
+  SELECT row_no, start, rank, stop, kind FROM base UNION ALL SELECT row_no, start, rank, stop, kind FROM known
+  UNION ALL SELECT row_no, start, rank, stop, kind FROM rest UNION ALL SELECT row_no, start, rank, stop, kind FROM word) GROUP BY row_no)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(c.spans, '')) AS base_sha256, coalesce(e.spans, '') AS spans
 FROM doc LEFT JOIN counted c USING (row_no) LEFT JOIN everything e USING (row_no)
