@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrapanel.llm import (
+    compression,
+    conversations,
     decontamination,
     fingerprints,
     html,
     near_duplicates,
+    periodicity,
     scoring,
     secrets,
     sharding,
@@ -90,3 +93,19 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.digest(fingerprints.fingerprint_with_next(table(spark, sf_dir, "documents")))
+
+
+@register
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.digest(conversations.repaired(damaged))
+
+
+@register
+def op12_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression.quality(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodicity.digest(periodicity.periodic_runs(periodicity.with_planted_periods(table(spark, sf_dir, "documents"))))
