@@ -257,3 +257,33 @@ def test_gradients():
             low = loss()
             array.flat[i] = old
             assert (high - low) / 2e-6 == pytest.approx(gradient.flat[i], abs=1e-3)
+
+
+def plain_score(model, text):
+    """The network word by word: summed embeddings, each filter at each place, largest value, logistic unit."""
+    words = [re.sub(rb"[^0-9a-z\x80-\xff]+", b" ", (text or "").lower().encode()).split()][0]
+    vectors = [sum(model.embedding[b].astype(float) for b in toxicity.piece_buckets(w)) for w in words]
+    total, at, unit = model.bias, 0, 0
+    for k, width in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            values = [
+                sum(vectors[i + p] @ model.filters[at + p][:, f] for p in range(width)) + model.offsets[k, f]
+                for i in range(len(vectors) - width + 1)
+            ]
+            total += model.weights[unit] * max([0.0, *values])
+            unit += 1
+        at += width
+    return 1 / (1 + math.exp(-(model.slope * (total - model.border) + math.log(0.7 / 0.3))))
+
+
+def test_toxicity_query_matches_a_plain_forward_pass(spark):
+    documents, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(documents, labels)
+    found = {r.doc_id: r for r in QUERIES["op7_toxicity"](spark, SF).collect()}
+    rows = documents.collect()
+    assert len(found) == len(rows)
+    for row in rows:
+        got, want = found[row.doc_id], plain_score(model, row.text)
+        assert got.score == pytest.approx(want, abs=1e-4), row.doc_id
+        assert got.threshold == model.thresholds.get(row.lang, toxicity.THRESHOLD)
+        assert got.rejected == (got.score >= got.threshold) and got.predicted == (got.score >= 0.7)
