@@ -55,6 +55,11 @@ def replace_unless_better(
     return _merge(existing, batch, keys, lambda _: new_key | F.coalesce(as_good, F.lit(False)))
 
 
+def replace_rows_by_join(existing: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
+    """The same rows as replace_rows, by a full outer join: for a table that already lies by its keys."""
+    return _merge(existing, batch, keys, lambda _: F.col("new._present").isNotNull())
+
+
 def require_unique(batch: DataFrame, keys: list[str]) -> DataFrame:
     """Raise if a key occurs twice. Runs a job."""
     clash = duplicate_keys(batch, keys).limit(1).collect()
@@ -104,7 +109,7 @@ def upsert_table(
     return batch.count()
 
 
-def _laid_out(df: DataFrame, partition: str, sort: list[str]) -> DataFrame:
+def laid_out(df: DataFrame, partition: str, sort: list[str]) -> DataFrame:
     """Even files per partition, also for a hot one, sorted so that row groups can be skipped by key."""
     order = [partition, *[name for name in sort if name != partition]]
     return df.hint("rebalance", partition).sortWithinPartitions(*order)
@@ -113,7 +118,7 @@ def _laid_out(df: DataFrame, partition: str, sort: list[str]) -> DataFrame:
 def write_partitioned(df: DataFrame, path: str, partition: str, sort: list[str]) -> None:
     """Overwrite the partitions present in df and leave the others. Runs a job."""
     (
-        _laid_out(df, partition, sort)
+        laid_out(df, partition, sort)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition)
@@ -123,7 +128,7 @@ def write_partitioned(df: DataFrame, path: str, partition: str, sort: list[str])
 
 def write_whole(df: DataFrame, path: str, partition: str, sort: list[str]) -> None:
     """Replace the table at path, partitions df does not have included. Runs a job."""
-    _laid_out(df, partition, sort).write.mode("overwrite").partitionBy(partition).parquet(path)
+    laid_out(df, partition, sort).write.mode("overwrite").partitionBy(partition).parquet(path)
 
 
 def publish_view(df: DataFrame, name: str) -> DataFrame:
@@ -133,12 +138,12 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def publish_table(df: DataFrame, name: str, path: str, partition: str, sort: list[str]) -> DataFrame:
-    """Marts: a Parquet table at path. Runs a job."""
-    (
-        _laid_out(df, partition, sort)
-        .write.mode("overwrite")
-        .partitionBy(partition)
-        .option("path", path)
-        .saveAsTable(name)
-    )
-    return df.sparkSession.table(name)
+    """Marts: a Parquet table below path, by year. The new version is written to a folder of its own, then the catalog's partitions are
+    pointed at it; if the write fails, the old version stays. Runs a job."""
+    from terrapanel.operators.tables import PARTITION, YearTable
+
+    if partition != PARTITION:
+        raise ValueError(f"published tables are by {PARTITION}, not by {partition}")
+    table = YearTable(df.sparkSession, name, path, tuple(sort)).create(df.schema)
+    table.replace_all(df)
+    return table.read()

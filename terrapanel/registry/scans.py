@@ -1,6 +1,7 @@
 """Grid files: listing, selection, scan, fold to the monthly panel.
 
-The files are first written from the whole lineitem table to the shared folder.
+The files are first written from the whole lineitem table to the shared folder, in folders by scale, month, variable and status. What
+there is comes from the catalog's partitions; superseded folders are pruned.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ _DAY_TEXTS = ", ".join(
 _SCAN = f"SELECT region_code, variable, period_year, period_month, status, {_DAY_TEXTS} FROM {{0}} GROUP BY ALL"
 
 
-def _mart_from_grid(days: str, region: str) -> str:
+def mart_from_grid(days: str, region: str) -> str:
     def mean(variable: str) -> str:
         return f"avg(reading) FILTER (variable = '{variable}' AND reading > -900) * 9 / 5 + 32"
 
@@ -42,7 +43,14 @@ def _mart_from_grid(days: str, region: str) -> str:
 
 
 def _scan(spark, sf, grain):
-    rows = grid.scan_grid(spark, sample.landed_grid(spark, sf, grain), grain.scale)
+    rows = sample.landing(spark, sf, grain).scan(grain.scale)
+    return rows.select("region_code", "variable", *MONTH, "status", *DAY_COLUMNS)
+
+
+@register("flat_scan_state", sql(_SCAN.format("state_grid"), "state_grid"))
+def flat_scan_state(spark, sf):
+    """As daily_grid_scan_state, from a flat folder whose file names tell everything."""
+    rows = grid.scan_grid(spark, sample.landed_grid(spark, sf, STATE), STATE.scale)
     return rows.select("region_code", "variable", *MONTH, "status", *DAY_COLUMNS)
 
 
@@ -67,7 +75,7 @@ def landed_scan_county(spark, sf):
     "monthly_from_landed_county",
     sql(
         f"""SELECT region_code AS fips_code, period_year, period_month, {SQL_MEASURES}
-            FROM ({_mart_from_grid("county_grid", "region_code")}) WHERE period_year >= 2000""",
+            FROM ({mart_from_grid("county_grid", "region_code")}) WHERE period_year >= 2000""",
         "county_grid",
     ),
 )
@@ -84,7 +92,13 @@ _FILE_COLUMNS = """variable || '-' || CAST(period_year * 100 + period_month AS V
 
 
 def _listing(spark, sf, grain):
-    return grid.list_files(spark, sample.landed_grid(spark, sf, grain))
+    return sample.landing(spark, sf, grain).partitions().where(F.col("scale") == grain.scale)
+
+
+@register("flat_file_metadata", sql(f"SELECT DISTINCT {_FILE_COLUMNS.format('ste')} FROM obs", "obs"))
+def flat_file_metadata(spark, sf):
+    """As file_metadata, from names in a flat folder."""
+    return grid.list_files(spark, sample.landed_grid(spark, sf, STATE)).select(*grid.FILE_TAGS).distinct()
 
 
 @register("file_metadata", sql(f"SELECT DISTINCT {_FILE_COLUMNS.format('ste')} FROM obs", "obs"))
@@ -98,7 +112,7 @@ def file_metadata(spark, sf):
         "USING (variable, period_year, period_month, status)", "obs", "chosen"),
 )
 def status_preference(spark, sf):
-    return grid.prefer_status(_listing(spark, sf, COUNTY)).select(*grid.FILE_TAGS).distinct()
+    return sample.landing(spark, sf, COUNTY).chosen(COUNTY.scale).select(*grid.FILE_TAGS).distinct()
 
 
 @register(
@@ -203,8 +217,8 @@ _SAMPLE_VALUE = sql_r8("avg(reading) FILTER (reading > -900) * 9 / 5 + 32", "val
 )
 def profile_sort(spark, sf):
     """The parsed mean temperatures, sorted by abbreviation."""
-    files = _listing(spark, sf, STATE).where("variable = 'tavg'")
-    folded = cleaning.fold_month(grid.read_files(spark, grid.prefer_status(files)))
+    rows = sample.landing(spark, sf, STATE).scan(STATE.scale, F.col("variable") == "tavg")
+    folded = cleaning.fold_month(rows)
     parsed = cleaning.map_codes(folded, crosswalk(spark))
     return rounded(parsed.select("state_abbr", *MONTH, "value").orderBy("state_abbr", *MONTH), "value")
 
@@ -223,7 +237,7 @@ def head_n(spark, sf):
     return profile_sort(spark, sf).limit(50)
 
 
-SQL_GRID_PANEL = _mart_from_grid("state_grid JOIN xwalk USING (region_code)", "state_fips, state_abbr")
+SQL_GRID_PANEL = mart_from_grid("state_grid JOIN xwalk USING (region_code)", "state_fips, state_abbr")
 
 
 @register(
@@ -242,7 +256,7 @@ def monthly_from_daily(spark, sf):
     "monthly_from_daily_county",
     sql(
         f"""SELECT region_code AS fips_code, period_year, period_month, {SQL_MEASURES}
-            FROM ({_mart_from_grid("county_grid", "region_code")})""",
+            FROM ({mart_from_grid("county_grid", "region_code")})""",
         "county_grid",
     ),
 )
@@ -268,8 +282,7 @@ SQL_SOURCES = """SELECT period_year, period_month, string_agg(variable || '-' ||
     ),
 )
 def provenance(spark, sf):
-    chosen = grid.prefer_status(_listing(spark, sf, STATE))
-    panel = cleaning.monthly_from_grid(
-        grid.read_files(spark, chosen).drop("path"), STATE, crosswalk(spark), grid.provenance(chosen, "file_name")
-    )
+    landing = sample.landing(spark, sf, STATE)
+    sources = grid.provenance(landing.chosen(STATE.scale), "file_name")
+    panel = cleaning.monthly_from_grid(landing.scan(STATE.scale), STATE, crosswalk(spark), sources)
     return panel.select("state_fips", *MONTH, "source_file")

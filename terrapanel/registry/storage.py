@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrapanel.operators import quality, upsert
+from terrapanel.operators.tables import YearTable, with_period
 from terrapanel.plans import marts
 from terrapanel.plans.population import add_abbreviation, in_scope
 from terrapanel.registry import models
@@ -19,17 +21,20 @@ from terrapanel.registry.base import (
     rounded,
     sql,
 )
-from terrapanel.registry.scans import SQL_GRID_PANEL, SQL_SOURCES
+from terrapanel.registry.scans import SQL_GRID_PANEL, SQL_SOURCES, mart_from_grid
 from terrapanel.schemas import (
     COUNTY,
     KEYS,
     POPULATION_ANNUAL,
+    RAW_COUNTY_MONTHLY,
     RAW_STATE_MONTHLY,
     STATE,
     conform,
 )
-from terrapanel.session import fresh_path, staged
+from terrapanel.session import fresh_path
 from terrapanel.sources import sample_tables as sample
+from terrapanel.sources.daily_grid import file_name
+from terrapanel.sources.landed_grid import FOLDERS, open_landing
 from terrapanel.sources.regions import crosswalk, state_lookup
 from terrapanel.streaming import refresh as refreshing
 
@@ -166,10 +171,17 @@ _LOADED = f"""SELECT state_fips, state_abbr, period_year, period_month, {_DECIMA
 
 
 def _stored_panel(spark, table):
-    """The raw table as stored, its sources without their folders."""
+    """The raw table as stored, its sources by the names of the files and not by their folders."""
     columns = ["state_fips", "state_abbr", *MONTH, *MEASURE_COLUMNS, "source_file", "ingested_at"]
     stored = spark.read.parquet(table).withColumns({m: F.col(m).cast("double") for m in MEASURE_COLUMNS})
-    return stored.withColumn("source_file", F.regexp_replace("source_file", "[^;]*/(file=)?", "")).select(*columns)
+
+    def name(place):
+        step = {n: F.regexp_extract(place, f"/{n}=([^/]+)", 1) for n in FOLDERS.fieldNames()}
+        numbers = [step[n].cast("int") for n in ("period_year", "period_month")]
+        return file_name(step["variable"], *numbers, step["scale"], step["status"])
+
+    names = F.array_join(F.transform(F.split("source_file", ";"), name), ";")
+    return stored.withColumn("source_file", names).select(*columns)
 
 
 @register("refresh_scope", sql(_LOADED + " WHERE period_year >= 2000", "state_grid", "xwalk", "chosen"))
@@ -177,7 +189,7 @@ def refresh_scope(spark, sf):
     """A run in November 2001 loads 2000 and 2001."""
     table = fresh_path(spark, "refreshed")
     as_of = F.lit("2001-11-30").cast("date")
-    refreshing.refresh(spark, sample.landed_grid(spark, sf, STATE), table, as_of)
+    refreshing.refresh(spark, sample.landing(spark, sf, STATE), table, as_of)
     return _stored_panel(spark, table)
 
 
@@ -203,7 +215,7 @@ def arrival_stream(spark, sf):
     loaded_on = F.lit("2001-11-30").cast("date")
     query = refreshing.stream_arrivals(
         spark,
-        sample.landed_grid(spark, sf, STATE),
+        open_landing(spark, sample.landed_folders(spark, sf, STATE), discover=False),
         table,
         fresh_path(spark, "stream-checkpoint"),
         files_per_batch=400,
@@ -216,24 +228,37 @@ def arrival_stream(spark, sf):
 @register(
     "prelim_to_scaled_revision",
     sql(
-        """SELECT fips_code, variable, period_year, period_month, status, day_total, day_count
-           FROM (SELECT *, row_number() OVER (PARTITION BY fips_code, variable, period_year, period_month
-                                              ORDER BY status DESC) AS rn
-                 FROM (SELECT fips_code, variable, period_year, period_month, status, sum(present) AS day_total,
-                              count(present) AS day_count FROM obs GROUP BY ALL))
-           WHERE rn = 1""",
-        "obs",
+        f"""SELECT region_code AS fips_code, period_year, period_month, {_DECIMALS}, CAST(status_rank AS INTEGER) AS status_rank FROM (
+            WITH early AS (SELECT * FROM county_days WHERE status = 'prelim'),
+                 one AS ({mart_from_grid("early", "region_code")}),
+                 two AS ({mart_from_grid("county_grid", "region_code")}),
+                 ranks AS (SELECT period_year, period_month, min(CASE status WHEN 'scaled' THEN 0 ELSE 1 END) AS status_rank
+                           FROM chosen GROUP BY ALL)
+            SELECT two.*, status_rank FROM two JOIN ranks USING (period_year, period_month)
+            UNION ALL
+            SELECT one.*, 1 FROM one ANTI JOIN two USING (region_code, period_year, period_month))""",
+        "county_days",
+        "county_grid",
+        "chosen",
     ),
 )
 def prelim_to_scaled_revision(spark, sf):
-    """Final values replace preliminary ones; preliminary ones coming again change nothing."""
-    keys = ["fips_code", "variable", *MONTH]
-    ranked = sample.monthly_long(spark, sf, COUNTY, "status_rank").withColumnRenamed("region_code", "fips_code")
-    # Both merges read it, so it is computed once.
-    ranked = staged(ranked, "ranked")
-    preliminary, final = ranked.where("status = 'prelim'"), ranked.where("status = 'scaled'")
-    revised = upsert.replace_unless_better(preliminary, final, keys)
-    return upsert.replace_unless_better(revised, preliminary, keys).drop("status_rank")
+    """Files of three arrivals into a bucketed county table: preliminary ones, then all (best status first), then preliminary ones
+    again, which change nothing."""
+    landing = sample.landing(spark, sf, COUNTY)
+    schema = T.StructType([*RAW_COUNTY_MONTHLY, T.StructField("period", T.IntegerType())])
+    name = f"raw_county_{uuid.uuid4().hex}"
+    table = YearTable(spark, name, fresh_path(spark, "raw_county"), ("fips_code", "period"), buckets=16).create(schema)
+    loaded_on = F.lit("2001-11-30").cast("date")
+    found = landing.partitions().where(F.col("scale") == COUNTY.scale)
+    early = F.col("status") == "prelim"
+    rows = spark.table(landing.name).where(F.col("scale") == COUNTY.scale)
+    preliminary = refreshing.raw_batch(rows.where(early), found.where(early), COUNTY, loaded_on)
+    best = refreshing.raw_batch(landing.scan(COUNTY.scale), landing.chosen(COUNTY.scale), COUNTY, loaded_on)
+    for batch in (preliminary, best, preliminary):
+        table.merge(with_period(batch), rank="status_rank")
+    columns = ["fips_code", *MONTH, *MEASURE_COLUMNS, "status_rank"]
+    return table.read().withColumns({m: F.col(m).cast("double") for m in MEASURE_COLUMNS}).select(*columns)
 
 
 @register(
@@ -268,7 +293,7 @@ def prelim_to_scaled_revision(spark, sf):
 def load_report(spark, sf):
     """What a backfill of 1999 to November 2001 left out, and the rows it wrote."""
     as_of = F.lit("2001-11-30").cast("date")
-    landing = sample.landed_grid(spark, sf, STATE)
+    landing = sample.landing(spark, sf, STATE)
     report = refreshing.backfill(spark, landing, fresh_path(spark, "backfilled"), 1999, 2001, as_of)
     return report.withColumn("detail", F.when(F.col("item") == "rows written", "table").otherwise(F.col("detail")))
 
@@ -293,7 +318,7 @@ def raw_domain_check(spark, sf):
     """Rules on the raw table as a refresh stored it."""
     table = fresh_path(spark, "refreshed")
     as_of = F.lit("2001-11-30").cast("date")
-    refreshing.refresh(spark, sample.landed_grid(spark, sf, STATE), table, as_of)
+    refreshing.refresh(spark, sample.landing(spark, sf, STATE), table, as_of)
     rules = {
         "month_in_year": F.col("period_month").between(1, 12),
         "tmax_above_tmin": F.col("tmax_f") >= F.col("tmin_f"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import logging
 import os
 import tempfile
@@ -82,3 +83,40 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """The path as the cluster's file system sees it, and that file system."""
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop_path
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders right below path, none if there is no such path. One listing of one level."""
+    system, at = _hadoop(spark, path)
+    if not system.exists(at):
+        return []
+    return sorted(s.getPath().getName() for s in system.listStatus(at) if s.isDirectory())
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty file."""
+    system, at = _hadoop(spark, path)
+    system.create(at, True).close()
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, at = _hadoop(spark, path)
+    return system.exists(at)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove folders that nothing reads any more: replaced versions, staged data of a finished load."""
+    for path in paths:
+        system, at = _hadoop(spark, path)
+        system.delete(at, True)
+
+
+def version_name() -> str:
+    """A folder name that sorts behind those made before."""
+    return f"{datetime.datetime.now(datetime.timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"

@@ -124,7 +124,11 @@ def months_without_files(spine: DataFrame, files: DataFrame) -> DataFrame:
 
 def in_refresh_scope(files: DataFrame, as_of: Column) -> DataFrame:
     """Files of the previous and the current year."""
-    return files.where(F.col("period_year").between(F.year(as_of) - 1, F.year(as_of)))
+    return files.where(refresh_scope(as_of))
+
+
+def refresh_scope(as_of: Column) -> Column:
+    return F.col("period_year").between(F.year(as_of) - 1, F.year(as_of))
 
 
 def probe_files(files: DataFrame, as_of: Column, variable: str = "tavg") -> DataFrame:

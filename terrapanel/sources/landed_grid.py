@@ -7,7 +7,8 @@ partitions there are is asked of the catalog, which lists folders; their number
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 
 from terrapanel.refdata import STATUSES
 from terrapanel.schemas import GRID_SCHEMA
-from terrapanel.sources.daily_grid import status_rank
+from terrapanel.sources.daily_grid import file_name, status_rank
 
 FOLDERS = T.StructType(
     [
@@ -36,23 +37,75 @@ def land(grid: DataFrame, root: str) -> None:
     laid_out.write.partitionBy(*names).option("ignoreLeadingWhiteSpace", "false").csv(root)
 
 
-def partitions(spark: SparkSession, root: str) -> DataFrame:
-    """The folder values that have files, with the status rank. Lists folders only."""
-    name = f"landed_{uuid.uuid4().hex}"
+@dataclass(frozen=True)
+class Landing:
+    """Landed folders as a table of the session's catalog, which knows what there is without listing. `open_landing` makes one."""
+
+    spark: SparkSession
+    root: str
+    name: str
+
+    def discover(self) -> None:
+        """Let the catalog know all folders there are. Lists them."""
+        self.spark.sql(f"MSCK REPAIR TABLE {self.name}")
+        self.spark.sql(f"REFRESH TABLE {self.name}")
+
+    def add(self, folders: DataFrame) -> None:
+        """Let the catalog know some folders; at most one for each scale, month, variable and status. Lists nothing."""
+        names = FOLDERS.fieldNames()
+        specs = [
+            f"PARTITION ({', '.join(f'{n} = {row[n]!r}' for n in names)})" for row in folders.select(*names).distinct().collect()
+        ]
+        for start in range(0, len(specs), 200):
+            self.spark.sql(f"ALTER TABLE {self.name} ADD IF NOT EXISTS {' '.join(specs[start : start + 200])}")
+        self.spark.sql(f"REFRESH TABLE {self.name}")
+
+    def partitions(self) -> DataFrame:
+        """The folders the catalog knows, with the status rank and where they are."""
+        found = [row[0] for row in self.spark.sql(f"SHOW PARTITIONS {self.name}").collect()]
+        values = [[step.partition("=")[2] for step in path.split("/")] for path in found]
+        rows = [
+            (scale, int(year), int(month), variable, status, f"{self.root}/{path}")
+            for path, (scale, year, month, variable, status) in zip(found, values)
+        ]
+        layout = T.StructType([*FOLDERS, T.StructField("location", T.StringType())])
+        frame = self.spark.createDataFrame(rows, layout)
+        name = file_name(*[F.col(c) for c in ("variable", "period_year", "period_month", "scale", "status")])
+        return frame.withColumns({"status_rank": status_rank(F.col("status")), "file_name": name})
+
+    def chosen(self, scale: str, wanted: Column | None = None) -> DataFrame:
+        """The folders of the best status of each variable's month, of one scale and of what is wanted (a predicate on folder values)."""
+        found = self.partitions().where(F.col("scale") == scale)
+        return preferred(found if wanted is None else found.where(wanted))
+
+    def scan(self, scale: str, wanted: Column | None = None) -> DataFrame:
+        """Their rows. Other folders are pruned by partition filters and not listed."""
+        found = self.partitions().where(F.col("scale") == scale)
+        rows = self.spark.table(self.name).where((F.col("scale") == scale) & _not_superseded(found))
+        return rows if wanted is None else rows.where(wanted)
+
+    def close(self) -> None:
+        """Take it out of the catalog. Files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def open_landing(spark: SparkSession, root: str, discover: bool = True) -> Landing:
+    """Landed folders below root, entered in the catalog under a name made from root; listed once unless told not to."""
+    root = root.rstrip("/")
+    landing = Landing(spark, root, f"landed_{hashlib.sha1(root.encode()).hexdigest()[:16]}")
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in [*GRID_SCHEMA, *FOLDERS])
     spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING csv PARTITIONED BY ({', '.join(FOLDERS.fieldNames())}) "
-        f"LOCATION '{root}'"
+        f"CREATE TABLE IF NOT EXISTS {landing.name} ({columns}) USING csv "
+        f"PARTITIONED BY ({', '.join(FOLDERS.fieldNames())}) LOCATION '{root}'"
     )
-    try:
-        spark.sql(f"MSCK REPAIR TABLE {name}")
-        # At most one row for each scale, month, variable and status.
-        found = [row[0] for row in spark.sql(f"SHOW PARTITIONS {name}").collect()]
-    finally:
-        spark.sql(f"DROP TABLE {name}")
-    values = [[step.partition("=")[2] for step in path.split("/")] for path in found]
-    rows = [(scale, int(year), int(month), variable, status) for scale, year, month, variable, status in values]
-    return spark.createDataFrame(rows, FOLDERS).withColumn("status_rank", status_rank(F.col("status")))
+    if discover:
+        landing.discover()
+    return landing
+
+
+def partitions(spark: SparkSession, root: str) -> DataFrame:
+    """The folder values that have files, with the status rank. Lists folders only."""
+    return open_landing(spark, root).partitions().drop("location", "file_name")
 
 
 def preferred(found: DataFrame) -> DataFrame:
@@ -61,6 +114,16 @@ def preferred(found: DataFrame) -> DataFrame:
     return found.join(best, [*MONTH_OF_VARIABLE, "status_rank"], "left_semi")
 
 
+def wanted_folders(years: tuple[int, int] | None = None, variables: list[str] | None = None) -> Column:
+    """A predicate on folder values."""
+    wanted = F.lit(True)
+    if years is not None:
+        wanted = wanted & F.col("period_year").between(*years)
+    if variables is not None:
+        wanted = wanted & F.col("variable").isin(variables)
+    return wanted
+
+
 def scan(
     spark: SparkSession,
     root: str,
@@ -70,13 +133,17 @@ def scan(
 ) -> DataFrame:
     """Grid rows of the best status of each month, with their folder values. Superseded folders, other years and
     variables are pruned by partition filters."""
-    grid = spark.read.schema(T.StructType([*GRID_SCHEMA, *FOLDERS])).csv(root, header=False)
-    wanted = F.col("scale") == scale
-    if years is not None:
-        wanted = wanted & F.col("period_year").between(*years)
-    if variables is not None:
-        wanted = wanted & F.col("variable").isin(variables)
-    return grid.where(wanted & _not_superseded(partitions(spark, root).where(F.col("scale") == scale)))
+    return open_landing(spark, root).scan(scale, wanted_folders(years, variables))
+
+
+def with_folder_tags(files: DataFrame, path: str = "path") -> DataFrame:
+    """Add what the folders in path say, under the names of the file tags; a path that isn't below such folders has no file name."""
+    steps = {n: F.regexp_extract(path, f"/{n}=([^/]+)/", 1) for n in FOLDERS.fieldNames()}
+    numbers = ("period_year", "period_month")
+    tagged = files.withColumns({n: s.try_cast("int") if n in numbers else s for n, s in steps.items()})
+    name = file_name(*[F.col(c) for c in ("variable", "period_year", "period_month", "scale", "status")])
+    known = F.col("period_month").isNotNull() & (F.col("status") != "")
+    return tagged.withColumns({"status_rank": status_rank(F.col("status")), "file_name": F.when(known, name).otherwise("")})
 
 
 def _not_superseded(found: DataFrame) -> Column:

@@ -14,7 +14,7 @@ from terrapanel.functions.values import celsius_to_fahrenheit, drop_missing, mm_
 from terrapanel.refdata import MEASURES, STATUSES, SUMMED
 from terrapanel.schemas import COUNTY, DAY_COLUMNS, STATE, Grain
 from terrapanel.session import landed_once
-from terrapanel.sources.landed_grid import land
+from terrapanel.sources.landed_grid import Landing, land, open_landing
 from terrapanel.sources.daily_grid import file_name
 from terrapanel.sources.regions import crosswalk
 
@@ -177,6 +177,14 @@ def landed_folders(spark: SparkSession, sf: str, grain: Grain) -> str:
     return landed_once(spark, f"folders-{grain.scale}", sf, write)
 
 
+def landing(spark: SparkSession, sf: str, grain: Grain) -> Landing:
+    """The landed folders in the session's catalog; listed the first time only."""
+    opened = open_landing(spark, landed_folders(spark, sf, grain), discover=False)
+    if spark.sql(f"SHOW PARTITIONS {opened.name}").isEmpty():
+        opened.discover()
+    return opened
+
+
 def order_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Orders per FIPS-like region and year, all and open ones."""
     year = F.year("o_orderdate")
