@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.functions.values import celsius_to_fahrenheit, mm_to_inches, pad_key, readings_of
+from terrapanel.operators.tables import bucketed_copy
 from terrapanel.refdata import MEASURES, STATUSES, SUMMED
 from terrapanel.schemas import DAY_COLUMNS, STATE, Grain
+from terrapanel.session import fresh_path
 
 
 def fold_days(grid: DataFrame, day_columns: list[str] = DAY_COLUMNS) -> DataFrame:
@@ -113,12 +115,19 @@ def totals_of_best_status(
     )
 
 
-def merge_variables(long: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """The same result as chained full outer joins, one per variable (four exchanges)."""
-    merged = None
+def merge_variables(long: DataFrame, keys: list[str], value: str = "value", buckets: int | None = None) -> DataFrame:
+    """The same result as chained full outer joins, one per variable. Runs a job.
+
+    The long frame is put in buckets of the keys by one exchange. Its distinct keys and each variable's rows are then joined where they lie. A full outer
+    join would lose the placement, as its keys come from either side; left joins from the distinct keys keep it. Keys aren't null.
+    """
+    spark = long.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = bucketed_copy(long.select(*keys, "variable", value), keys, buckets, fresh_path(spark, "variables"))
+    merged = placed.select(*keys).distinct()
     for variable, column in MEASURES.items():
-        part = long.where(F.col("variable") == variable).select(*keys, F.col(value).alias(column))
-        merged = part if merged is None else merged.join(part, keys, "full_outer")
+        part = placed.where(F.col("variable") == variable).select(*keys, F.col(value).alias(column))
+        merged = merged.join(part, keys, "left")
     return merged
 
 

@@ -35,6 +35,21 @@ def unique_key(df: DataFrame, table: str, keys: list[str]) -> DataFrame:
     return _report(counts, "unique_key", table)
 
 
+def key_counts(df: DataFrame, keys: list[str], partition: str) -> DataFrame:
+    """Per value of the partition column, which is one of the keys: rows, keys, and keys held by more than one row. Equal keys
+    lie in one partition, so the counts of a table are those of its partitions added up."""
+    per_key = df.groupBy(*keys).agg(F.count("*").alias("copies"))
+    return per_key.groupBy(partition).agg(
+        F.sum("copies").alias("row_count"), F.count("*").alias("key_count"), F.count_if(F.col("copies") > 1).alias("repeated")
+    )
+
+
+def unique_key_from_counts(counts: DataFrame, table: str, keys: list[str]) -> DataFrame:
+    """The report of `unique_key`, from kept counts."""
+    total = counts.agg(F.coalesce(F.sum("repeated"), F.lit(0)).cast("long").alias("+".join(keys)))
+    return _report(total, "unique_key", table)
+
+
 def panel_stats(df: DataFrame, region: str, year: str = "period_year") -> DataFrame:
     """Rows, distinct regions, first and last year. Regions are grouped first, so no
     task meets more than one row per region and map task."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrapanel.operators.quality import duplicate_keys
+from terrapanel.operators.quality import duplicate_keys, key_counts
 from terrapanel.session import read_if_exists, staged
 
 
@@ -75,11 +75,13 @@ def upsert_table(
     partition: str = "period_year",
     updates: list[str] | None = None,
     rank: str | None = None,
+    counts: str | None = None,
 ) -> int:
     """Merge a batch into the Parquet table at path, rewriting only the touched partitions. Runs jobs.
 
     With updates only these columns of a known key change; with rank, a column of both, a row never gives way to one
-    of a larger rank. Returns the number of rows in the batch.
+    of a larger rank. With counts, a path, the key counts kept there are brought up to date: only the touched partitions are
+    counted, see keep_key_counts. Returns the number of rows in the batch.
 
     The batch and the merged partitions are first written to the shared folder, so the
     swap reads nothing it replaces. Until the swap a failed run leaves the table as it
@@ -106,9 +108,17 @@ def upsert_table(
             merged = patch_rows(existing, batch, keys, updates)
         merged = staged(merged, "merged")
     write_partitioned(merged, path, partition, keys)
+    if counts is not None:
+        keep_key_counts(spark.read.parquet(path), counts, keys, partition, touched)
     return batch.count()
 
 
+def keep_key_counts(table: DataFrame, path: str, keys: list[str], partition: str, touched: list) -> None:
+    """Count keys in some partitions of a table and keep the counts beside those of the others. Runs a job that reads these
+    partitions only."""
+    write_partitioned(key_counts(table.where(F.col(partition).isin(touched)), keys, partition), path, partition, [partition])
+
+
 def laid_out(df: DataFrame, partition: str, sort: list[str]) -> DataFrame:
     """Even files per partition, also for a hot one, sorted so that row groups can be skipped by key."""
     order = [partition, *[name for name in sort if name != partition]]

@@ -44,7 +44,7 @@ def baseline(
     return window.groupBy(grain.key, "period_month").agg(F.avg("tavg_f").alias("baseline_tavg_f"))
 
 
-def _with_flags(df: DataFrame) -> DataFrame:
+def with_flags(df: DataFrame) -> DataFrame:
     return df.withColumns(
         {"anomaly_f": anomaly(), "is_baseline_missing": F.col("baseline_tavg_f").isNull()}
     )
@@ -72,7 +72,7 @@ def anomaly_by_region(
     month = W.partitionBy(grain.key, "period_month")
     in_window = F.when(F.col("period_year").between(start, end), F.col("tavg_f"))
     placed = staged.repartition(grain.key)
-    return _with_flags(placed.withColumn("baseline_tavg_f", F.avg(in_window).over(month)))
+    return with_flags(placed.withColumn("baseline_tavg_f", F.avg(in_window).over(month)))
 
 
 def anomaly_by_region_join(
@@ -87,7 +87,7 @@ def anomaly_by_region_join(
     when Spark finds it small enough to broadcast the panel itself is not shuffled.
     """
     normal = baseline(staged, start, end, grain)
-    return _with_flags(staged.join(normal, [grain.key, "period_month"], "left"))
+    return with_flags(staged.join(normal, [grain.key, "period_month"], "left"))
 
 
 def mart_monthly(anomalies: DataFrame, grain: Grain = STATE) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,15 +14,40 @@ def stack_sources(*sources: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, ranked)
 
 
-def keep_last(stacked: DataFrame, keys: list[str], rank: str = "source_rank") -> DataFrame:
-    """The row of the highest rank per key.
+def _best(stacked: DataFrame, keys: list[str], rank: str) -> tuple[DataFrame, Column, list[str]]:
+    """Per key the row of the highest rank, whether that rank has two rows with different values, and the value columns.
 
-    An aggregate rather than a ranking window: copies of one key collapse before the
-    shuffle. Rows equal in rank are told apart by their values, so the result is fixed.
+    Largest and smallest values of the highest rank come from one aggregate: copies of one key collapse before the shuffle. Of
+    rows in that rank the one is the maximum by (rank, values), the other the minimum by (-rank, values).
     """
     values = [name for name in stacked.columns if name not in (*keys, rank)]
-    best = F.max(F.struct(rank, *values)).alias("best")
-    return stacked.groupBy(*keys).agg(best).select(*keys, *[f"best.{name}" for name in values])
+    held = F.struct(*values)
+    grouped = stacked.groupBy(*keys).agg(
+        F.max(F.struct(F.col(rank).alias("rank"), held.alias("row"))).alias("best"),
+        F.min(F.struct((-F.col(rank)).alias("rank"), held.alias("row"))).alias("other"),
+    )
+    return grouped, ~F.col("best.row").eqNullSafe(F.col("other.row")), values
+
+
+def keep_last(stacked: DataFrame, keys: list[str], rank: str = "source_rank") -> DataFrame:
+    """The row of the highest rank per key. Equal rows are copies; a source that has two different rows for one key fails when the
+    plan runs, as its order says nothing. `source_clashes` lists such keys."""
+    grouped, clash, values = _best(stacked, keys, rank)
+    shown = [F.coalesce(F.col(key).cast("string"), F.lit("null")) for key in keys]
+    message = F.concat_ws(" ", F.lit("one source has different rows for"), *shown)
+    kept = F.when(clash, F.raise_error(message).cast(grouped.schema["best"].dataType["row"].dataType)).otherwise(F.col("best.row"))
+    return grouped.select(*keys, kept.alias("row")).select(*keys, *[f"row.{name}" for name in values])
+
+
+def source_clashes(stacked: DataFrame, keys: list[str], rank: str = "source_rank") -> DataFrame:
+    """Keys for which the source that would win has different rows: (keys, rank, smallest and largest values as text)."""
+    grouped, clash, _ = _best(stacked, keys, rank)
+    return grouped.where(clash).select(
+        *keys,
+        F.col("best.rank").alias(rank),
+        F.to_json("other.row").alias("one"),
+        F.to_json("best.row").alias("another"),
+    )
 
 
 def in_scope(df: DataFrame, lookup: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.operators.upsert import write_whole
 from terrapanel.plans import marts
-from terrapanel.plans.build import build_marts
+from terrapanel.plans.build import build_marts, read_marts
 from terrapanel.plans.overlays import mart_overlay, overlay_branch, population_overlay
 from terrapanel.plans.population import population_long
 from terrapanel.registry.base import BASE_END, BASE_START
@@ -63,14 +63,14 @@ def _stored(spark: SparkSession, sf: str, name: str) -> DataFrame:
         raw, people = sample.state_panel(spark, sf), stored_population(spark, sf)
         build_marts(raw, people, root, BASE_START, BASE_END, "climate_tavg")
 
-    return spark.read.parquet(f"{landed_once(spark, 'marts', sf, write)}/{name}")
+    return read_marts(spark, landed_once(spark, "marts", sf, write))[name]
 
 
 def _stored_county(spark: SparkSession, sf: str, name: str) -> DataFrame:
     def write(root: str) -> None:
         build_marts(sample.county_panel(spark, sf), None, root, BASE_START, BASE_END, grain=COUNTY)
 
-    return spark.read.parquet(f"{landed_once(spark, 'county-marts', sf, write)}/{name}")
+    return read_marts(spark, landed_once(spark, "county-marts", sf, write))[name]
 
 
 def county_monthly(spark: SparkSession, sf: str) -> DataFrame:

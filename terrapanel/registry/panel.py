@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from terrapanel.functions import values
 from terrapanel.operators import cleaning, series
+from terrapanel.operators.tables import YearTable
 from terrapanel.plans import marts, queries
+from terrapanel.plans.baselines import baseline_of_parts, baseline_parts, parts_table
+from terrapanel.plans.build import refresh_marts
 from terrapanel.registry import models
 from terrapanel.registry.base import (
     ANNUAL_VALUES,
     BASE_END,
     BASE_START,
+    END,
     MEASURE_COLUMNS,
     SQL_ANNUAL,
     SQL_MEASURES,
     SQL_MONTHLY,
+    START,
     register,
     rounded,
     sql,
@@ -23,6 +30,7 @@ from terrapanel.registry.base import (
     sql_r8,
 )
 from terrapanel.schemas import ANNUAL_COLUMNS, COUNTY, MONTHLY_COLUMNS, STATE
+from terrapanel.session import fresh_path
 from terrapanel.session import staged as at_rest
 from terrapanel.sources import sample_tables as sample
 from terrapanel.plans.counties import enrich_counties
@@ -138,6 +146,33 @@ def baseline_avg(spark, sf):
     return rounded(marts.baseline(models.staged(spark, sf), BASE_START, BASE_END), "baseline_tavg_f")
 
 
+@register(
+    "baseline_from_parts",
+    sql(f"SELECT state_fips, period_month, {sql_r8('baseline_tavg_f', 'baseline_tavg_f')} FROM normal", "normal"),
+)
+def baseline_from_parts(spark, sf):
+    """From sums kept by year: all years first, then the last two again, as a load that touched them does."""
+    staged = models.staged(spark, sf)
+    parts = parts_table(spark, f"parts_{uuid.uuid4().hex}", fresh_path(spark, "baseline_parts"))
+    parts.replace_years(baseline_parts(staged))
+    parts.replace_years(baseline_parts(staged.where(F.col("period_year") >= END - 1)))
+    return rounded(baseline_of_parts(parts.read(), BASE_START, BASE_END), "baseline_tavg_f")
+
+
+@register("marts_refreshed", sql(f"SELECT {SQL_ANNUAL} FROM annual", "annual"))
+def marts_refreshed(spark, sf):
+    """The annual mart after two refreshes: up to 1999, then the two years a later load touches, which the baseline doesn't need."""
+    raw = sample.state_panel(spark, sf)
+    tag = uuid.uuid4().hex
+    parts = parts_table(spark, f"parts_{tag}", fresh_path(spark, "baseline_parts"))
+    layout = marts.mart_monthly(models.anomalies(spark, sf))
+    monthly = YearTable(spark, f"monthly_{tag}", fresh_path(spark, "monthly"), ("state_fips", "period_month")).create(layout.schema)
+    annual = YearTable(spark, f"annual_{tag}", fresh_path(spark, "annual"), ("state_fips",)).create(marts.mart_annual(layout).schema)
+    for years in (list(range(START, END - 1)), [END - 1, END]):
+        refresh_marts(raw, years, parts, monthly, annual, BASE_START, BASE_END)
+    return rounded(annual.read().select(*ANNUAL_COLUMNS), *ANNUAL_VALUES)
+
+
 _ANOMALY = f"""SELECT {SQL_REGION_MONTH}, period_date, {SQL_MEASURES},
     {sql_r8("baseline_tavg_f", "baseline_tavg_f")}, {sql_r8("anomaly_f", "anomaly_f")}, is_baseline_missing"""
 _ANOMALY_VALUES = [*MEASURE_COLUMNS, "baseline_tavg_f", "anomaly_f"]

@@ -106,6 +106,27 @@ def dedupe_keep_last(spark, sf):
     return plan.keep_last(vintage_union(spark, sf), ["state_fips", "period_year"])
 
 
+@register(
+    "source_clashes",
+    sql(
+        """SELECT region, period_year, 1 AS source_rank, least(orders, orders + open_orders) AS fewer,
+                  greatest(orders, orders + open_orders) AS more
+           FROM orders_by_region WHERE period_year >= 1998 AND open_orders > 0""",
+        "orders_by_region",
+    ),
+)
+def source_clashes(spark, sf):
+    """One source that counts each region's year twice, with and without open orders: where these differ. The older years' source is
+    clean, and outranked where both have a year."""
+    counts = sample.order_counts(spark, sf)
+    early = counts.select("region", "period_year", F.col("orders").alias("population"))
+    both = counts.select("region", "period_year", (F.col("orders") + F.col("open_orders")).alias("population"))
+    late = early.unionByName(both).where(F.col("period_year") >= 1998)
+    found = plan.source_clashes(plan.stack_sources(early, late), ["region", "period_year"])
+    number = lambda c: F.get_json_object(c, "$.population").cast("long")
+    return found.select("region", "period_year", "source_rank", number("one").alias("fewer"), number("another").alias("more"))
+
+
 @register(
     "abbr_lookup",
     sql("SELECT new_pop.*, state_abbr FROM new_pop JOIN xwalk USING (state_fips)", "new_pop", "xwalk"),

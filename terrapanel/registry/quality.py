@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from terrapanel.operators import cleaning
+from terrapanel.operators import cleaning, upsert
 from terrapanel.operators import quality as q
 from terrapanel.plans import marts
 from terrapanel.plans.checks import REQUIRED, UNIQUE, model_checks
 from terrapanel.registry import models
-from terrapanel.registry.base import BASE_END, BASE_START, register, sql
+from terrapanel.registry.base import BASE_END, BASE_START, END, START, register, sql
 from terrapanel.schemas import KEYS, STATE
-from terrapanel.session import staged
+from terrapanel.session import fresh_path, staged
 from terrapanel.sources import sample_tables as sample
 from terrapanel.sources.regions import crosswalk, state_lookup
 
@@ -128,6 +128,27 @@ def unique_key(spark, sf):
     )
 
 
+@register(
+    "unique_key_kept",
+    sql(
+        _sql_unique("monthly", "mart_monthly", KEYS["mart_monthly"])
+        + " UNION ALL "
+        + _sql_unique("monthly", "coarse_monthly", _COARSE),
+        "monthly",
+    ),
+)
+def unique_key_kept(spark, sf):
+    """The same reports from counts kept by year, of which the last two years' are counted again."""
+    monthly = models.stored_monthly(spark, sf)
+    reports = []
+    for name, keys in (("mart_monthly", KEYS["mart_monthly"]), ("coarse_monthly", _COARSE)):
+        counts = fresh_path(spark, f"counts_{name}")
+        for years in (list(range(START, END + 1)), [END - 1, END]):
+            upsert.keep_key_counts(monthly, counts, keys, "period_year", years)
+        reports.append(q.unique_key_from_counts(spark.read.parquet(counts), name, keys))
+    return reports[0].unionByName(reports[1])
+
+
 _MODEL_TABLES = {
     "raw_climate": "panel",
     "raw_population": "pop",

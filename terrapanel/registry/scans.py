@@ -17,7 +17,7 @@ from terrapanel.registry.base import (
     sql,
     sql_r8,
 )
-from terrapanel.schemas import COUNTY, DAY_COLUMNS, STATE
+from terrapanel.schemas import COUNTY, DAY_COLUMNS, GRID_SCHEMA, STATE
 from terrapanel.sources import daily_grid as grid
 from terrapanel.sources import landed_grid
 from terrapanel.sources import sample_tables as sample
@@ -171,21 +171,36 @@ def skipped_months(spark, sf):
     return grid.months_without_files(grid.month_spine(years, F.col("first"), F.col("last"), end), files)
 
 
+_LINE = "'ste,' || concat_ws(',', region_code, 'Region ' || region_code, period_year, period_month, variable, " + ", ".join(
+    f"coalesce({name}, '')" for name in DAY_COLUMNS
+) + ")"
+_NAMES = ", ".join(f"'{name}'" for name in GRID_SCHEMA.fieldNames())
+
+
 @register(
     "source_profile",
     sql(
-        f"""SELECT count(*) AS row_count, 37 AS min_columns, 37 AS max_columns,
-                   CAST(sum(31 - present_days) AS BIGINT) AS blank_cells,
-                   count(DISTINCT region_code) AS codes,
-                   count(DISTINCT CASE WHEN region_code IN ('49', '50') THEN region_code END) AS unmapped_codes
-            FROM (SELECT region_code, variable, period_year, period_month, status, count(*) AS present_days
-                  FROM state_days GROUP BY ALL)""",
+        f"""SELECT * FROM (
+            WITH line AS (SELECT region_code, {_LINE} AS value FROM ({_SCAN.format("state_days")})),
+                 cell AS (SELECT value, string_split(value, ',') AS cells FROM line),
+                 blank AS (SELECT name, count(*) FILTER (trim(coalesce(cells[i], '')) = '') AS n
+                           FROM cell, (SELECT unnest([{_NAMES}]) AS name, unnest(range(1, {len(GRID_SCHEMA) + 1})) AS i) GROUP BY name)
+            SELECT 'rows' AS section, '' AS name, CAST(count(*) AS VARCHAR) AS value FROM line
+            UNION ALL SELECT 'columns', 'least', CAST(min(len(cells)) AS VARCHAR) FROM cell
+            UNION ALL SELECT 'columns', 'most', CAST(max(len(cells)) AS VARCHAR) FROM cell
+            UNION ALL SELECT 'codes', '', CAST(count(DISTINCT region_code) AS VARCHAR) FROM line
+            UNION ALL SELECT 'blank cells', name, CAST(n AS VARCHAR) FROM blank
+            UNION ALL SELECT 'unmatched code', region_code, CAST(count(*) AS VARCHAR) FROM line
+                      ANTI JOIN xwalk USING (region_code) GROUP BY region_code
+            UNION ALL SELECT 'first row', CAST(row_number() OVER (ORDER BY value) AS VARCHAR), value
+                      FROM (SELECT value FROM line ORDER BY value LIMIT 5))""",
         "state_days",
+        "xwalk",
     ),
 )
 def source_profile(spark, sf):
-    lines = spark.read.text(sample.landed_grid(spark, sf, STATE), recursiveFileLookup=True)
-    return grid.profile_source(lines, crosswalk(spark))
+    lines = spark.read.text(sample.landed_folders(spark, sf, STATE), recursiveFileLookup=True)
+    return grid.source_report(lines, crosswalk(spark))
 
 
 @register(

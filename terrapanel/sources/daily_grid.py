@@ -165,3 +165,52 @@ def profile_source(lines: DataFrame, crosswalk: DataFrame) -> DataFrame:
         F.count("*").alias("codes"),
         F.count_if(F.col("known").isNull()).alias("unmapped_codes"),
     )
+
+
+PROFILE = ["section", "name", "value"]
+
+
+def source_report(lines: DataFrame, crosswalk: DataFrame, first: int = 5, sketch: bool = False) -> DataFrame:
+    """What headerless text lines hold, as rows (section, name, value): number of rows, fewest and most columns, blank cells of every
+    column of the grid layout, region codes, each code that is not in the crosswalk with its rows, and the first lines in text order.
+
+    Lines are parsed with the grid layout in one pass; cells and columns are totalled per code before they are moved, so
+    the codes come from the same exchange. With sketch, codes are not grouped first and their number is an estimate (about 2%): for
+    files whose code column holds anything.
+    """
+    names = GRID_SCHEMA.fieldNames()
+    parsed = lines.select(
+        F.from_csv("value", GRID_SCHEMA.simpleString()[len("struct<") : -1].replace(":", " ")).alias("row"),
+        F.size(F.split(F.regexp_replace("value", '"[^"]*"', ""), ",")).alias("columns"),
+    )
+    code = F.trim("row.region_code").alias("region_code")
+    blank = {n: F.count_if(F.coalesce(F.trim(f"row.{n}"), F.lit("")) == "") for n in names}
+    shape = [F.count("*").alias("rows"), F.min("columns").alias("least"), F.max("columns").alias("most")]
+    per_code = parsed.groupBy(code).agg(*shape, *[c.alias(f"blank_{n}") for n, c in blank.items()])
+    if sketch:
+        total = parsed.agg(
+            *shape, F.approx_count_distinct(code, 0.02).alias("codes"), *[c.alias(f"blank_{n}") for n, c in blank.items()]
+        )
+    else:
+        total = per_code.agg(
+            F.sum("rows").alias("rows"),
+            F.min("least").alias("least"),
+            F.max("most").alias("most"),
+            F.count("region_code").alias("codes"),
+            *[F.sum(f"blank_{n}").alias(f"blank_{n}") for n in names],
+        )
+
+    def item(section: str, name: Column, value: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), name.cast("string").alias("name"), value.cast("string").alias("value"))
+
+    facts = [item("rows", F.lit(""), F.coalesce("rows", F.lit(0)))]
+    facts += [item("columns", F.lit(n), F.col(n)) for n in ("least", "most")]
+    facts += [item("codes", F.lit(""), F.col("codes"))]
+    facts += [item("blank cells", F.lit(n), F.coalesce(f"blank_{n}", F.lit(0))) for n in names]
+    report = total.select(F.inline(F.array(*facts)))
+    unknown = per_code.join(crosswalk.select("region_code"), "region_code", "left_anti")
+    report = report.unionByName(unknown.select(F.inline(F.array(item("unmatched code", F.col("region_code"), F.col("rows"))))))
+    head = lines.orderBy("value").limit(first).agg(F.array_sort(F.collect_list("value")).alias("lines"))  # `first` lines
+    return report.unionByName(
+        head.select(F.posexplode("lines").alias("at", "line")).select(F.inline(F.array(item("first row", F.col("at") + 1, F.col("line")))))
+    )
