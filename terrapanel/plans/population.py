@@ -29,10 +29,12 @@ def _best(stacked: DataFrame, keys: list[str], rank: str) -> tuple[DataFrame, Co
     return grouped, ~F.col("best.row").eqNullSafe(F.col("other.row")), values
 
 
-def keep_last(stacked: DataFrame, keys: list[str], rank: str = "source_rank") -> DataFrame:
-    """The row of the highest rank per key. Equal rows are copies; a source that has two different rows for one key fails when the
-    plan runs, as its order says nothing. `source_clashes` lists such keys."""
+def keep_last(stacked: DataFrame, keys: list[str], rank: str = "source_rank", refuse_clashes: bool = False) -> DataFrame:
+    """The row of the highest rank per key; equal rows are copies. Of different rows that one source has for one key, whose order says
+    nothing, the one with larger values is taken, or the plan fails when it runs. `source_clashes` lists such keys."""
     grouped, clash, values = _best(stacked, keys, rank)
+    if not refuse_clashes:
+        return grouped.select(*keys, *[f"best.row.{name}" for name in values])
     shown = [F.coalesce(F.col(key).cast("string"), F.lit("null")) for key in keys]
     message = F.concat_ws(" ", F.lit("one source has different rows for"), *shown)
     kept = F.when(clash, F.raise_error(message).cast(grouped.schema["best"].dataType["row"].dataType)).otherwise(F.col("best.row"))
@@ -60,9 +62,9 @@ def add_abbreviation(df: DataFrame, lookup: DataFrame) -> DataFrame:
 
 
 def population_long(old: DataFrame, new: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Older and newer source to one row per state and year, the newer one winning."""
+    """Older and newer source to one row per state and year, the newer one winning. Fails if that source contradicts itself."""
     stacked = in_scope(stack_sources(old, new), lookup)
-    annual = keep_last(stacked, ["state_fips", "period_year"])
+    annual = keep_last(stacked, ["state_fips", "period_year"], refuse_clashes=True)
     return add_abbreviation(annual, lookup).select(
         "state_fips", "state_abbr", "period_year", "population", "source"
     )

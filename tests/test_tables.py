@@ -179,8 +179,12 @@ def test_clashes_inside_a_source(spark):
     (clash,) = population.source_clashes(stacked, keys).collect()
     assert (clash.state_fips, clash.source_rank, clash.another) == ("03", 1, '{"population":4}')
     with pytest.raises(Exception, match="different rows for 03 2010"):
-        population.keep_last(stacked, keys).collect()
-    clean = population.keep_last(stacked.where("state_fips <> '03'"), keys)
+        population.keep_last(stacked, keys, refuse_clashes=True).collect()
+    lookup = spark.createDataFrame([("03", "AZ")], "state_fips string, state_abbr string")
+    named = [df.withColumn("source", F.lit("s")) for df in (old, new)]
+    with pytest.raises(Exception, match="different rows for 03 2010"):
+        population.population_long(*named, lookup).collect()
+    clean = population.keep_last(stacked.where("state_fips <> '03'"), keys, refuse_clashes=True)
     assert exchanges(clean) == 1 and rows(clean, "state_fips") == [("01", 2010, 9), ("02", 2010, 3)]
 
 
