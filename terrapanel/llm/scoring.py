@@ -3,8 +3,9 @@
 Learns from all texts but the held-out ones; A-Z are lower-cased. Spark counts every gram (context and next byte)
 of the training texts; the subtree of each context of NEAR bytes is built from its grams in one group, the trunk above from at
 most 256 * 255 sums. The finished nodes go to the scoring tasks in blocks of a bounded number, one pass
-per block; each pass scores the bytes whose context belongs to its block. So more contexts mean more blocks, not
-larger broadcasts. The contexts of natural text grow far slower than the text; give larger workers larger blocks.
+per block, whose broadcast is given up after it; each pass scores the bytes whose context belongs to its block. Blocks are filled with
+contexts of NEAR bytes by their numbers of nodes; one of more than half a block is divided by its third byte. So more contexts mean
+more blocks, not larger broadcasts. The contexts of natural text grow far slower than the text; give larger workers larger blocks.
 
 Word counts are joined by word. The most frequent words (a bounded number of bounded length) are
 broadcast and summed inside the tasks, so that no hot word is shuffled with its occurrences; all others are
@@ -29,7 +30,8 @@ from terrapanel.llm import context_tree as tree
 from terrapanel.llm.words import LOWER, space_words, texts
 from terrapanel.session import staged
 
-BLOCK_NODES = 10_000_000  # 120 MB in a Python worker, and for a moment on the driver
+BLOCK_NODES = 2_500_000  # 30 MB in a Python worker, and for a moment on the driver
+CONTEXTS = 256**tree.NEAR
 FREQUENT = 100_000
 FREQUENT_BYTES = 64
 KEPT = 1_000_000  # counts that a task holds before it hands them on
@@ -165,11 +167,47 @@ class ContextModel:
             .applyInPandas(lambda group: _answered(group, path), "near int, depth int, key long, odds float"),
             "context_odds",
         )
-        self.blocks = max(1, math.ceil(self.nodes.count() / block_nodes))
+        self._divide(block_nodes)
+
+    def _divide(self, block_nodes: int) -> None:
+        """Deal the contexts out to blocks. A cell is a context of NEAR bytes or, where that alone is large, one of NEAR + 1."""
+        sizes = self.nodes.groupBy("near").agg(F.count("*").alias("n")).toPandas()  # 65,536 at most
+        large = sorted(sizes.loc[sizes["n"] > block_nodes / 2, "near"].tolist())
+        self.divided = np.full(CONTEXTS, -1)
+        self.divided[large] = np.arange(len(large))
+        cells = sizes.loc[~sizes["near"].isin(large)].rename(columns={"near": "cell"})
+        if large:
+            # nodes at NEAR have no further byte; they are few, and go to every block of their context
+            parts = self.nodes.where(F.col("near").isin(large) & (F.col("depth") > tree.NEAR))
+            third = parts.groupBy("near", _further().alias("third")).agg(F.count("*").alias("n")).toPandas()
+            third["cell"] = CONTEXTS + 256 * self.divided[third["near"]] + third["third"]
+            cells = pd.concat([cells, third[["cell", "n"]]])
+        cells = cells.sort_values(["n", "cell"], ascending=[False, True])
+        self.block_of = np.zeros(CONTEXTS + 256 * len(large), np.int64)
+        filled = [0]
+        for cell, n in zip(cells["cell"].tolist(), cells["n"].tolist()):
+            if filled[-1] and filled[-1] + n > block_nodes:
+                filled.append(0)
+            filled[-1] += n
+            self.block_of[cell] = len(filled) - 1
+        self.blocks = len(filled)
 
     def block(self, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(keys, log odds) by depth, of the contexts whose last NEAR bytes leave this remainder and of all shorter ones."""
-        own = self.nodes.where(F.col("near") % self.blocks == number)
+        """(keys, log odds) by depth, of the contexts in this block and of all shorter ones."""
+        cells = np.flatnonzero(self.block_of == number)
+        whole = cells[cells < CONTEXTS]
+        parts = cells[cells >= CONTEXTS] - CONTEXTS
+        large = np.flatnonzero(self.divided >= 0)
+        whole = np.setdiff1d(whole, large)
+        spark = self.nodes.sparkSession
+        wanted = spark.createDataFrame(pd.DataFrame({"near": whole.astype(np.int32)}), "near int")
+        own = self.nodes.join(wanted, "near", "left_semi")
+        if len(parts):
+            rows = pd.DataFrame({"near": large[parts // 256].astype(np.int32), "third": (parts % 256).astype(np.int32)})
+            deep = self.nodes.where(F.col("depth") > tree.NEAR).withColumn("third", _further())
+            own = own.unionByName(deep.join(spark.createDataFrame(rows, "near int, third int"), ["near", "third"], "left_semi").drop("third"))
+            shallow = self.nodes.where((F.col("depth") == tree.NEAR) & F.col("near").isin(sorted(set(rows["near"].tolist()))))
+            own = own.unionByName(shallow)
         levels = list(self.trunk)
         for depth in range(tree.NEAR, tree.DEPTH + 1):
             part = own.where(F.col("depth") == depth).select("key", "odds").toArrow()
@@ -178,19 +216,35 @@ class ContextModel:
             levels.append((keys[order], part["odds"].to_numpy()[order]))
         return levels
 
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """What tells a gram's block: see block_numbers."""
+        return self.divided, self.block_of
+
+
+def _further() -> Column:
+    """Of a node below NEAR, the context byte before the last NEAR."""
+    return F.shiftright("key", 8 * (tree.NEAR + 1)).bitwiseAND(F.lit(255)).cast("int")
+
+
+def block_numbers(codes: np.ndarray, divided: np.ndarray, block_of: np.ndarray) -> np.ndarray:
+    near = tree.near_of(codes).astype(np.int64)
+    third = ((codes >> np.uint64(8 * (tree.NEAR + 1))) & np.uint64(255)).astype(np.int64)
+    part = divided[near]
+    return block_of[np.where(part < 0, near, CONTEXTS + 256 * part + third)]
+
 
 def _name(text: bytes) -> bytes:
     """16 bytes that name a text; all sums depend on it alone."""
     return xxhash.xxh3_128_digest(text.translate(LOWER))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast, blocks: int, number: int) -> Iterator[pa.RecordBatch]:
-    found = shared.value
+def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) -> Iterator[pa.RecordBatch]:
+    found, places = shared.value
     for batch in batches:
         total = np.zeros(len(batch))
         for codes, owners in _chunks(enumerate(texts(batch))):
-            if blocks > 1:
-                own = tree.near_of(codes) % np.uint64(blocks) == number
+            if places is not None:
+                own = block_numbers(codes, *places) == number
                 codes, owners = codes[own], owners[own]
             place, distinct = pd.factorize(codes, sort=True)
             logs = tree.log10_of(distinct, found)
@@ -201,14 +255,16 @@ def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast, blocks: int, n
 
 def context_scores(rows: DataFrame, model: ContextModel) -> DataFrame:
     """(name, part): for each text and block of nodes, the log10 probability of the bytes (the closing one too) that the
-    block answers for. A text's parts sum to its score."""
-    parts, blocks = None, model.blocks
-    for number in range(blocks):
-        shared = rows.sparkSession.sparkContext.broadcast(model.block(number))
+    block answers for. A text's parts sum to its score. Runs a job for each block, so that only one is held at a time."""
+    parts = None
+    places = model.places() if model.blocks > 1 else None
+    for number in range(model.blocks):
+        shared = rows.sparkSession.sparkContext.broadcast((model.block(number), places))
         part = rows.select("text").mapInArrow(
-            lambda batches, shared=shared, number=number: _scored(batches, shared, blocks, number),
-            "name binary, part double",
+            lambda batches, shared=shared, number=number: _scored(batches, shared, number), "name binary, part double"
         )
+        part = staged(part.groupBy("name").agg(F.sum("part").alias("part")), "context_scores")
+        shared.destroy()
         parts = part if parts is None else parts.unionByName(part)
     return parts
 
