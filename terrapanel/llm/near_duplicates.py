@@ -172,9 +172,18 @@ def distance(one: Column, other: Column) -> Column:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows (key, node) whose key several nodes have."""
-    ends = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"))
-    return keyed.join(ends.where("low < high").select("key"), "key").select("key", "node")
+    """The rows (key, node) whose key several nodes have; of keys with the same nodes, only one.
+
+    Texts that are alike share many keys, a passage's words as many tokens: their groups would be compared again and again. The nodes
+    of a key are told by their number, their ends and 128 bits over their hashes, so no group is collected.
+    """
+    mixed = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"mix{salt}") for salt in (1, 2)]
+    told = ["low", "high", "n", "mix1", "mix2"]
+    groups = keyed.groupBy("key").agg(
+        F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), *mixed
+    )
+    once = groups.where("low < high").groupBy(*told).agg(F.min("key").alias("key")).select("key")
+    return keyed.join(once, "key").select("key", "node")
 
 
 def _split(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -231,8 +240,8 @@ def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
     return labelled.join(ends.where("low < high").select("key"), "key")
 
 
-def _links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """(node, label) of all linked nodes, from comparing the members of groups round by round; None without groups."""
+def _links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, far: int = FAR) -> DataFrame | None:
+    """(node, label) of all linked nodes, from comparing the members of groups round by round; None without links."""
     links, labels, leaders_per_group = None, None, 1
     signatures = nodes.select("node", "signature")
     waiting = groups
@@ -247,15 +256,16 @@ def _links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -
         )
         lead_signatures = signatures.select(F.col("node").alias("leader"), F.col("signature").alias("lead_signature"))
         members = labelled.join(signatures, "node")
-        near = (F.col("label") != F.col("led")) & (distance(F.col("signature"), F.col("lead_signature")) <= FAR)
+        near = (F.col("label") != F.col("led")) & (distance(F.col("signature"), F.col("lead_signature")) <= far)
         pairs = (
             members.join(leaders.join(lead_signatures, "leader"), (F.col("key") == F.col("at")) & near)
             .select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
             .distinct()
         )
         found = staged(_confirmed(pairs, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links)
         retired = leaders.select(F.col("at").alias("key"), F.col("leader").alias("node"))
         waiting = labelled.select("key", "node").join(retired, ["key", "node"], "left_anti")
         if leaders_per_group == 1:
@@ -264,9 +274,10 @@ def _links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = 80, far: int = FAR
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row. Other columns are not carried.
+    """(doc_id, n_shingles, component_id, kept) of every row. Other columns are not carried. With far=SYMBOLS, every pair that shares a
+    key is compared.
 
     Writes signatures, shared index keys, sets and links to the shared folder; loops until no group is left.
     """
@@ -289,7 +300,7 @@ def near_duplicates(
     groups = staged(_shared(keyed), "groups")
     wanted = groups.select("node").distinct().join(nodes.select("node", "set_id"), "node")
     sets = staged(_wanted_sets(plain, signed, wanted, size), "sets")
-    labels = _links(nodes, groups, sets, percent)
+    labels = _links(nodes, groups, sets, percent, far)
     named = nodes.select("set_id", "node")
     if labels is not None:
         named = named.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("node"))

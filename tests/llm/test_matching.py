@@ -105,8 +105,8 @@ def shingle_set(text, size=2):
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-def plain_components(rows):
-    sets = [shingle_set(t) for _, t in rows]
+def plain_components(rows, size=2):
+    sets = [shingle_set(t, size) for _, t in rows]
     parent = list(range(len(rows)))
 
     def root(i):

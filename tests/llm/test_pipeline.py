@@ -38,7 +38,7 @@ def test_pipeline_matches_brute_force(spark):
         for r in docs.orderBy("doc_id").collect()
         if scorer.score(r.text) < model.thresholds.get(r.lang, toxicity.THRESHOLD)
     ]
-    kept = {i for i, _, _, k in plain_components([(r.doc_id, r.text) for r in rows]) if k}
+    kept = {i for i, _, _, k in plain_components([(r.doc_id, r.text) for r in rows], corpus_pipeline.SHINGLE) if k}
     rows = [r for r in rows if r.doc_id in kept]
     benchmark = [(r.item_id, r.text) for r in items.collect()]
     leaks = {r[0] for r in plain_contamination([(r.doc_id, r.text) for r in rows], benchmark) if r[5]}
