@@ -184,17 +184,28 @@ class Decoder:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids; of the first piece that isn't empty, one leading space goes. Broken UTF-8 from
-        byte pieces becomes U+FFFD, byte by byte."""
+        byte pieces becomes U+FFFD, byte by byte; a piece without text between byte pieces parts them."""
         model, spelled = self.model, self.spelled
-        data = b"".join(map(spelled.__getitem__, ids))
-        if model.dummy_prefix and data[:1] == b" ":
-            first = next(i for i in ids if spelled[i])
-            if model.types[first] in (NORMAL, UNUSED):
-                data = data[1:]
-        try:
-            return data.decode()
-        except UnicodeDecodeError:
-            return data.decode(errors="one_by_one")
+        pieces = list(map(spelled.__getitem__, ids))
+        if model.dummy_prefix:
+            first = next((k for k, p in enumerate(pieces) if p), None)
+            if first is not None and pieces[first][:1] == b" " and model.types[ids[first]] in (NORMAL, UNUSED):
+                pieces[first] = pieces[first][1:]
+        if b"" not in pieces[1:-1]:
+            return _decoded_bytes(b"".join(pieces))
+        parts, start = [], 0
+        for k, piece in enumerate([*pieces, b""]):
+            if not piece:
+                parts.append(_decoded_bytes(b"".join(pieces[start:k])))
+                start = k + 1
+        return "".join(parts)
+
+
+def _decoded_bytes(data: bytes) -> str:
+    try:
+        return data.decode()
+    except UnicodeDecodeError:
+        return data.decode(errors="one_by_one")
 
 
 def _one_by_one(error: UnicodeError) -> tuple[str, int]:
