@@ -33,16 +33,15 @@ BLOCKS = frozenset(
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
-CONTAINERS = frozenset("article body center div main section table tbody td tr".split())
-LEFT_OUT = frozenset(
-    "head nav aside form button select option menu dialog svg math canvas object audio video map footer".split()
-)
+CONTAINERS = frozenset("article body center div form main section table tbody td tr".split())
+LEFT_OUT = frozenset("head nav button select option menu svg math canvas object audio video map footer".split())
+WRAPPING = frozenset("aside form dialog".split())  # left out as well, but some sites put a whole page or its text into one
 BOILERPLATE = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu "
     "breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar cookie cookies consent gdpr notice "
     "notices notification alert popup modal overlay newsletter subscribe subscription signup login search share "
-    "sharing social related recommended comment comments disqus replies respond pagination pager widget widgets "
-    "copyright legal disclaimer skip complementary contentinfo".split()
+    "sharing social related recommended comment comments commentlist discussion discussions disqus replies respond pagination "
+    "pager widget widgets copyright legal disclaimer skip complementary contentinfo navlinks navlist sharethis addthis".split()
 )
 # Words that leave a boilerplate name what it is: sidebar-left, site-footer, share-buttons; but not has-sidebar, entry-header.
 NEUTRAL = frozenset(
@@ -52,7 +51,14 @@ NEUTRAL = frozenset(
 )
 TITLES = frozenset("header masthead".split())  # no boilerplate inside an article
 AMBIGUOUS = frozenset("alert legal".split())  # boilerplate only beside another such word
-REPLIES = frozenset("comment comments disqus replies respond".split())
+REPLIES = frozenset("comment comments commentlist discussion discussions disqus replies respond".split())
+# Words that make a boilerplate name together with one unknown word: related-articles, google-ads, article-sidebar.
+TELLING = REPLIES | frozenset(
+    "ad ads advert adverts advertisement adsense sponsor sponsored promo nav navbar navlinks navlist navigation breadcrumb breadcrumbs "
+    "sidebar cookie cookies consent newsletter subscribe share sharing sharethis addthis related recommended pagination".split()
+)
+# Words that say something about the element's surroundings instead: has-sidebar, comments-open.
+ABOUT = frozenset("has have no not with without open closed enabled disabled off on allow allows hide show".split())
 # An open element on the left ends where an element on the right begins.
 ENDS = {
     "p": BLOCKS - {"html", "body"},
@@ -65,8 +71,6 @@ ENDS = {
     "option": frozenset(["option"]),
 }
 FENCES = frozenset("article aside body div footer header main nav ol section table td th ul".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-LEAST_SHARE = 0.02  # of a container's text, up to which the smaller containers in it without a heading are no part of the text
 BESIDE_PAGES, BESIDE_SHARE = 2, 0.1  # of the pages with the host's path, for a container beside it to belong to the template
 
 TOKEN = re.compile(
@@ -86,7 +90,7 @@ class Page:
 
     def __init__(self, html: str):
         self.names, self.keys, self.parents, self.dropped = ["#"], [""], [-1], [False]
-        self.marked: dict[int, bool] = {}  # elements with a boilerplate name: whether it is one of replies
+        self.marked: dict[int, str] = {}  # elements that may be boilerplate: "reply" or "name" by their name, "wrap" by their kind
         self.blocks: list[list] = []
         self._settle(self._parse(html))
 
@@ -169,7 +173,9 @@ class Page:
         return blocks
 
     def _settle(self, blocks: list[list[tuple[int, str, int]]]) -> None:
-        """Drop what is inside elements of a boilerplate name, unless one holds the article or most of the text."""
+        """Drop what is inside elements that may be boilerplate, unless one holds the article or, by the text outside links, most of
+        the page. Replies are dropped however long they are, if there is any other text; what is no boilerplate by name, only wrapped or hidden, also
+        stays out if there is an article elsewhere."""
         dropped, parents = self.dropped, self.parents
         if self.marked:
             totals = [0] * len(parents)
@@ -194,11 +200,13 @@ class Page:
                     holding.add(element)
                     element = parents[element]
             for element in range(1, len(parents)):
-                drop = False
-                if element in self.marked and totals[element] > 0:
-                    drop = rest > 0 if self.marked[element] else element not in holding and 2 * totals[element] <= totals[0]
-                elif element in self.marked:
-                    drop = True
+                drop, kind = False, self.marked.get(element)
+                if kind is not None and element not in holding:
+                    drop = 2 * totals[element] <= totals[0] or totals[element] <= 0
+                    if kind == "reply":
+                        drop = drop or rest > 0
+                    elif kind == "wrap":
+                        drop = drop or bool(articles)
                 dropped[element] = dropped[element] or dropped[parents[element]] or drop
         for block in blocks:
             kept = [piece for piece in block if not dropped[piece[0]]]
@@ -206,9 +214,10 @@ class Page:
             if joined:
                 self.blocks.append([kept[0][0], joined, sum(linked for _, _, linked in kept)])
 
-    def _named(self, name: str, attributes: str, parent: int) -> tuple[str, bool, bool | None]:
-        """The element's generalised name, whether it is left out, and whether a boilerplate name of it is one of replies."""
-        classes, marks, boilerplate, marked = "", "", name in LEFT_OUT, None
+    def _named(self, name: str, attributes: str, parent: int) -> tuple[str, bool, str | None]:
+        """The element's generalised name, whether it is left out for sure, and as what it may be boilerplate."""
+        classes, marks, boilerplate = "", "", name in LEFT_OUT
+        marked = "wrap" if name in WRAPPING else None
         if "=" in attributes or "hidden" in attributes:
             for attribute, value in NAMED.findall(attributes):
                 attribute, value = attribute.lower(), unescape(value.strip("\"'"))
@@ -216,17 +225,16 @@ class Page:
                     classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in value.lower().split()}))
                 if attribute in ("class", "id", "role"):
                     marks += " " + value.lower()
-                elif attribute == "style":
-                    boilerplate = boilerplate or bool(HIDDEN.search(value))
-                else:
-                    boilerplate = boilerplate or value.lower() != "false"
+                elif (HIDDEN.search(value) if attribute == "style" else value.lower() != "false") and marked is None:
+                    marked = "wrap"
         if name not in ("html", "body", "main", "article") and not boilerplate:
             for mark in marks.split():
                 words = set(WORDS.findall(mark))
-                found = words & BOILERPLATE
-                if not found <= AMBIGUOUS and words <= BOILERPLATE | NEUTRAL:
+                found, unknown = words & BOILERPLATE, words - BOILERPLATE - NEUTRAL
+                whole = not found <= AMBIGUOUS and not unknown
+                if whole or (len(unknown) == 1 and words & TELLING and not words & ABOUT):
                     if not found <= TITLES or not self._inside(parent, ("article", "main")):
-                        marked = bool(marked) or not found.isdisjoint(REPLIES)
+                        marked = "reply" if marked == "reply" or words & REPLIES else "name"
             if name == "header" and marked is None:
                 boilerplate = not self._inside(parent, ("article", "main"))
         return (f"{name}.{classes}" if classes else name), boilerplate, marked
@@ -255,44 +263,33 @@ class Page:
         return totals
 
     def best(self, totals: list[int]) -> int:
-        """The smallest container that holds the text: from the root down while one child container has all but LEAST_SHARE
-        of it, no heading is in the others and no text stands beside the containers; an article or main element is final."""
-        children: dict[int, list[int]] = {}
-        for element in range(1, len(totals)):
-            children.setdefault(self.parents[element], []).append(element)
+        """The page's only outermost article or main element with text, whatever stands beside it; without one, the smallest container that
+        holds the whole text: from the root down while one child container has all of it."""
+        outer = [
+            e
+            for e, name in enumerate(self.names)
+            if name in ("article", "main") and totals[e] > 0 and not self._inside(self.parents[e], ("article", "main"))
+        ]
+        if len(outer) == 1:
+            return outer[0]
+        texts = [0] * len(totals)  # linked or not
+        for element, text, _ in self.blocks:
+            texts[element] += len(text)
         direct = {element for element, _, _ in self.blocks}
+        for element in range(len(texts) - 1, 0, -1):
+            texts[self.parents[element]] += texts[element]
+        children: dict[int, list[int]] = {}
+        for element in range(1, len(texts)):
+            if texts[element] > 0:
+                children.setdefault(self.parents[element], []).append(element)
         element = 0
-        while self.names[element] not in ("article", "main"):
+        while element not in direct:
             inner = children.get(element, [])
-            beside = element in direct or any(
-                self.names[c] not in CONTAINERS and self.names[c] != "html" and totals[c] > 0 for c in inner
-            )
-            held = [c for c in inner if totals[c] > 0]
-            articles = [c for c in held if self.names[c] in ("article", "main")]
-            if len(articles) == 1:
-                element = articles[0]
-            elif beside or not held:
+            if len(inner) != 1 or self.names[inner[0]] not in CONTAINERS | {"html"}:
                 break
-            else:
-                most = max(held, key=lambda c: totals[c])
-                rest = sum(totals[c] for c in held) - totals[most]
-                if rest > LEAST_SHARE * (rest + totals[most]) or self._titled([c for c in held if c != most]):
-                    break
-                element = most
+            element = inner[0]
         return element
 
-    def _titled(self, elements: list[int]) -> bool:
-        """Whether a heading with text is in one of the elements."""
-        among = set(elements)
-        for element, _, _ in self.blocks:
-            heading = False
-            while among and element > 0:
-                heading = heading or self.names[element] in HEADINGS
-                if heading and element in among:
-                    return True
-                element = self.parents[element]
-        return False
-
     def beside(self, element: int) -> set[str]:
         """Paths of the largest elements with blocks that neither hold the element nor are inside it."""
         line = set()
