@@ -3,14 +3,57 @@
 from __future__ import annotations
 
 # --- fixed values -----------------------------------------------------------
-# 48 contiguous states: two-digit FIPS code and postal abbreviation, FIPS order.
-# The grid files number the same states 01-48 in this order.
-STATES = """
-01 AL  04 AZ  05 AR  06 CA  08 CO  09 CT  10 DE  12 FL  13 GA  16 ID  17 IL  18 IN
-19 IA  20 KS  21 KY  22 LA  23 ME  24 MD  25 MA  26 MI  27 MN  28 MS  29 MO  30 MT
-31 NE  32 NV  33 NH  34 NJ  35 NM  36 NY  37 NC  38 ND  39 OH  40 OK  41 OR  42 PA
-44 RI  45 SC  46 SD  47 TN  48 TX  49 UT  50 VT  51 VA  53 WA  54 WV  55 WI  56 WY
-"""
+# The 48 contiguous states: the grid files' own code, FIPS code, postal abbreviation.
+STATES = [
+    ("01", "01", "AL"),
+    ("02", "04", "AZ"),
+    ("03", "05", "AR"),
+    ("04", "06", "CA"),
+    ("05", "08", "CO"),
+    ("06", "09", "CT"),
+    ("07", "10", "DE"),
+    ("08", "12", "FL"),
+    ("09", "13", "GA"),
+    ("10", "16", "ID"),
+    ("11", "17", "IL"),
+    ("12", "18", "IN"),
+    ("13", "19", "IA"),
+    ("14", "20", "KS"),
+    ("15", "21", "KY"),
+    ("16", "22", "LA"),
+    ("17", "23", "ME"),
+    ("18", "24", "MD"),
+    ("19", "25", "MA"),
+    ("20", "26", "MI"),
+    ("21", "27", "MN"),
+    ("22", "28", "MS"),
+    ("23", "29", "MO"),
+    ("24", "30", "MT"),
+    ("25", "31", "NE"),
+    ("26", "32", "NV"),
+    ("27", "33", "NH"),
+    ("28", "34", "NJ"),
+    ("29", "35", "NM"),
+    ("30", "36", "NY"),
+    ("31", "37", "NC"),
+    ("32", "38", "ND"),
+    ("33", "39", "OH"),
+    ("34", "40", "OK"),
+    ("35", "41", "OR"),
+    ("36", "42", "PA"),
+    ("37", "44", "RI"),
+    ("38", "45", "SC"),
+    ("39", "46", "SD"),
+    ("40", "47", "TN"),
+    ("41", "48", "TX"),
+    ("42", "49", "UT"),
+    ("43", "50", "VT"),
+    ("44", "51", "VA"),
+    ("45", "53", "WA"),
+    ("46", "54", "WV"),
+    ("47", "55", "WI"),
+    ("48", "56", "WY"),
+]
 
 # Measured variables in merge order, and the panel column each one fills.
 MEASURES = {"tmax": "tmax_f", "tmin": "tmin_f", "tavg": "tavg_f", "prcp": "prcp_in"}
@@ -47,7 +90,5 @@ OVERLAYS = {
 
 
 def state_rows() -> list[tuple[str, str, str]]:
-    """(grid code, FIPS, postal) for every state; the grid code is the FIPS rank."""
-    words = STATES.split()
-    pairs = zip(words[0::2], words[1::2])
-    return [(f"{rank:02d}", fips, postal) for rank, (fips, postal) in enumerate(pairs, 1)]
+    """(grid code, FIPS, postal) for every state."""
+    return list(STATES)

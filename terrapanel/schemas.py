@@ -65,6 +65,8 @@ def _panel(region: list[T.StructField]) -> T.StructType:
     )
 
 
+# --- fixed values: names and types of the stored tables, their keys, and the columns that reads return ---
+
 RAW_STATE_MONTHLY = _panel(
     [_field("state_fips", T.StringType(), True), _field("state_abbr", T.StringType(), True)]
 )
@@ -109,6 +111,9 @@ MONTHLY_COLUMNS = [
 ]
 
 
+# ---------------------------------------------------------------------------
+
+
 def mart_columns(columns: list[str], grain: Grain) -> list[str]:
     """A mart's columns at another grain than the state's."""
     return [*grain.columns, *[c for c in columns if c not in STATE.columns]]
