@@ -1,7 +1,8 @@
 """Winnowing fingerprints of texts, as DataFrame expressions only.
 
-Tokens are lower-cased words; an ideograph, kana or hangul syllable is a token of its own. Every K consecutive
-tokens are one gram; gram hashes roll by doubling (a hash of 2n tokens from two of n). Of every W
+Tokens are lower-cased words; a character of a script that is written without spaces is a token of its own (ideographs, kana, hangul,
+Thai, Lao, Khmer, Burmese, Tibetan), and so is each character of a run of more than LONG without white space (encoded data, minified
+code). So the guarantee below counts words where there are words, and characters elsewhere. Every K consecutive tokens are one gram; gram hashes roll by doubling (a hash of 2n tokens from two of n). Of every W
 consecutive grams the smallest hash is kept, the rightmost of equal ones, with its position. Two
 texts that share K + W - 1 consecutive tokens share a fingerprint hash, and none shorter than K
 tokens matches. In shorter texts, grams and windows are of the largest power of two that fits.
@@ -23,7 +24,14 @@ W = 8
 POSITIONS = 31  # bits; the 32 bits above hold the hash
 CELLS = 256
 ROWS = 16384
-TOKEN = r"[\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[^\s\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+"
+LONG = 32
+_SCRIPTS = "".join(
+    rf"\p{{Is{script}}}" for script in "Ideographic Hiragana Katakana Hangul Thai Lao Khmer Myanmar Tibetan".split()
+)
+# All of them begin at U+0E00 or later, which is far quicker to ask first.
+UNSPACED = rf"[\x{{0E00}}-\x{{10FFFF}}&&[{_SCRIPTS}]]"
+TOKEN = rf"{UNSPACED}|[^\s{UNSPACED}]+"
+RUN = rf"(?<!\S)\S{{{LONG + 1}}}"
 
 
 def _doubled(values: Column, by: int, combine) -> Column:
@@ -46,9 +54,14 @@ def _stages(width: int) -> list[int]:
 def with_fingerprint(frame: DataFrame, text: str, name: str) -> DataFrame:
     """Add `name`: ascending array of (position, hash) of the text's chosen grams."""
     column = F.coalesce(F.col(text), F.lit(""))
-    plain = ~column.rlike(r"[\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]")
     words = F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != "")
-    tokens = F.when(plain, words).otherwise(F.regexp_extract_all(F.lower(column), F.lit(TOKEN), F.lit(0)))
+    runs = F.regexp_extract_all(F.lower(column), F.lit(TOKEN), F.lit(0))
+
+    def cut(tokens: Column) -> Column:
+        return F.flatten(F.transform(tokens, lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
+
+    spaced = ~column.rlike(UNSPACED)
+    tokens = F.when(spaced & ~column.rlike(RUN), words).when(spaced, cut(words)).otherwise(cut(runs))
     at = f"{name}__work"
     frame = frame.withColumn(at, F.transform(tokens, lambda w: F.xxhash64(w)))
     for by in _stages(K):

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
@@ -257,7 +258,7 @@ def test_hypergeometric_follows_its_distribution(spark):
 
 # -- fingerprints ----------------------------------------------------------------------------
 
-SINGLE = r"[㐀-䶿一-鿿々-〇ぁ-ゟ゠-ヿ가-힯]"
+SINGLE = r"[\p{Ideographic}\p{Hiragana}\p{Katakana}\p{Hangul}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]"
 
 
 def signed(x):
@@ -283,7 +284,8 @@ def grow(values, width, combine):
 
 
 def plain_fingerprint(text):
-    tokens = re.findall(rf"{SINGLE}|(?:(?!{SINGLE})\S)+", text.lower())
+    tokens = regex.findall(rf"{SINGLE}|(?:(?!{SINGLE})\S)+", text.lower())
+    tokens = [t for run in tokens for t in (run if len(run) > 32 else [run])]
     hashes = [signed(xxhash.xxh64_intdigest(t.encode(), seed=42)) for t in tokens]
     grams = grow(hashes, fingerprints.K, chain)
     ranked = [((g % 2**64) >> 32, -i) for i, g in enumerate(grams)]
@@ -331,3 +333,16 @@ def test_match_guarantee(spark):
     found = fingerprints.with_fingerprint(frame, "text", "fp").select(fingerprints.hashes(F.col("fp")).alias("h"))
     sets = [set(r.h) for r in found.collect()]
     assert all(a & b for a in sets for b in sets)
+
+
+def test_texts_without_spaces_are_alike_in_what_they_share(spark):
+    """Three quarters of each text stay; the rest comes from the next one."""
+    rng = random.Random(8)
+    thai = "".join(chr(rng.randrange(0x0E01, 0x0E2F)) for _ in range(3000))
+    coded = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=4000))
+    khmer = "".join(chr(rng.randrange(0x1780, 0x17B3)) for _ in range(500))
+    rows = [(1, thai), (2, coded), (3, khmer + " " + coded[:100]), (4, "plain words at the end " * 9)]
+    found = fingerprints.digest(fingerprints.fingerprint_with_next(spark.createDataFrame(rows, "doc_id long, text string")))
+    likeness = {r.doc_id: (r.near_edited, r.near_next) for r in found.collect()}
+    assert all(likeness[i][0] >= 0.55 for i in (1, 2, 3)) and likeness[1][1] == 0.0
+    check_fingerprints(rows, found)
