@@ -15,8 +15,11 @@ to be connected, while a group of copies costs about one comparison for each mem
 
 Large groups that stay open after the first round hold texts that share much but are not copies, a common passage for one.
 Their nodes are grouped anew by prefix filtering, which is exact: with the shingles of these nodes put in one order, rare
-ones first, two sets within the threshold share one of the first n - ceil(0.8 n) + 1 of each. A common passage comes last in
-that order, so that texts which share nothing else part. Pairs met there are held to the signature distance as well.
+ones first, two sets within the threshold share one of the first n - ceil(0.8 n) + 1 of each, and it is among the first
+n - ceil(1.6 n / 1.8) + 1 of the smaller one. Only these lead there; a group without any has no pair to compare. A common passage
+comes last in that order, so that texts which share it and nothing else part as soon as it alone doesn't link them. Two
+sets whose first common shingle is the group's share no more than what each has from there on; only if that is enough, and
+their signatures are near, are they compared. Small groups bound the shared part by the smaller size alone.
 
 Null, empty and blank texts have no set and no links. A document of repeated id is one node for each of its sets.
 Documents without an id link others, but never name a component.
@@ -42,6 +45,7 @@ FAR = 24  # symbols; pairs that share a key but differ in more aren't compared:
 SYMBOLS = CHUNKS * WIDTH
 LANE, LANES = BITS + 1, 3  # a 64-bit number holds so many symbols, each with a free bit above
 FAN = 16
+ROW = ["key", "node", "rest", "leads"]  # of a group: rest is how much of its set a node has from the key on
 OWN_ID = 2**61  # from here on, ids that deduplicated() gives to rows without one
 NO_ID = 2**62  # nodes from here on stand for sets whose documents all lack an id
 
@@ -172,22 +176,29 @@ def distance(one: Column, other: Column) -> Column:
 
 
 def _shared(keyed: DataFrame) -> DataFrame:
-    """The rows (key, node) whose key several nodes have; of keys with the same nodes, only one.
+    """The rows (key, node, rest, leads) whose key several nodes have, one at least that leads; of keys with the same nodes, only one.
 
     Texts that are alike share many keys, a passage's words as many tokens: their groups would be compared again and again. The nodes
-    of a key are told by their number, their ends and 128 bits over their hashes, so no group is collected.
+    of a key are told by their number, their ends and 128 bits over their hashes, so no group is collected. Of tokens with the
+    same nodes the first in the order stays, from which on each node has most: where two sets meet first, they still meet.
     """
     mixed = [F.bit_xor(F.xxhash64("node", F.lit(salt))).alias(f"mix{salt}") for salt in (1, 2)]
     told = ["low", "high", "n", "mix1", "mix2"]
     groups = keyed.groupBy("key").agg(
-        F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), *mixed
+        F.min("node").alias("low"),
+        F.max("node").alias("high"),
+        F.count("*").alias("n"),
+        F.sum("rest").alias("rests"),
+        F.max("leads").alias("led"),
+        *mixed,
     )
-    once = groups.where("low < high").groupBy(*told).agg(F.min("key").alias("key")).select("key")
-    return keyed.join(once, "key").select("key", "node")
+    once = groups.where("low < high AND led").groupBy(*told).agg(F.max(F.struct("rests", "key")).alias("first"))
+    return keyed.join(once.select(F.col("first.key").alias("key")), "key").select(*ROW)
 
 
 def _split(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """New groups of the groups' nodes, by the rare shingles that linked nodes must share."""
+    """New groups of the groups' nodes, by the rare shingles that linked nodes must share. Of two linked nodes the smaller one has
+    such a shingle among fewer first ones: there it leads, elsewhere it is only met."""
     size = F.size("members")
     tokens = sets.join(groups.select("node").distinct(), "node", "left_semi").select(
         "node", size.alias("n"), F.explode("members").alias("token")
@@ -200,16 +211,20 @@ def _split(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
     # tokens of one node alone come first in the order; they take places of the n - needed + 1, but match nothing
     needed = F.floor((F.col("n") * percent + 99) / 100)
+    # with a set of at least its own size, a set shares 2 * percent / (100 + percent) of it
+    of_larger = F.floor((F.col("n") * 2 * percent + 99 + percent) / (100 + percent))
     first = F.slice("ranked", 1, F.greatest(F.size("ranked") - needed + 1, F.lit(0)).cast("int"))
-    prefixes = ranked.select("node", F.explode(first).alias("t"))
-    return _shared(prefixes.select(F.xxhash64(F.lit("prefix"), "t.token").alias("key"), "node"))
+    prefixes = ranked.select("node", F.size("ranked").alias("all"), of_larger.alias("needed"), F.posexplode(first).alias("place", "t"))
+    rest = F.col("all") - F.col("place")
+    key = F.xxhash64(F.lit("prefix"), "t.token").alias("key")
+    return _shared(prefixes.select(key, "node", rest.cast("long").alias("rest"), (rest >= F.col("needed")).alias("leads")))
 
 
 def _split_large(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Groups of up to FAN members as they are, for the next round has as many leaders; the nodes of larger ones anew."""
     counts = groups.groupBy("key").agg(F.count("*").alias("n"))
     counted = staged(groups.join(counts, "key"), "counted")
-    small, large = (counted.where(which).select("key", "node") for which in (F.col("n") <= FAN, F.col("n") > FAN))
+    small, large = (counted.where(which).select(*ROW) for which in (F.col("n") <= FAN, F.col("n") > FAN))
     return small.unionByName(_split(large, sets, percent))
 
 
@@ -229,34 +244,44 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(key, node, label) of the groups that hold several components."""
+    """(key, node, rest, leads, label) of the groups that hold several components and a node that leads."""
     labelled = groups.withColumn("label", F.col("node"))
     if labels is not None:
         known = labels.select("node", F.col("label").alias("known"))
         labelled = groups.join(known, "node", "left").select(
-            "key", "node", F.coalesce("known", "node").alias("label")
+            *ROW, F.coalesce("known", "node").alias("label")
         )
-    ends = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return labelled.join(ends.where("low < high").select("key"), "key")
+    ends = labelled.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.max("leads").alias("led")
+    )
+    return labelled.join(ends.where("low < high AND led").select("key"), "key")
 
 
 def _links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, far: int = FAR) -> DataFrame | None:
     """(node, label) of all linked nodes, from comparing the members of groups round by round; None without links."""
     links, labels, leaders_per_group = None, None, 1
-    signatures = nodes.select("node", "signature")
+    signatures = nodes.select("node", "signature", "n_shingles")
     waiting = groups
     while True:
         labelled = staged(_open(waiting, labels), "open")
         if labelled.isEmpty():
             return labels
         seat = F.pmod(F.xxhash64("node"), F.lit(leaders_per_group))
-        leaders = labelled.groupBy("key", seat.alias("seat")).agg(F.min(F.struct("node", "label")).alias("lead"))
+        leading = labelled.where("leads")
+        leaders = leading.groupBy("key", seat.alias("seat")).agg(F.min(F.struct("node", "label", "rest")).alias("lead"))
         leaders = leaders.select(
-            F.col("key").alias("at"), F.col("lead.node").alias("leader"), F.col("lead.label").alias("led")
+            F.col("key").alias("at"),
+            F.col("lead.node").alias("leader"),
+            F.col("lead.label").alias("led"),
+            F.col("lead.rest").alias("lead_rest"),
+        )
+        lead_signatures = signatures.select(
+            F.col("node").alias("leader"), F.col("signature").alias("lead_signature"), F.col("n_shingles").alias("lead_n")
         )
-        lead_signatures = signatures.select(F.col("node").alias("leader"), F.col("signature").alias("lead_signature"))
         members = labelled.join(signatures, "node")
-        near = (F.col("label") != F.col("led")) & (distance(F.col("signature"), F.col("lead_signature")) <= far)
+        # as in _confirmed, were all that is left shared
+        enough = F.least("rest", "lead_rest") * (100 + percent) >= (F.col("n_shingles") + F.col("lead_n")) * percent
+        near = (F.col("label") != F.col("led")) & enough & (distance(F.col("signature"), F.col("lead_signature")) <= far)
         pairs = (
             members.join(leaders.join(lead_signatures, "leader"), (F.col("key") == F.col("at")) & near)
             .select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
@@ -267,9 +292,9 @@ def _links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, f
             links = found if links is None else links.unionByName(found)
             labels = components(links)
         retired = leaders.select(F.col("at").alias("key"), F.col("leader").alias("node"))
-        waiting = labelled.select("key", "node").join(retired, ["key", "node"], "left_anti")
+        waiting = labelled.select(*ROW).join(retired, ["key", "node"], "left_anti")
         if leaders_per_group == 1:
-            waiting = _split_large(staged(_open(waiting, labels), "left").select("key", "node"), sets, percent)
+            waiting = _split_large(staged(_open(waiting, labels), "left").select(*ROW), sets, percent)
         leaders_per_group *= FAN
 
 
@@ -292,11 +317,12 @@ def near_duplicates(
     nodes = staged(
         signed.where("n_shingles > 0")
         .groupBy("set_id", "signature")
-        .agg(F.min("doc_id").alias("first"))
-        .select("set_id", "signature", F.coalesce("first", lone).alias("node")),
+        .agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"))
+        .select("set_id", "signature", "n_shingles", F.coalesce("first", lone).alias("node")),
         "nodes",
     )
-    keyed = nodes.select("node", F.explode(F.array(*index_keys(F.col("signature")))).alias("key"))
+    keys = F.array(*index_keys(F.col("signature")))
+    keyed = nodes.select("node", F.col("n_shingles").alias("rest"), F.lit(True).alias("leads"), F.explode(keys).alias("key"))
     groups = staged(_shared(keyed), "groups")
     wanted = groups.select("node").distinct().join(nodes.select("node", "set_id"), "node")
     sets = staged(_wanted_sets(plain, signed, wanted, size), "sets")

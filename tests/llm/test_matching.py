@@ -158,6 +158,23 @@ def test_large_groups_with_common_words(spark, monkeypatch, fan):
     same(near_duplicates.near_duplicates(frame).collect(), want)
 
 
+def test_a_common_passage_meets_few_pairs(spark, monkeypatch):
+    """Texts of one passage and a few words of their own, below the threshold, and some above it: pairs don't grow with the square."""
+    rng = np.random.default_rng(5)
+    passage = [f"p{k}" for k in range(100)]
+    rows = [(k, " ".join([*passage, *(f"own{k}x{j}" for j in range(rng.integers(16, 22)))])) for k in range(200)]
+    rows += [(1000 + k, " ".join([*passage[: 88 + k % 8], f"near{k}", *passage[88 + k % 8 :]])) for k in range(12)]
+    compared, confirmed = [], near_duplicates._confirmed
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return confirmed(pairs, *rest)
+
+    monkeypatch.setattr(near_duplicates, "_confirmed", counted)
+    same(near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), plain_components(rows))
+    assert sum(compared) < 20 * len(rows)  # 19,900 pairs of the first two hundred
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(200).select((F.col("id") * 7919 % 201).alias("a"), ((F.col("id") + 1) * 7919 % 201).alias("b"))
     labels = components.components(links).collect()
