@@ -30,10 +30,12 @@ FOLDERS = T.StructType(
 MONTH_OF_VARIABLE = ["scale", "period_year", "period_month", "variable"]
 
 
-def land(grid: DataFrame, root: str) -> None:
-    """Write grid rows that carry the folder columns, several files for a large month. Runs a job."""
+def land(grid: DataFrame, root: str, placed: bool = False) -> None:
+    """Write grid rows that carry the folder columns, several files for a large month. Runs a job. Rows that already lie by folder
+    are written from where they are."""
     names = FOLDERS.fieldNames()
-    laid_out = grid.select(*GRID_SCHEMA.fieldNames(), *names).hint("rebalance", *names)
+    rows = grid.select(*GRID_SCHEMA.fieldNames(), *names)
+    laid_out = rows if placed else rows.hint("rebalance", *names)
     laid_out.write.partitionBy(*names).option("ignoreLeadingWhiteSpace", "false").csv(root)
 
 

@@ -29,6 +29,10 @@ SAMPLE_YEAR_ZERO = 1993
 OVERLAP_YEAR = 1998
 VINTAGES = ["1998-2001", "1998-2000"]
 
+# Of county readings, which are nearly as many as their grid rows: how many a task and a landed file take.
+TASK_READINGS = 400_000
+FILE_READINGS = 200_000
+
 _LINES = {"tmax": (1, 2), "tmin": (3, 4), "tavg": (5, 6), "prcp": (7, 7)}
 
 
@@ -126,14 +130,37 @@ def county_panel(spark: SparkSession, sf: str, **chosen) -> DataFrame:
     return panel.withColumnRenamed("region_code", "fips_code")
 
 
-def grid_rows(spark: SparkSession, sf: str, grain: Grain) -> DataFrame:
-    """Wide text rows as the grid files hold them, plus the name of the file each belongs to."""
+def placed_readings(rows: DataFrame) -> DataFrame:
+    """Readings by the file they go to, of which a large one is divided by region (part), in as many partitions as they need. Runs a job.
+
+    Moved like this a reading is a few numbers, as a grid row of its own a column for each day. Collects the large files' numbers
+    of parts: at most one row for each variable, month and status.
+    """
+    spark, file = rows.sparkSession, ["variable_number", "period_year", "period_month", "status_rank"]
+    parts = F.ceil(F.col("n") / FILE_READINGS).cast("int").alias("parts")
+    counted = rows.groupBy(*file).agg(F.count("*").alias("n")).select(*[F.col(c).cast("int") for c in file], "n", parts).collect()
+    values = [[r[c] for c in (*file, "parts")] for r in counted if r.parts > 1] or [[0, 0, 0, 0, 1]]
+    texts = ["(" + ", ".join("NULL" if v is None else str(v) for v in row) + ")" for row in values]
+    # literal rows, whose size Spark knows
+    large = spark.sql(f"SELECT * FROM VALUES {', '.join(texts)} AS t({', '.join(f'{c}_' for c in file)}, parts)")
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in file]
+    part = F.pmod(F.xxhash64("region_number"), F.coalesce("parts", F.lit(1))).alias("part")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-sum(r.n for r in counted) // TASK_READINGS))
+    return rows.join(large, same, "left").select(*rows.columns, part).repartition(tasks, *file, "part")
+
+
+def grid_rows(spark: SparkSession, sf: str, grain: Grain, placed: bool = False) -> DataFrame:
+    """Wide text rows as the grid files hold them, plus the name of the file each belongs to. With placed, they lie by file."""
     days = [
         F.max(F.when(F.col("period_day") == number, F.col("reading"))).alias(name)
         for number, name in enumerate(DAY_COLUMNS, 1)
     ]
     keys = ["region_number", "variable_number", "period_year", "period_month", "status_rank"]
-    wide = named(readings(spark, sf, grain).groupBy(*keys).agg(*days), grain)
+    rows = readings(spark, sf, grain)
+    if placed:
+        wide = named(placed_readings(rows).groupBy(*keys, "part").agg(*days), grain)
+    else:
+        wide = named(rows.groupBy(*keys).agg(*days), grain)
     scale = F.lit(grain.scale)
     return wide.select(
         file_name(F.col("variable"), F.col("period_year"), F.col("period_month"), scale, F.col("status")).alias("file"),
@@ -172,7 +199,9 @@ def landed_folders(spark: SparkSession, sf: str, grain: Grain) -> str:
             "variable": F.col("file_variable"),
             "status": name[3],
         }
-        land(grid_rows(spark, sf, grain).withColumns(values), path)
+        # States are few: totalled before they are moved, their rows are fewer than the readings.
+        placed = grain == COUNTY
+        land(grid_rows(spark, sf, grain, placed).withColumns(values), path, placed)
 
     return landed_once(spark, f"folders-{grain.scale}", sf, write)
 

@@ -3,11 +3,13 @@
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import plan_of, rows
+from helpers import exchanges, plan_of, rows
 from terrapanel.schemas import COUNTY, DAY_COLUMNS, STATE
-from terrapanel.sources import daily_grid, file_memory, landed_grid
+from terrapanel.sources import daily_grid, file_memory, landed_grid, sample_tables
 from terrapanel.streaming import refresh
 
+SF = "/root/testdata/sf0.001"
+
 
 def put(root, variable, period, status, value, code="01", scale="ste"):
     """One file in its folder, as a download would leave it."""
@@ -165,3 +167,28 @@ def test_source_report(spark, tmp_path):
     empty = {(r.section, r.name): r.value for r in daily_grid.source_report(lines.limit(0), known).collect()}
     assert empty[("rows", "")] == "0" and empty[("blank cells", "d01")] == "0"
     assert COUNTY.scale == "cty"
+
+
+def _readings(spark, path):
+    """A hot month, one of few readings, nulls and repeated days."""
+    hot = spark.range(3000).selectExpr("id % 700 AS l_suppkey", "timestamp'1995-03-01' + make_dt_interval(int(id % 9)) AS l_shipdate", "id")
+    few = spark.range(20).selectExpr("nullif(id, 3) AS l_suppkey", "if(id = 5, NULL, timestamp'1996-07-09') AS l_shipdate", "id")
+    lines = hot.unionByName(few).selectExpr(
+        "*", "int(id % 5 + 1) AS l_linenumber", "double(id % 50) AS l_quantity", "double(id % 4) AS l_tax", "if(id % 3 = 0, 'F', 'O') AS l_linestatus"
+    )
+    lines.drop("id").write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_county_readings_move_once_and_narrow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sample_tables, "FILE_READINGS", 100)
+    monkeypatch.setattr(sample_tables, "TASK_READINGS", 200)
+    sf = _readings(spark, tmp_path)
+    placed = sample_tables.grid_rows(spark, sf, COUNTY, placed=True)
+    plain = sample_tables.grid_rows(spark, sf, COUNTY)
+    assert sorted(map(repr, placed.collect())) == sorted(map(repr, plain.collect()))
+    assert exchanges(placed) == 1 and placed.rdd.getNumPartitions() == 16  # 3,020 readings, 200 each
+    root = sample_tables.landed_folders(spark, sf, COUNTY)
+    landed = spark.read.text(f"{root}/scale=cty/period_year=1995/period_month=3/variable=tmax")
+    assert landed.count() == sum((r.file or "").startswith("tmax-199503") for r in plain.collect())
+    assert 1 < len(landed.inputFiles()) < 32  # a hot month is divided, but not by region
