@@ -39,6 +39,7 @@ from terrapanel.sources.regions import crosswalk, state_lookup
 from terrapanel.streaming import refresh as refreshing
 
 MONTH = ["period_year", "period_month"]
+BUCKET_READINGS = 1_000_000  # of all years, in a bucket of the county table
 
 
 def _panel_sql(region: str, where: str, join: str = "") -> str:
@@ -248,7 +249,9 @@ def prelim_to_scaled_revision(spark, sf):
     landing = sample.landing(spark, sf, COUNTY)
     schema = T.StructType([*RAW_COUNTY_MONTHLY, T.StructField("period", T.IntegerType())])
     name = f"raw_county_{uuid.uuid4().hex}"
-    table = YearTable(spark, name, fresh_path(spark, "raw_county"), ("fips_code", "period"), buckets=16).create(schema)
+    # a merge's task holds one bucket of all touched years
+    buckets = max(16, -(-sample.table(spark, sf, "lineitem").count() // BUCKET_READINGS))
+    table = YearTable(spark, name, fresh_path(spark, "raw_county"), ("fips_code", "period"), buckets=buckets).create(schema)
     loaded_on = F.lit("2001-11-30").cast("date")
     found = landing.partitions().where(F.col("scale") == COUNTY.scale)
     early = F.col("status") == "prelim"

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import exchanges, plan_of, rows
+from terrapanel.registry import storage
 from terrapanel.schemas import COUNTY, DAY_COLUMNS, STATE
 from terrapanel.sources import daily_grid, file_memory, landed_grid, sample_tables
 from terrapanel.streaming import refresh
@@ -192,3 +193,18 @@ def test_county_readings_move_once_and_narrow(spark, tmp_path, monkeypatch):
     landed = spark.read.text(f"{root}/scale=cty/period_year=1995/period_month=3/variable=tmax")
     assert landed.count() == sum((r.file or "").startswith("tmax-199503") for r in plain.collect())
     assert 1 < len(landed.inputFiles()) < 32  # a hot month is divided, but not by region
+
+
+def test_buckets_of_the_county_table_grow(spark, tmp_path, monkeypatch):
+    seen = []
+
+    class Counted(storage.YearTable):
+        def create(self, schema):
+            seen.append(self.buckets)
+            return super().create(schema)
+
+    monkeypatch.setattr(storage, "YearTable", Counted)
+    want = sorted(map(repr, storage.prelim_to_scaled_revision(spark, SF).collect()))
+    monkeypatch.setattr(storage, "BUCKET_READINGS", 300)
+    assert sorted(map(repr, storage.prelim_to_scaled_revision(spark, SF).collect())) == want
+    assert seen == [16, -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 300)]
