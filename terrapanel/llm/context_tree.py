@@ -20,7 +20,7 @@ import numpy as np
 
 DEPTH = 5
 NEAR = 2  # trees are cut below the contexts of this length: each such context's subtree is built alone
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 END = 0xFF
 
 
@@ -159,12 +159,13 @@ def answers(levels: list[Level], first: int = 0, above: Path | None = None) -> t
     return found, above
 
 
-def log10_of(codes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """log10 of each gram's last byte given its context, from (keys, log odds) by depth. Quick for ascending grams."""
-    byte, total = codes & np.uint64(255), np.zeros(len(codes))
+def odds_of(codes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[np.ndarray]:
+    """For each of the eight decisions of the grams' last byte, the log odds of a one at the deepest seen node, from (keys, log odds)
+    by depth; nan if none was seen. Quick for ascending grams."""
+    byte = codes & np.uint64(255)
     for k in range(8):
         decision = np.uint64(1 << k) | (byte >> np.uint64(8 - k))
-        odds = np.zeros(len(codes))
+        odds = np.full(len(codes), np.nan)
         waiting = np.arange(len(codes))
         for depth in range(len(found) - 1, -1, -1):
             keys, values = found[depth]
@@ -175,6 +176,39 @@ def log10_of(codes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> n
             seen = keys[place] == wanted
             odds[waiting[seen]] = values[place[seen]]
             waiting = waiting[~seen]
-        bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-        total -= np.logaddexp(0, np.where(bit == 1, -odds, odds))
+        yield odds
+
+
+def _log_said(codes: np.ndarray, k: int, odds: np.ndarray) -> np.ndarray:
+    """log of what the k-th decision got, from the log odds of a one."""
+    bit = (codes >> np.uint64(7 - k)) & np.uint64(1)
+    return -np.logaddexp(0, np.where(bit == 1, -odds, odds))
+
+
+def log10_of(codes: np.ndarray, found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 of each gram's last byte given its context, from (keys, log odds) by depth."""
+    total = np.zeros(len(codes))
+    for k, odds in enumerate(odds_of(codes, found)):
+        total += _log_said(codes, k, np.nan_to_num(odds))
+    return total / np.log(10)
+
+
+def log10_below(codes: np.ndarray, below: list[np.ndarray], above: Path, trunk: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 of each gram's last byte, from the log odds that its subtree alone gives to the eight decisions (nan: not seen there).
+
+    What a subtree says is mixed with what the nodes above it say, in the shares that are left at NEAR - 1: `answers` from nothing
+    said and all left is a part of `answers` from any path."""
+    byte, total = codes & np.uint64(255), np.zeros(len(codes))
+    for k, odds in enumerate(odds_of(codes, trunk)):
+        said = _log_said(codes, k, np.nan_to_num(odds))
+        seen = np.flatnonzero(~np.isnan(below[k]))
+        own, odds = codes[seen], below[k][seen].astype(np.float64)
+        decision = np.uint64(1 << k) | (byte[seen] >> np.uint64(8 - k))
+        place = np.searchsorted(above.keys, parent((own & ~np.uint64(255)) | decision, NEAR))
+        first, left = above.said[place], above.left[place]
+        bit = (own >> np.uint64(7 - k)) & np.uint64(1)
+        one = first + left * np.exp(-np.logaddexp(0, -odds))
+        zero = (1 - left - first) + left * np.exp(-np.logaddexp(0, odds))
+        said[seen] = np.log(np.maximum(np.where(bit == 1, one, zero), 1e-300))
+        total += said
     return total / np.log(10)

@@ -1,11 +1,13 @@
 """Language-model scoring of whole texts: context-tree weighting, beside smoothed word counts.
 
 Learns from all texts but the held-out ones; A-Z are lower-cased. Spark counts every gram (context and next byte)
-of the training texts; the subtree of each context of NEAR bytes is built from its grams in one group, the trunk above from at
-most 256 * 255 sums. The finished nodes go to the scoring tasks in blocks of a bounded number, one pass
-per block, whose broadcast is given up after it; each pass scores the bytes whose context belongs to its block. Blocks are filled with
-contexts of NEAR bytes by their numbers of nodes; one of more than half a block is divided by its third byte. So more contexts mean
-more blocks, not larger broadcasts. The contexts of natural text grow far slower than the text; give larger workers larger blocks.
+of all texts, and how many of them are in training texts; the subtree of each context of NEAR bytes is built from its grams in one
+group, which answers for all its grams at once, the held-out texts' ones too. The trunk above is built from at most 256 * 255 sums and
+completes these answers. So the tree is searched once for each distinct gram, not for each text.
+
+A text's score is the sum over its grams. The answers of the most frequent grams (a bounded number) are broadcast and summed inside the
+tasks, in one pass over the texts; all others are joined by gram. More contexts mean more joined grams, not a larger broadcast
+or another pass.
 
 Word counts are joined by word. The most frequent words (a bounded number of bounded length) are
 broadcast and summed inside the tasks, so that no hot word is shuffled with its occurrences; all others are
@@ -30,8 +32,8 @@ from terrapanel.llm import context_tree as tree
 from terrapanel.llm.words import LOWER, space_words, texts
 from terrapanel.session import staged
 
-BLOCK_NODES = 2_500_000  # 30 MB in a Python worker, and for a moment on the driver
-CONTEXTS = 256**tree.NEAR
+BLOCK_NODES = 1_000_000  # grams whose answers are broadcast: 12 MB in a Python worker, and for a moment on the driver
+CLASSES = 8  # of gram frequencies for each doubling
 FREQUENT = 100_000
 FREQUENT_BYTES = 64
 KEPT = 1_000_000  # counts that a task holds before it hands them on
@@ -60,27 +62,37 @@ def _chunks(rows: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, np.
         yield tree.grams(parts), np.repeat(owners, [len(p) - tree.DEPTH for p in parts])
 
 
-def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by gram, of (ascending grams, counts)."""
+    codes, counts = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(codes, kind="stable")  # quick for runs
+    codes, counts = codes[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return codes[first], np.add.reduceat(counts, first)
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        codes, place = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-        return codes, np.bincount(place, weights=np.concatenate([n for _, n in held])).astype(np.int64)
 
-    def emitted() -> pa.RecordBatch:
-        codes, counts = merged()
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(counts)], ["gram", "n"])
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, n, seen): how often in training texts, and in all. A gram may come in several rows."""
+    held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+
+    def emitted(learnt: bool) -> pa.RecordBatch:
+        codes, counts = _merged(held[learnt])
+        held[learnt].clear()
+        n = counts if learnt else np.zeros_like(counts)
+        return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n), pa.array(counts)], ["gram", "n", "seen"])
 
     for batch in batches:
-        for codes, _ in _chunks(enumerate(texts(batch))):
-            held.append(np.unique(codes, return_counts=True))
-            if len(held) > 8:
-                held[:] = [merged()]
-                if len(held[0][0]) > KEPT:
-                    yield emitted()
-    if held:
-        yield emitted()
+        learns = batch["learnt"].to_pylist()
+        for learnt, parts in held.items():
+            for codes, _ in _chunks((0, text) for text, x in zip(texts(batch), learns) if x == learnt):
+                parts.append(np.unique(codes, return_counts=True))
+                if len(parts) > 8:
+                    parts[:] = [_merged(parts)]
+                    if len(parts[0][0]) > KEPT:
+                        yield emitted(learnt)
+    for learnt, parts in held.items():
+        if parts:
+            yield emitted(learnt)
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,128 +121,87 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 # -- the context tree ------------------------------------------------------------------------
 
-NODES = "near int, depth int, key long, estimate double, weight double, a double, b double, log_total double"
-
-
-def _subtrees(grams: pd.DataFrame) -> pd.DataFrame:
-    codes, counts = grams["gram"].to_numpy(np.int64).view(np.uint64), grams["n"].to_numpy(np.float64)
-    levels, (_, a, b, log_total) = tree.subtree(codes, counts)
-    frames = []
-    for depth, level in enumerate(levels, tree.NEAR):
-        frame = pd.DataFrame({"key": level.keys.view(np.int64), "estimate": level.estimate, "weight": level.weight})
-        frame["depth"] = depth
-        first = depth == tree.NEAR
-        frame["a"], frame["b"], frame["log_total"] = (a, b, log_total) if first else (0.0, 0.0, 0.0)
-        frames.append(frame)
-    found = pd.concat(frames, ignore_index=True)
-    found["near"] = int(tree.near_of(codes[:1])[0])
-    names = [c.split()[0] for c in NODES.split(", ")]
-    return found[names]
-
-
-def _answered(nodes: pd.DataFrame, above: tree.Path) -> pd.DataFrame:
-    """Log odds of the nodes of one near context."""
-    nodes = nodes.assign(order=nodes["key"].to_numpy(np.int64).view(np.uint64)).sort_values(["depth", "order"])
-    levels, frames = [], []
-    for depth in range(tree.NEAR, tree.DEPTH + 1):
-        own = nodes[nodes["depth"] == depth]
-        levels.append(tree.Level(own["order"].to_numpy(), own["estimate"].to_numpy(), own["weight"].to_numpy()))
-        frames.append(own[["near", "depth", "key"]])
-    odds, _ = tree.answers(levels, tree.NEAR, above)
-    return pd.concat(frames, ignore_index=True).assign(odds=np.concatenate(odds))
-
-
-class ContextModel:
-    """The nodes below NEAR as a stored table, the trunk in memory."""
-
-    def __init__(self, training: DataFrame, block_nodes: int = BLOCK_NODES):
-        # the near context is the third and second lowest byte of a gram
-        near = F.shiftright("gram", 8).bitwiseAND(F.lit(256**tree.NEAR - 1)).cast("int")
-        grams = training.select("text").mapInArrow(_gram_counts, "gram long, n long")
-        summed = grams.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("near", near)
-        nodes = staged(summed.groupBy("near").applyInPandas(_subtrees, NODES), "context_nodes")
-        above = F.col("key").bitwiseAND(F.lit(256**tree.NEAR - 1))
-        sums = (
-            nodes.where(F.col("depth") == tree.NEAR)
-            .groupBy(above.alias("key"))
-            .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log_total").alias("children"))
-            .toPandas()
-        )
-        levels = tree.trunk(
-            sums["key"].to_numpy(np.int64).view(np.uint64), *(sums[c].to_numpy(np.float64) for c in ("a", "b", "children"))
-        )
-        odds, path = tree.answers(levels)
-        self.trunk = [(level.keys, found) for level, found in zip(levels, odds)]
-        self.nodes = staged(
-            nodes.select("near", "depth", "key", "estimate", "weight")
-            .groupBy("near")
-            .applyInPandas(lambda group: _answered(group, path), "near int, depth int, key long, odds float"),
-            "context_odds",
-        )
-        self._divide(block_nodes)
-
-    def _divide(self, block_nodes: int) -> None:
-        """Deal the contexts out to blocks. A cell is a context of NEAR bytes or, where that alone is large, one of NEAR + 1."""
-        sizes = self.nodes.groupBy("near").agg(F.count("*").alias("n")).toPandas()  # 65,536 at most
-        large = sorted(sizes.loc[sizes["n"] > block_nodes / 2, "near"].tolist())
-        self.divided = np.full(CONTEXTS, -1)
-        self.divided[large] = np.arange(len(large))
-        cells = sizes.loc[~sizes["near"].isin(large)].rename(columns={"near": "cell"})
-        if large:
-            # nodes at NEAR have no further byte; they are few, and go to every block of their context
-            parts = self.nodes.where(F.col("near").isin(large) & (F.col("depth") > tree.NEAR))
-            third = parts.groupBy("near", _further().alias("third")).agg(F.count("*").alias("n")).toPandas()
-            third["cell"] = CONTEXTS + 256 * self.divided[third["near"]] + third["third"]
-            cells = pd.concat([cells, third[["cell", "n"]]])
-        cells = cells.sort_values(["n", "cell"], ascending=[False, True])
-        self.block_of = np.zeros(CONTEXTS + 256 * len(large), np.int64)
-        filled = [0]
-        for cell, n in zip(cells["cell"].tolist(), cells["n"].tolist()):
-            if filled[-1] and filled[-1] + n > block_nodes:
-                filled.append(0)
-            filled[-1] += n
-            self.block_of[cell] = len(filled) - 1
-        self.blocks = len(filled)
-
-    def block(self, number: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(keys, log odds) by depth, of the contexts in this block and of all shorter ones."""
-        cells = np.flatnonzero(self.block_of == number)
-        whole = cells[cells < CONTEXTS]
-        parts = cells[cells >= CONTEXTS] - CONTEXTS
-        large = np.flatnonzero(self.divided >= 0)
-        whole = np.setdiff1d(whole, large)
-        spark = self.nodes.sparkSession
-        wanted = spark.createDataFrame(pd.DataFrame({"near": whole.astype(np.int32)}), "near int")
-        own = self.nodes.join(wanted, "near", "left_semi")
-        if len(parts):
-            rows = pd.DataFrame({"near": large[parts // 256].astype(np.int32), "third": (parts % 256).astype(np.int32)})
-            deep = self.nodes.where(F.col("depth") > tree.NEAR).withColumn("third", _further())
-            own = own.unionByName(deep.join(spark.createDataFrame(rows, "near int, third int"), ["near", "third"], "left_semi").drop("third"))
-            shallow = self.nodes.where((F.col("depth") == tree.NEAR) & F.col("near").isin(sorted(set(rows["near"].tolist()))))
-            own = own.unionByName(shallow)
-        levels = list(self.trunk)
-        for depth in range(tree.NEAR, tree.DEPTH + 1):
-            part = own.where(F.col("depth") == depth).select("key", "odds").toArrow()
-            keys = part["key"].to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            levels.append((keys[order], part["odds"].to_numpy()[order]))
-        return levels
-
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """What tells a gram's block: see block_numbers."""
-        return self.divided, self.block_of
-
-
-def _further() -> Column:
-    """Of a node below NEAR, the context byte before the last NEAR."""
-    return F.shiftright("key", 8 * (tree.NEAR + 1)).bitwiseAND(F.lit(255)).cast("int")
-
-
-def block_numbers(codes: np.ndarray, divided: np.ndarray, block_of: np.ndarray) -> np.ndarray:
-    near = tree.near_of(codes).astype(np.int64)
-    third = ((codes >> np.uint64(8 * (tree.NEAR + 1))) & np.uint64(255)).astype(np.int64)
-    part = divided[near]
-    return block_of[np.where(part < 0, near, CONTEXTS + 256 * part + third)]
+ODDS = [f"odds{k}" for k in range(8)]
+# rows of two kinds: a gram with the log odds of its eight decisions, or (top) a node at NEAR
+ANSWERS = f"gram long, seen long, {', '.join(f'{c} float' for c in ODDS)}, top boolean, a double, b double, log_total double"
+
+
+def _answered(group: pa.Table) -> pa.Table:
+    """The answers of a near context's subtree for all its grams, and the sums of its first nodes."""
+    codes = group["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(codes)
+    codes, counts, seen = codes[order], group["n"].to_numpy()[order].astype(np.float64), group["seen"].to_numpy()[order]
+    learnt = counts > 0
+    found, keys, sums = [], np.zeros(0, np.uint64), [np.zeros(0)] * 3
+    if learnt.any():
+        levels, (keys, *sums) = tree.subtree(codes[learnt], counts[learnt])
+        above = np.unique(tree.parent(keys, tree.NEAR))
+        odds, _ = tree.answers(levels, tree.NEAR, tree.Path(above, np.zeros(len(above)), np.ones(len(above))))
+        found = [(np.zeros(0, np.uint64), np.zeros(0))] * tree.NEAR + [(x.keys, o) for x, o in zip(levels, odds)]
+    below = [o.astype(np.float32) for o in tree.odds_of(codes, found)]
+    many, top = len(codes), len(keys)
+    nothing = np.zeros(top)
+    columns = [np.concatenate([codes, keys]).view(np.int64), np.concatenate([seen, nothing.astype(np.int64)])]
+    columns += [np.concatenate([o, nothing.astype(np.float32)]) for o in below]
+    columns += [np.arange(many + top) >= many, *(np.concatenate([np.zeros(many), x]) for x in sums)]
+    return pa.table([pa.array(c) for c in columns], names=[c.split()[0] for c in ANSWERS.split(", ")])
+
+
+def _completed(batches: Iterator[pa.RecordBatch], path: tree.Path, trunk: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        codes = batch["gram"].to_numpy().view(np.uint64)
+        logs = tree.log10_below(codes, [batch[c].to_numpy() for c in ODDS], path, trunk)
+        yield pa.RecordBatch.from_arrays([batch["gram"], batch["seen"], pa.array(logs.astype(np.float32))], ["gram", "seen", "log"])
+
+
+def gram_logs(rows: DataFrame) -> DataFrame:
+    """(gram, seen, log): of every gram of the texts in `rows` (text, learnt), how often it is seen, and the log10 probability of its last
+    byte after the others, learnt from the rows marked so."""
+    # the near context is the third and second lowest byte of a gram
+    near = F.shiftright("gram", 8).bitwiseAND(F.lit(256**tree.NEAR - 1)).cast("int")
+    grams = rows.select("text", "learnt").mapInArrow(_gram_counts, "gram long, n long, seen long")
+    summed = grams.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")).withColumn("near", near)
+    answers = staged(summed.groupBy("near").applyInArrow(_answered, ANSWERS), "context_answers")
+    above = F.col("gram").bitwiseAND(F.lit(256**tree.NEAR - 1))
+    sums = (
+        answers.where("top")
+        .groupBy(above.alias("key"))
+        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log_total").alias("children"))
+        .toPandas()
+    )
+    levels = tree.trunk(
+        sums["key"].to_numpy(np.int64).view(np.uint64), *(sums[c].to_numpy(np.float64) for c in ("a", "b", "children"))
+    )
+    odds, path = tree.answers(levels)
+    trunk = [(level.keys, found) for level, found in zip(levels, odds)]
+    completed = answers.where("NOT top").select("gram", "seen", *ODDS)
+    return staged(
+        completed.mapInArrow(lambda batches: _completed(batches, path, trunk), "gram long, seen long, log float"), "gram_logs"
+    )
+
+
+def _frequency() -> Column:
+    return F.floor(F.log2("seen") * CLASSES)
+
+
+def _least_frequency(logs: DataFrame, most: int) -> int:
+    """The frequency class from which on there are at most so many grams."""
+    sizes = logs.groupBy(_frequency().alias("class")).agg(F.count("*").alias("n")).collect()  # CLASSES for each doubling
+    least, held = 64 * CLASSES, 0
+    for row in sorted(sizes, key=lambda r: -r["class"]):
+        held += row.n
+        if held > most:
+            break
+        least = row["class"]
+    return least
+
+
+def _shared_grams(logs: DataFrame, least: int) -> Broadcast:
+    """(grams, log10 probabilities) of the frequent grams, ascending."""
+    found = logs.where(_frequency() >= least).select("gram", "log").toArrow()
+    keys = found["gram"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return logs.sparkSession.sparkContext.broadcast((keys[order], found["log"].to_numpy()[order]))
 
 
 def _name(text: bytes) -> bytes:
@@ -238,42 +209,31 @@ def _name(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(text.translate(LOWER))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], shared: Broadcast, number: int) -> Iterator[pa.RecordBatch]:
-    found, places = shared.value
-    for batch in batches:
-        total = np.zeros(len(batch))
-        for codes, owners in _chunks(enumerate(texts(batch))):
-            if places is not None:
-                own = block_numbers(codes, *places) == number
-                codes, owners = codes[own], owners[own]
-            place, distinct = pd.factorize(codes, sort=True)
-            logs = tree.log10_of(distinct, found)
-            total += np.bincount(owners, weights=logs[place], minlength=len(total))
-        names = pa.array([_name(text) for text in texts(batch)], pa.binary())
-        yield pa.RecordBatch.from_arrays([names, pa.array(total)], ["name", "part"])
-
-
-def context_scores(rows: DataFrame, model: ContextModel) -> DataFrame:
-    """(name, part): for each text and block of nodes, the log10 probability of the bytes (the closing one too) that the
-    block answers for. A text's parts sum to its score. Runs a job for each block, so that only one is held at a time."""
-    parts = None
-    places = model.places() if model.blocks > 1 else None
-    for number in range(model.blocks):
-        shared = rows.sparkSession.sparkContext.broadcast((model.block(number), places))
-        part = rows.select("text").mapInArrow(
-            lambda batches, shared=shared, number=number: _scored(batches, shared, number), "name binary, part double"
-        )
-        part = staged(part.groupBy("name").agg(F.sum("part").alias("part")), "context_scores")
-        shared.destroy()
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
+def _gram_sums(batch: pa.RecordBatch, known: tuple[np.ndarray, np.ndarray]) -> tuple[pa.Array, pa.Array]:
+    """Of each text: the sum over its frequent grams (the closing byte's too), and a list of the other grams, each as often as it comes."""
+    keys, logs = known
+    total, rare, sizes = np.zeros(len(batch)), [np.zeros(0, np.int64)], np.zeros(len(batch), np.int64)
+    for codes, owners in _chunks(enumerate(texts(batch))):
+        place, distinct = pd.factorize(codes, sort=True)
+        found, values = np.zeros(len(distinct), bool), np.zeros(len(distinct))
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+            found = keys[at] == distinct
+            values = np.where(found, logs[at], 0.0)
+        total += np.bincount(owners, weights=values[place], minlength=len(total))
+        if not found.all():
+            others = ~found[place]
+            rare.append(codes[others].view(np.int64))
+            sizes += np.bincount(owners[others], minlength=len(sizes))
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.array(total), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare)))
 
 
 # -- word counts -----------------------------------------------------------------------------
 
 
-def _frequent_sums(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Of each text: its name, tokens, and the sum over its frequent words of log10(c + 1)."""
+def _frequent_sums(batches: Iterator[pa.RecordBatch], shared: Broadcast, grams: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Of each text: its name, tokens, the sum over its frequent words of log10(c + 1), and see _gram_sums."""
     known = shared.value
     for batch in batches:
         names, n_tokens, n_known, sums = [], [], [], []
@@ -285,8 +245,9 @@ def _frequent_sums(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iter
             n_known.append(len(logs))
             sums.append(math.fsum(logs))
         made = [pa.array(names, pa.binary()), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums)]
+        made += _gram_sums(batch, grams.value)
         kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + made, [*kept, "name", "n_tokens", "n_known", "log_sum"])
+        yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + made, [*kept, "name", "n_tokens", "n_known", "log_sum", "part", "grams"])
 
 
 def _rare_words(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
@@ -322,9 +283,10 @@ def _shared_frequent(counts: DataFrame, most: int) -> Broadcast:
 def language_scores(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", frequent: int = FREQUENT, block_nodes: int = BLOCK_NODES
 ) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. Other columns are not carried.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row. Other columns are not carried. Up to
+    `block_nodes` grams' answers are broadcast.
 
-    Writes the word counts, the context nodes and the sums over frequent words to the shared folder.
+    Writes the word counts, the grams' answers and the sums over frequent words and grams to the shared folder.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = plain.schema["doc_id"].dataType.simpleString()
@@ -334,14 +296,17 @@ def language_scores(
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, vocabulary = words + ends, distinct + (ends > 0)
     shared = _shared_frequent(counts, frequent)
-    model = ContextModel(training, block_nodes)
+    logs = gram_logs(plain.select("text", (~held_out(F.col("doc_id"))).alias("learnt")))
+    least = _least_frequency(logs, block_nodes)
+    grams = _shared_grams(logs, least)
     counted = staged(
         plain.mapInArrow(
-            lambda batches: _frequent_sums(batches, shared),
-            f"doc_id {kind}, name binary, n_tokens long, n_known long, log_sum double",
+            lambda batches: _frequent_sums(batches, shared, grams),
+            f"doc_id {kind}, name binary, n_tokens long, n_known long, log_sum double, part double, grams array<long>",
         ),
-        "frequent_words",
+        "frequent_sums",
     )
+    grams.destroy()
     rare = (
         plain.select("text")
         .mapInArrow(lambda batches: _rare_words(batches, shared), "name binary, word binary, n long")
@@ -349,17 +314,22 @@ def language_scores(
         .groupBy("name")
         .agg(F.sum("n").alias("rare_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("rare_sum"))
     )
-    whole = context_scores(plain, model).groupBy("name").agg(F.sum("part").alias("score"))
-    copies = counted.groupBy("name").agg(F.count("*").alias("copies"))
-    sums = copies.join(whole, "name").join(rare, "name", "left").select(
+    rare_grams = (
+        counted.select("name", F.explode("grams").alias("gram"))
+        .join(logs.where(_frequency() < least).select("gram", "log"), "gram")
+        .groupBy("name")
+        .agg(F.sum("log").alias("rare_part"))
+    )
+    copies = counted.groupBy("name").agg(F.count("*").alias("copies"), F.sum("part").alias("part"))
+    sums = copies.join(rare_grams, "name", "left").join(rare, "name", "left").select(
         F.col("name").alias("of"),
-        (F.col("score") / F.col("copies")).alias("score"),
+        ((F.col("part") + F.coalesce("rare_part", F.lit(0.0))) / F.col("copies")).alias("score"),
         (F.col("rare_known") / F.col("copies")).cast("long").alias("rare_known"),
         (F.col("rare_sum") / F.col("copies")).alias("rare_sum"),
     )
     known = F.col("n_known") + F.coalesce("rare_known", F.lit(0)) + F.lit(int(ends > 0))
     log_sum = F.col("log_sum") + F.coalesce("rare_sum", F.lit(0.0)) + F.lit(math.log10(ends + 1))
-    return counted.join(sums, F.col("name") == F.col("of")).select(
+    return counted.drop("grams").join(sums, F.col("name") == F.col("of")).select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "n_tokens",

@@ -120,6 +120,18 @@ def test_scores_match_the_recursion(spark, monkeypatch, chunk, blocks, frequent)
     agree(scoring.language_scores(docs, frequent=frequent, block_nodes=blocks).collect(), plain_scores(rows))
 
 
+@pytest.mark.parametrize("most", [0, 200, 100_000])
+def test_texts_are_passed_over_once_whatever_the_nodes(spark, monkeypatch, most):
+    """A bounded broadcast of grams, all others joined: no pass over the texts for each block of nodes."""
+    docs = small_documents(spark).limit(25)
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(70, None), (71, "held \u00e9\u00e9 zq zq"), (72, "held \u00e9\u00e9 zq zq")]
+    labels, staged = [], scoring.staged
+    monkeypatch.setattr(scoring, "staged", lambda frame, label: labels.append(label) or staged(frame, label))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    agree(scoring.language_scores(docs, block_nodes=most).collect(), plain_scores(rows))
+    assert len(labels) == len(set(labels)) <= 4
+
+
 def test_scores_edges(spark):
     assert scoring.language_scores(no_documents(spark)).count() == 0
     found = scoring.language_scores(edge_documents(spark)).collect()
