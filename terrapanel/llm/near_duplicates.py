@@ -27,16 +27,20 @@ Documents without an id link others, but never name a component.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrapanel.llm.components import components
 from terrapanel.llm.words import WordHashes, mixed, space_words, texts
-from terrapanel.session import staged
+from terrapanel.session import discard, fresh_path, staged
 
 SHINGLE = 2
 CHUNKS, WIDTH, ERRORS, BITS = 9, 5, 1, 15
@@ -46,6 +50,8 @@ SYMBOLS = CHUNKS * WIDTH
 LANE, LANES = BITS + 1, 3  # a 64-bit number holds so many symbols, each with a free bit above
 FAN = 16
 ROW = ["key", "node", "rest", "leads"]  # of a group: rest is how much of its set a node has from the key on
+MOST_BUCKETS = 100_000  # Spark's own limit
+MOST_BITS = 2**27  # of the bitmap of wanted texts; with too few more sets are made, and dropped
 OWN_ID = 2**61  # from here on, ids that deduplicated() gives to rows without one
 NO_ID = 2**62  # nodes from here on stand for sets whose documents all lack an id
 
@@ -90,8 +96,9 @@ def packed(symbols: np.ndarray) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for batch in batches:
-        counts, names, signatures = [], [], []
+        counts, names, signatures, ids = [], [], [], []
         for text in texts(batch):
+            ids.append(text_id(text))
             values = shingles(space_words(text), hashes, size)
             counts.append(len(values))
             if len(values):
@@ -106,46 +113,76 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
                 pa.array(counts, pa.int64()),
                 pa.array(names, pa.binary()),
                 pa.array(signatures, pa.list_(pa.int64())),
+                pa.array(ids, pa.int64()),
             ],
-            ["doc_id", "n_shingles", "set_id", "signature"],
+            ["doc_id", "n_shingles", "set_id", "signature", "text_id"],
         )
 
 
+def text_id(text: bytes) -> int:
+    """64 bits that tell texts apart, but for a few."""
+    return xxhash.xxh3_64_intdigest(text) - 2**63
+
+
 def _set_name(values: np.ndarray) -> bytes:
     """16 bytes that name a set: two sums over its mixed members."""
     sums = (np.sum(mixed(values), dtype=np.uint64), np.sum(mixed(values ^ _PLACES[7]), dtype=np.uint64))
     return b"".join(int(x).to_bytes(8, "little") for x in sums)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+def _marked(wanted: DataFrame) -> np.ndarray:
+    """A bitmap with the low bits of the wanted texts' text_id set: of 16 bits for each text, up to MOST_BITS."""
+    bits = 2**16
+    while bits < min(16 * wanted.count(), MOST_BITS):
+        bits *= 2
+    place = F.col("text_id").bitwiseAND(F.lit(bits - 1))
+    found = (
+        wanted.select(F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+        .groupBy("word")
+        .agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+        .toArrow()
+    )
+    words = np.zeros(bits // 64, np.uint64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return words
+
+
+def _sets(batches: Iterator[pa.RecordBatch], size: int, shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """(set_id, members) of the marked texts, and of few others."""
+    hashes, marked = WordHashes(), shared.value
+    most = len(marked) * 64 - 1
+
+    def wanted(text: bytes) -> bool:
+        place = text_id(text) & most
+        return bool(int(marked[place >> 6]) >> (place & 63) & 1)
+
     for batch in batches:
-        sets = [shingles(space_words(text), hashes, size) for text in texts(batch)]
-        names = pa.array([_set_name(s) if len(s) else None for s in sets], pa.binary())
+        sets = [s for s in (shingles(space_words(t), hashes, size) for t in texts(batch) if wanted(t)) if len(s)]
+        names = pa.array([_set_name(s) for s in sets], pa.binary())
         members = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-        kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([batch[c] for c in kept] + [names, members], kept + ["made_id", "members"])
-
-
-def _wanted_sets(plain: DataFrame, signed: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, members) of the wanted (node, set_id), from one text of each; copies of it are as good."""
-    made = "made_id binary, members array<long>"
-    with_id = signed.join(wanted, "set_id").groupBy("set_id", "node").agg(F.min("doc_id").alias("doc_id"))
-    by_id = (
-        plain.join(with_id.where("doc_id IS NOT NULL"), "doc_id")
-        .select("node", "set_id", "text")
-        .mapInArrow(lambda batches: _sets(batches, size), f"node long, set_id binary, {made}")
-        .where("made_id = set_id")  # an id may be repeated with another text
-        .select("node", "members")
-    )
-    without_id = (
-        plain.where("doc_id IS NULL")
-        .select("text")
-        .mapInArrow(lambda batches: _sets(batches, size), made)
-        .join(wanted.where(F.col("node") >= NO_ID), F.col("made_id") == F.col("set_id"))
-        .select("node", "members")
-    )
-    return by_id.unionByName(without_id)
+        yield pa.RecordBatch.from_arrays([names, members], ["set_id", "members"])
+
+
+@contextmanager
+def _wanted_sets(plain: DataFrame, wanted: DataFrame, size: int) -> Iterator[DataFrame]:
+    """A table (set_id, node, members) of the wanted (set_id, node, text_id), in buckets by set_id: each round joins some pairs to it, which
+    then move alone. Sets are made again where their texts are, from one text of each; copies of it meet in their task before they move.
+    A bounded bitmap tells which texts, but for a few that the join then drops. The table goes in the end."""
+    spark = plain.sparkSession
+    shared = spark.sparkContext.broadcast(_marked(wanted))
+    made = plain.select("text").mapInArrow(lambda batches: _sets(batches, size, shared), "set_id binary, members array<long>")
+    each = made.groupBy("set_id").agg(F.any_value("members").alias("members")).join(wanted, "set_id")
+    name, path = f"sets_{uuid.uuid4().hex}", fresh_path(spark, "sets")
+    # as many as the joins have partitions, else Spark would deal the table out anew
+    buckets = min(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), MOST_BUCKETS)
+    writer = each.select("set_id", "node", "members").write.format("parquet").bucketBy(buckets, "set_id").sortBy("set_id")
+    writer.option("path", path).saveAsTable(name)
+    shared.destroy()
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        discard(spark, path)
 
 
 def _symbol(signature: Column, k: int) -> Column:
@@ -175,6 +212,12 @@ def distance(one: Column, other: Column) -> Column:
     return total
 
 
+def _met(keyed: DataFrame) -> DataFrame:
+    """The rows whose key several have. Most index keys are of one node: these only move as a key and a count."""
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return staged(keyed.join(several, "key", "left_semi").select(*ROW), "met")
+
+
 def _shared(keyed: DataFrame) -> DataFrame:
     """The rows (key, node, rest, leads) whose key several nodes have, one at least that leads; of keys with the same nodes, only one.
 
@@ -217,7 +260,8 @@ def _split(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefixes = ranked.select("node", F.size("ranked").alias("all"), of_larger.alias("needed"), F.posexplode(first).alias("place", "t"))
     rest = F.col("all") - F.col("place")
     key = F.xxhash64(F.lit("prefix"), "t.token").alias("key")
-    return _shared(prefixes.select(key, "node", rest.cast("long").alias("rest"), (rest >= F.col("needed")).alias("leads")))
+    keyed = prefixes.select(key, "node", rest.cast("long").alias("rest"), (rest >= F.col("needed")).alias("leads"))
+    return _shared(staged(keyed, "prefixes"))
 
 
 def _split_large(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,18 +273,20 @@ def _split_large(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (node, leader) whose full sets are similar enough."""
-    left = sets.select("node", F.col("members").alias("one"))
-    right = sets.select(F.col("node").alias("leader"), F.col("members").alias("other"))
-    shared = F.size(F.array_intersect("one", "other"))
-    # 100 * shared >= percent * (|one| + |other| - shared)
-    enough = shared * (100 + percent) >= percent * (F.size("one") + F.size("other"))
-    return (
-        pairs.join(left, "node")
-        .join(right, "leader")
-        .where(enough)
-        .select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    """The pairs (one, other: node and set_id) whose full sets are similar enough."""
+    left = sets.select("set_id", F.col("members").alias("left"))
+    right = sets.select("set_id", F.col("members").alias("right"))
+    shared = F.size(F.array_intersect("left", "right"))
+    # 100 * shared >= percent * (|left| + |right| - shared)
+    enough = shared * (100 + percent) >= percent * (F.size("left") + F.size("right"))
+    named = pairs.select(
+        F.col("one.node").alias("a"),
+        F.col("one.set_id").alias("set_id"),
+        F.col("other.node").alias("b"),
+        F.col("other.set_id").alias("other_id"),
     )
+    first = named.join(left, "set_id").select("a", "b", "left", F.col("other_id").alias("set_id"))
+    return first.join(right, "set_id").where(enough).select("a", "b")
 
 
 def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -260,7 +306,7 @@ def _open(groups: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, far: int = FAR) -> DataFrame | None:
     """(node, label) of all linked nodes, from comparing the members of groups round by round; None without links."""
     links, labels, leaders_per_group = None, None, 1
-    signatures = nodes.select("node", "signature", "n_shingles")
+    signatures = nodes.select("node", "signature", "n_shingles", "set_id")
     waiting = groups
     while True:
         labelled = staged(_open(waiting, labels), "open")
@@ -276,15 +322,19 @@ def _links(nodes: DataFrame, groups: DataFrame, sets: DataFrame, percent: int, f
             F.col("lead.rest").alias("lead_rest"),
         )
         lead_signatures = signatures.select(
-            F.col("node").alias("leader"), F.col("signature").alias("lead_signature"), F.col("n_shingles").alias("lead_n")
+            F.col("node").alias("leader"),
+            F.col("signature").alias("lead_signature"),
+            F.col("n_shingles").alias("lead_n"),
+            F.col("set_id").alias("lead_set_id"),
         )
         members = labelled.join(signatures, "node")
         # as in _confirmed, were all that is left shared
         enough = F.least("rest", "lead_rest") * (100 + percent) >= (F.col("n_shingles") + F.col("lead_n")) * percent
         near = (F.col("label") != F.col("led")) & enough & (distance(F.col("signature"), F.col("lead_signature")) <= far)
+        one, other = F.struct("node", "set_id"), F.struct(F.col("leader").alias("node"), F.col("lead_set_id").alias("set_id"))
         pairs = (
             members.join(leaders.join(lead_signatures, "leader"), (F.col("key") == F.col("at")) & near)
-            .select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"))
+            .select(F.greatest(one, other).alias("one"), F.least(one, other).alias("other"))
             .distinct()
         )
         found = staged(_confirmed(pairs, sets, percent), "links")
@@ -309,7 +359,8 @@ def near_duplicates(
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(
         plain.mapInArrow(
-            lambda batches: _signed(batches, size), "doc_id long, n_shingles long, set_id binary, signature array<long>"
+            lambda batches: _signed(batches, size),
+            "doc_id long, n_shingles long, set_id binary, signature array<long>, text_id long",
         ),
         "signatures",
     )
@@ -317,16 +368,16 @@ def near_duplicates(
     nodes = staged(
         signed.where("n_shingles > 0")
         .groupBy("set_id", "signature")
-        .agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"))
-        .select("set_id", "signature", "n_shingles", F.coalesce("first", lone).alias("node")),
+        .agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n_shingles"), F.min("text_id").alias("text_id"))
+        .select("set_id", "signature", "n_shingles", "text_id", F.coalesce("first", lone).alias("node")),
         "nodes",
     )
     keys = F.array(*index_keys(F.col("signature")))
     keyed = nodes.select("node", F.col("n_shingles").alias("rest"), F.lit(True).alias("leads"), F.explode(keys).alias("key"))
-    groups = staged(_shared(keyed), "groups")
-    wanted = groups.select("node").distinct().join(nodes.select("node", "set_id"), "node")
-    sets = staged(_wanted_sets(plain, signed, wanted, size), "sets")
-    labels = _links(nodes, groups, sets, percent, far)
+    groups = staged(_shared(_met(keyed)), "groups")
+    wanted = staged(nodes.select("node", "set_id", "text_id").join(groups.select("node"), "node", "left_semi"), "wanted")
+    with _wanted_sets(plain, wanted, size) as sets:
+        labels = _links(nodes, groups, sets, percent, far)
     named = nodes.select("set_id", "node")
     if labels is not None:
         named = named.join(labels, "node", "left").select("set_id", F.coalesce("label", "node").alias("node"))

@@ -175,6 +175,30 @@ def test_a_common_passage_meets_few_pairs(spark, monkeypatch):
     assert sum(compared) < 20 * len(rows)  # 19,900 pairs of the first two hundred
 
 
+@pytest.mark.parametrize("bits", [2**6, near_duplicates.MOST_BITS])
+def test_rounds_move_pairs_but_not_all_sets(spark, monkeypatch, bits):
+    """Each round moves its pairs, with their sets; the table of all wanted sets stays where it is."""
+    rows = [(k, " ".join(f"t{k // 4}x{j}" for j in range(40 + k % 4))) for k in range(60)]
+    rows += [(100 + k, rows[k][1]) for k in range(10)] + [(None, rows[3][1]), (200, None), (201, "lone words")]
+    moved, confirmed = [], near_duplicates._confirmed
+
+    def seen(pairs, *rest):
+        found = confirmed(near_duplicates.staged(pairs, "pairs"), *rest)
+        moved.append(found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return found
+
+    monkeypatch.setattr(near_duplicates, "_confirmed", seen)
+    monkeypatch.setattr(near_duplicates, "MOST_BITS", bits)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        same(near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect(), plain_components(rows))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert moved and max(moved) == 2  # the pairs, to one set and to the other; four with the sets
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("sets_")]
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(200).select((F.col("id") * 7919 % 201).alias("a"), ((F.col("id") + 1) * 7919 % 201).alias("b"))
     labels = components.components(links).collect()
