@@ -32,7 +32,7 @@ from terrapanel.llm import context_tree as tree
 from terrapanel.llm.words import LOWER, space_words, texts
 from terrapanel.session import staged
 
-BLOCK_NODES = 1_000_000  # grams whose answers are broadcast: 12 MB in a Python worker, and for a moment on the driver
+BLOCK_NODES = 1_000_000  # grams whose answers are broadcast: 16 MB in a Python worker, and for a moment on the driver
 CLASSES = 8  # of gram frequencies for each doubling
 FREQUENT = 100_000
 FREQUENT_BYTES = 64
@@ -123,7 +123,7 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 ODDS = [f"odds{k}" for k in range(8)]
 # rows of two kinds: a gram with the log odds of its eight decisions, or (top) a node at NEAR
-ANSWERS = f"gram long, seen long, {', '.join(f'{c} float' for c in ODDS)}, top boolean, a double, b double, log_total double"
+ANSWERS = f"gram long, seen long, {', '.join(f'{c} double' for c in ODDS)}, top boolean, a double, b double, log_total double"
 
 
 def _answered(group: pa.Table) -> pa.Table:
@@ -138,11 +138,11 @@ def _answered(group: pa.Table) -> pa.Table:
         above = np.unique(tree.parent(keys, tree.NEAR))
         odds, _ = tree.answers(levels, tree.NEAR, tree.Path(above, np.zeros(len(above)), np.ones(len(above))))
         found = [(np.zeros(0, np.uint64), np.zeros(0))] * tree.NEAR + [(x.keys, o) for x, o in zip(levels, odds)]
-    below = [o.astype(np.float32) for o in tree.odds_of(codes, found)]
+    below = list(tree.odds_of(codes, found))
     many, top = len(codes), len(keys)
     nothing = np.zeros(top)
     columns = [np.concatenate([codes, keys]).view(np.int64), np.concatenate([seen, nothing.astype(np.int64)])]
-    columns += [np.concatenate([o, nothing.astype(np.float32)]) for o in below]
+    columns += [np.concatenate([o, nothing]) for o in below]
     columns += [np.arange(many + top) >= many, *(np.concatenate([np.zeros(many), x]) for x in sums)]
     return pa.table([pa.array(c) for c in columns], names=[c.split()[0] for c in ANSWERS.split(", ")])
 
@@ -151,7 +151,7 @@ def _completed(batches: Iterator[pa.RecordBatch], path: tree.Path, trunk: list[t
     for batch in batches:
         codes = batch["gram"].to_numpy().view(np.uint64)
         logs = tree.log10_below(codes, [batch[c].to_numpy() for c in ODDS], path, trunk)
-        yield pa.RecordBatch.from_arrays([batch["gram"], batch["seen"], pa.array(logs.astype(np.float32))], ["gram", "seen", "log"])
+        yield pa.RecordBatch.from_arrays([batch["gram"], batch["seen"], pa.array(logs)], ["gram", "seen", "log"])
 
 
 def gram_logs(rows: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def gram_logs(rows: DataFrame) -> DataFrame:
     trunk = [(level.keys, found) for level, found in zip(levels, odds)]
     completed = answers.where("NOT top").select("gram", "seen", *ODDS)
     return staged(
-        completed.mapInArrow(lambda batches: _completed(batches, path, trunk), "gram long, seen long, log float"), "gram_logs"
+        completed.mapInArrow(lambda batches: _completed(batches, path, trunk), "gram long, seen long, log double"), "gram_logs"
     )
 
 
