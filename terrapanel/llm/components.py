@@ -37,8 +37,8 @@ def components(links: DataFrame) -> DataFrame:
         parents = staged(
             both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).where("label < node"), "hooked"
         )
-        if parents.isEmpty():
-            break
+        if labels is None and parents.isEmpty():
+            return links.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
         parents = _flattened(parents)
         if labels is None:
             labels = parents
@@ -53,6 +53,6 @@ def components(links: DataFrame) -> DataFrame:
             ).drop("up")
         rest = staged(rest.where("a <> b").distinct(), "contracted")
         labels = staged(labels, "labels")
-    if labels is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("label")).limit(0)
+        if rest.isEmpty():  # else the larger end of a link has a smaller neighbour
+            break
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
