@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from terrapanel.llm.words import alnum_words, texts
+from terrapanel.llm.workers import tool
 
 WINDOW = 10
 BLOCK_BYTES = 4_000_000  # of item texts handed to the tasks at once
@@ -94,16 +95,10 @@ def occurrences(words: list[bytes], tables: list[Matcher], spans: list, items: s
     return merged
 
 
-_built: dict[int, list[Matcher]] = {}
-
-
 def _tables(shared: Broadcast, window: int) -> list[Matcher]:
     """Built once in each Python worker; one block at a time is kept."""
-    key = hash((shared.value[0], window))
-    if key not in _built:
-        _built.clear()
-        _built[key] = matchers(shared.value[1], window)
-    return _built[key]
+    name, items = shared.value
+    return tool(("matchers", name, window), lambda: matchers(items, window))
 
 
 FOUND = pa.schema(

@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 
 from terrapanel.llm.components import components
 from terrapanel.llm.words import WordHashes, mixed, space_words, texts
+from terrapanel.llm.workers import forget
 from terrapanel.session import discard, fresh_path, staged
 
 SHINGLE = 2
@@ -50,6 +51,7 @@ SYMBOLS = CHUNKS * WIDTH
 LANE, LANES = BITS + 1, 3  # a 64-bit number holds so many symbols, each with a free bit above
 FAN = 16
 ROW = ["key", "node", "rest", "leads"]  # of a group: rest is how much of its set a node has from the key on
+BATCH_BYTES = 8_000_000  # of sets handed on at once
 MOST_BUCKETS = 100_000  # Spark's own limit
 MOST_BITS = 2**27  # of the bitmap of wanted texts; with too few more sets are made, and dropped
 OWN_ID = 2**61  # from here on, ids that deduplicated() gives to rows without one
@@ -94,6 +96,7 @@ def packed(symbols: np.ndarray) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    forget()
     hashes = WordHashes()
     for batch in batches:
         counts, names, signatures, ids = [], [], [], []
@@ -149,6 +152,7 @@ def _marked(wanted: DataFrame) -> np.ndarray:
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int, shared: Broadcast) -> Iterator[pa.RecordBatch]:
     """(set_id, members) of the marked texts, and of few others."""
+    forget()
     hashes, marked = WordHashes(), shared.value
     most = len(marked) * 64 - 1
 
@@ -156,11 +160,21 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, shared: Broadcast) -> It
         place = text_id(text) & most
         return bool(int(marked[place >> 6]) >> (place & 63) & 1)
 
-    for batch in batches:
-        sets = [s for s in (shingles(space_words(t), hashes, size) for t in texts(batch) if wanted(t)) if len(s)]
+    def made(sets: list[np.ndarray]) -> pa.RecordBatch:
         names = pa.array([_set_name(s) for s in sets], pa.binary())
         members = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([names, members], ["set_id", "members"])
+        return pa.RecordBatch.from_arrays([names, members], ["set_id", "members"])
+
+    for batch in batches:
+        sets, total = [], 0
+        for values in (shingles(space_words(t), hashes, size) for t in texts(batch) if wanted(t)):
+            if len(values):
+                sets.append(values)
+                total += values.nbytes
+            if total >= BATCH_BYTES:  # a set takes several times its text's bytes
+                yield made(sets)
+                sets, total = [], 0
+        yield made(sets)
 
 
 @contextmanager

@@ -85,7 +85,7 @@ class Model:
 class Encoder:
     """Encodes texts, with the ids of segments remembered up to a number of them."""
 
-    def __init__(self, model: Model, most: int = 800_000):
+    def __init__(self, model: Model, most: int = 400_000):
         self.model, self.most = model, most
         self.automaton = ahocorasick.Automaton()
         for text, i in model.ids.items():

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from terrapanel.llm.pieces import Decoder, Encoder, Model
+from terrapanel.llm.workers import rows_with_text, text_column, tool
 
 BATCH_BYTES = 8_000_000
-_built: dict[bytes, tuple[Encoder, Decoder]] = {}
 
 
 def default_model() -> str:
@@ -35,20 +35,23 @@ def shared_model(spark: SparkSession, path: str | None) -> Broadcast:
 
 def _tools(shared: Broadcast) -> tuple[Encoder, Decoder]:
     data = shared.value
-    if data not in _built:
-        _built.clear()
+
+    def build() -> tuple[Encoder, Decoder]:
         model = Model(data)
-        _built[data] = Encoder(model), Decoder(model)
-    return _built[data]
+        return Encoder(model), Decoder(model)
+
+    return tool(("pieces", data), build)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], shared: Broadcast, decoded: bool) -> Iterator[pa.RecordBatch]:
+def _encoded(
+    batches: Iterator[pa.RecordBatch], shared: Broadcast, decoded: bool, text_col: str = "text"
+) -> Iterator[pa.RecordBatch]:
     """The batches' columns, text aside, with packed ids and, if asked for, the decoded text."""
     encoder, decoder = _tools(shared)
     for batch in batches:
         kept = [c for c in batch.schema.names if c != "text"]
         start, size, packed, texts = 0, 0, [], []
-        for at, value in enumerate(batch["text"], 1):
+        for at, value in enumerate(text_column(batch, text_col), 1):
             packed.append(encoder.encode(value.as_py() or ""))
             if decoded:
                 texts.append(decoder.decode(np.frombuffer(packed[-1], "<u4").tolist()))
@@ -72,8 +75,8 @@ def round_trip(docs: DataFrame, model_path: str | None = None, id_col: str = "do
     )
 
 
-def _with_ids(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    for batch in _encoded(batches, shared, False):
+def _with_ids(batches: Iterator[pa.RecordBatch], shared: Broadcast, text_col: str) -> Iterator[pa.RecordBatch]:
+    for batch in _encoded(batches, shared, False, text_col):
         ids = [np.frombuffer(x.as_py(), "<i4") for x in batch["packed_ids"]]
         yield pa.RecordBatch.from_arrays([batch["row"], pa.array(ids, pa.list_(pa.int32()))], ["row", "ids"])
 
@@ -81,10 +84,10 @@ def _with_ids(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[
 def encode(docs: DataFrame, model_path: str | None = None, text_col: str = "text") -> DataFrame:
     """All columns of the rows, with `ids` (array of int; a column of that name is replaced)."""
     names = [c for c in docs.columns if c != "ids"]
-    rows = docs.select(F.struct(*names).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = rows_with_text(docs, names, text_col)
     shared = shared_model(docs.sparkSession, model_path)
     schema = StructType([rows.schema["row"], StructField("ids", ArrayType(IntegerType()))])
-    return rows.mapInArrow(lambda batches: _with_ids(batches, shared), schema).select("row.*", "ids")
+    return rows.mapInArrow(lambda batches: _with_ids(batches, shared, text_col), schema).select("row.*", "ids")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
